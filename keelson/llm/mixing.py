@@ -5,7 +5,7 @@ probability. Documents of a source are put in buckets of about FAN by hash. A bu
 next one trade word mass at random, either way, in the ratio that leaves both expectations as they are, until one of them is
 taken or left for good; the other is carried on. So words of a bucket stay as they were to the last carry, and the
 carries of FAN buckets meet in a bucket of the next level, up a tree, until a source has one; it is rounded by a coin of its
-own. Coins are hashes, so reruns agree. A source with a third of all rows only has more buckets.
+own, long documents before others. Coins are hashes, so reruns agree. A source with a third of all rows only has more buckets.
 
 Defined cases: a null text has size 0; a null source is one source, last in order; rows that repeat doc_id, source and size
 are told apart by a number; a source without words has target 0; an empty table gives an empty result; other columns
@@ -78,39 +78,60 @@ def _fold(items: Column, seed: int, level: int) -> Column:
     return F.aggregate(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(1))), start, step)
 
 
+def _settle(items: DataFrame, most: int, seed: int, tag: int, scratch: Scratch) -> DataFrame:
+    """source, id, occ, size, base, p with p 0 or 1. items: those and n_buckets; most: rows of the largest source."""
+    level, k, settled = items, 0, []
+    while most > 1 or k == 0:
+        buckets = level.groupBy("source", "n_buckets", F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), F.lit(k), "id", "occ", "size"), F.col("n_buckets")).alias("bucket"))
+        order = F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed + 1), F.lit(k), "id", "occ").alias("o"), F.struct("id", "occ", "size", "base", "p").alias("x"))))
+        folded = scratch.save(buckets.agg(F.transform(order, lambda x: x["x"]).alias("items")).select("source", "n_buckets", _fold(F.col("items"), seed + tag, k).alias("f")), f"level{tag}-{k}")
+        settled.append(folded.select("source", F.explode("f.settled").alias("x")).select("source", "x.*"))
+        level = folded.select("source", F.ceil(F.col("n_buckets") / FAN).alias("n_buckets"), "f.carry.*")
+        most, k = -(-most // FAN), k + 1
+    last = F.when(_coin(F.lit(seed), F.lit(tag), F.lit("last"), F.col("id"), F.col("occ"), F.col("size")) < F.col("p"), 1.0).otherwise(0.0)
+    done = level.select("source", "id", "occ", "size", "base", last.alias("p"))
+    for x in settled:
+        done = done.unionByName(x)
+    return done
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken, one row for each row of docs (doc_id, text, source)."""
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
+    """doc_id, source, occ, size, source_size, target, copies, taken, one row for each row of docs (doc_id, text, source).
+
+    The carry of the last bucket is rounded by itself, which moves the total by up to its size, and long documents tend to be
+    carried on. So documents of over 1/8, 1/64 and 1/512 of their source's words (8, 64 and 512 at most) are settled
+    first, each time at the rate that the words still missing need of the documents still open, then all others.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
     sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     same = sizes.groupBy("doc_id", "source", "size").count()
     sizes = scratch.save(same.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("occ")), "sizes")
     targets = scratch.save(source_targets(sizes, weights, share, most), "targets")
-    t = targets.select(F.col("source").alias("_source"), "source_size", "n_rows", "target")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    level = (
-        sizes.join(t, sizes["source"].eqNullSafe(t["_source"]))
-        .withColumn("rate", rate)
-        .select("source", F.greatest(F.ceil(F.col("n_rows") / FAN), F.lit(1)).alias("n_buckets"), F.col("doc_id").alias("id"), "occ", "size", F.floor("rate").alias("base"), F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0).alias("p"))
-    )
-    left, k, settled = targets.agg(F.max("n_rows")).first()[0] or 0, 0, []
-    while left:
-        one = left <= 1 and k > 0
-        if one:
-            settled.append(level.select("source", "id", "occ", "size", "base", F.when(_coin(F.lit(seed), F.lit("last"), F.col("id"), F.col("occ"), F.col("size")) < F.col("p"), 1.0).otherwise(0.0).alias("p")))
-            break
-        buckets = level.groupBy("source", "n_buckets", F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id", "occ", "size"), F.col("n_buckets")).alias("bucket"))
-        order = F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed + 1), F.lit(k), "id", "occ").alias("o"), F.struct("id", "occ", "size", "base", "p").alias("x"))))
-        folded = scratch.save(buckets.agg(F.transform(order, lambda x: x["x"]).alias("items")).select("source", "n_buckets", _fold(F.col("items"), seed, k).alias("f")), f"level{k}")
-        settled.append(folded.select("source", F.explode("f.settled").alias("x")).select("source", "x.*"))
-        level = folded.select("source", F.ceil(F.col("n_buckets") / FAN).alias("n_buckets"), "f.carry.*")
-        left, k = (1 if left <= FAN else -(-left // FAN)), k + 1
-    if settled:
-        done = settled[0]
-        for x in settled[1:]:
-            done = done.unionByName(x)
-    else:
-        done = level.drop("n_buckets")
+    t = targets.select(F.col("source").alias("_source"), "source_size", "target")
+    phase = F.when(F.col("size") * 8 > F.col("source_size"), 0).when(F.col("size") * 64 > F.col("source_size"), 1).when(F.col("size") * 512 > F.col("source_size"), 2).otherwise(3)
+    items = sizes.join(t, sizes["source"].eqNullSafe(t["_source"])).select("source", F.col("doc_id").alias("id"), "occ", "size", phase.alias("phase"))
+    each = scratch.save(items.groupBy("source", "phase").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "phases")
+    largest = {r["phase"]: r["n"] for r in each.groupBy("phase").agg(F.max("n").alias("n")).collect()}
+    parts: list[DataFrame] = []
+    for k in sorted(largest):
+        open_ = each.where(F.col("phase") >= k).groupBy("source").agg(F.sum("words").alias("open"), F.sum(F.when(F.col("phase") == k, F.col("n"))).alias("n"))
+        state = t.join(open_.withColumnRenamed("source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).select("_source", "target", "open", "n")
+        taken = F.lit(0)
+        if parts:
+            so_far = parts[0]
+            for x in parts[1:]:
+                so_far = so_far.unionByName(x)
+            so_far = so_far.groupBy(F.col("source").alias("_t")).agg(F.sum((F.col("base") + F.col("p")) * F.col("size")).alias("got"))
+            state = state.join(so_far, F.col("_source").eqNullSafe(F.col("_t")), "left")
+            taken = F.coalesce("got", F.lit(0.0))
+        rate = F.when(F.col("open") > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), (F.col("target") - taken) / F.col("open")))).otherwise(0.0)
+        state = state.select("_source", F.greatest(F.ceil(F.col("n") / FAN), F.lit(1)).alias("n_buckets"), rate.alias("rate"))
+        now = items.where(F.col("phase") == k)
+        now = now.join(state, now["source"].eqNullSafe(state["_source"])).select("source", "n_buckets", "id", "occ", "size", F.floor("rate").alias("base"), F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0).alias("p"))
+        parts.append(_settle(now, largest[k], seed, k, scratch))
+    done = sizes.select("source", F.col("doc_id").alias("id"), "occ", "size", F.lit(0).cast("long").alias("base"), F.lit(0.0).alias("p")).limit(0) if not parts else parts[0]
+    for x in parts[1:]:
+        done = done.unionByName(x)
     copies = (F.col("base") + F.col("p")).cast("long")
     return done.join(t, done["source"].eqNullSafe(t["_source"])).select(F.col("id").alias("doc_id"), "source", "occ", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
