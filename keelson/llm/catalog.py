@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import line_dedup, mixing, warc
 
-MODULES = (line_dedup, mixing)
+MODULES = (warc, mixing, line_dedup)
 
 
 def queries() -> dict:
