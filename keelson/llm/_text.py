@@ -33,8 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def stream(seed: int, n: int) -> np.ndarray:
     """n fixed pseudo-random 64-bit values."""
-    with np.errstate(over="ignore"):
-        return mix(U(seed) + np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+    return mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed))
 
 
 _byte = stream(11, 256)
@@ -133,18 +132,17 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
         return mix(w.hash), w.at
     m = len(w.hash)
     h = np.zeros(m, U)
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            h[: m - k if k else m] = mix(h[: m - k if k else m] * U(_P) + w.hash[k:])
+    for k in range(n):
+        h[: m - k] = mix(h[: m - k] * U(_P) + w.hash[k:])
     each = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     at = np.concatenate([[0], np.cumsum(each)])
     take = np.repeat(w.at[:-1] - at[:-1], each) + np.arange(at[-1])
     out = h[take]
     for i in np.flatnonzero((count < n) & (count > 0)):
-        x = U(len(w.hash[w.at[i] : w.at[i + 1]]))
-        for v in w.hash[w.at[i] : w.at[i + 1]]:
-            x = mix(np.array([x * U(_P) + v + U(1)], U))[0]
-        out[at[i]] = x
+        x = np.array([count[i]], U)
+        for k in range(w.at[i], w.at[i + 1]):
+            x = mix(x * U(_P) + w.hash[k : k + 1] + U(1))
+        out[at[i]] = x[0]
     return out, at
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, warc
+from . import line_dedup, minhash, mixing, warc
 
-MODULES = (warc, mixing, line_dedup)
+MODULES = (warc, minhash, mixing, line_dedup)
 
 
 def queries() -> dict:
