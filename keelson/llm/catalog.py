@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import line_dedup, minhash, mixing, warc
+from . import decontaminate, line_dedup, minhash, mixing, warc
 
-MODULES = (warc, minhash, mixing, line_dedup)
+MODULES = (warc, minhash, decontaminate, mixing, line_dedup)
 
 
 def queries() -> dict:
