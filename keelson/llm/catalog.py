@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, minhash, mixing, warc
+from . import decontaminate, line_dedup, minhash, mixing, quality, toxicity, warc
 
-MODULES = (warc, minhash, decontaminate, mixing, line_dedup)
+MODULES = (warc, minhash, quality, decontaminate, mixing, toxicity, line_dedup)
 
 
 def queries() -> dict:
