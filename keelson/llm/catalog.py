@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, minhash, mixing, quality, toxicity, warc
+from . import brown, decontaminate, embed_dedup, line_dedup, minhash, mixing, quality, toxicity, warc
 
-MODULES = (warc, minhash, quality, decontaminate, mixing, toxicity, line_dedup)
+MODULES = (warc, minhash, quality, decontaminate, mixing, embed_dedup, toxicity, line_dedup, brown)
 
 
 def queries() -> dict:
