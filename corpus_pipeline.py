@@ -1,15 +1,76 @@
-"""A corpus in stages: each takes the documents that the one before it kept."""
+"""A corpus in stages: each works on all documents that the one before it kept, and its decisions take effect.
+
+Toxic documents go; lines found in ten documents or more go; of near-duplicates (five-word shingles, similarity 0.8) the one
+with the smallest doc_id stays; contaminated documents go; sources are mixed to target weights, and documents that the
+mix takes leave with their number of copies. Documents without a text pass all filters.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from keelson.llm._shared import alone, table
+from keelson.llm.decontaminate import contaminated_spans, verdicts
+from keelson.llm.line_dedup import line_dedup
+from keelson.llm.minhash import near_duplicates
+from keelson.llm.mixing import mix_sources, word_count
+from keelson.llm.toxicity import fit, toxicity
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = alone(docs, *COLUMNS)
+    model = fit(docs, alone(table(spark, sf_dir, "labels"), "doc_id", "toxic"))
+    bad = toxicity(docs, model).where("score >= 0.5").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup(alone(docs, *COLUMNS), min_chars=1, min_docs=10)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = alone(docs, *COLUMNS)
+    gone = near_duplicates(docs.select("doc_id", "text"), n=5, percent=80).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = alone(docs, *COLUMNS)
+    found = verdicts(contaminated_spans(docs.select("doc_id", "text"), alone(table(spark, sf_dir, "benchmark"), "item_id", "text")))
+    bad = found.where("contaminated").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with copies, size, source_size, target and taken."""
+    docs = alone(docs, *COLUMNS)
+    mixed = mix_sources(docs.select("doc_id", "text", "source"))
+    key = ["doc_id", "source", "size"]
+    own = docs.withColumn("size", word_count(F.col("text")))
+    own = own.withColumn("occ", F.row_number().over(Window.partitionBy(*key).orderBy("text", "lang", "n_chars")))
+    taken = mixed.where("copies > 0").select(*(F.col(c).alias(f"_{c}") for c in (*key, "occ")), "source_size", "target", "copies", "taken")
+    same = own["size"] == taken["_size"]
+    for c in ("doc_id", "source", "occ"):
+        same &= own[c].eqNullSafe(taken[f"_{c}"])
+    return own.join(taken, same).select(*COLUMNS, "size", "source_size", "target", "copies", "taken")
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
