@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import brown, decontaminate, embed_dedup, line_dedup, minhash, mixing, quality, toxicity, warc
+from . import brown, decontaminate, embed_dedup, line_dedup, minhash, mixing, passages, quality, toxicity, warc
 
-MODULES = (warc, minhash, quality, decontaminate, mixing, embed_dedup, toxicity, line_dedup, brown)
+MODULES = (warc, minhash, quality, decontaminate, mixing, embed_dedup, toxicity, line_dedup, brown, passages)
 
 
 def queries() -> dict:
