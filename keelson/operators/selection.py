@@ -401,3 +401,98 @@ def select_by_regions(df: DataFrame, question: str, budget: int, variant: str =
         return pd.DataFrame({question: [rows[question].iloc[0]] * len(taken), item: rows[item].to_numpy()[taken], region: of[taken], "step": np.arange(1, len(taken) + 1)})
 
     return grouped(df, [question], kernel, f"{question} {kind}, {item} long, {region} {df.schema[region].dataType.simpleString()}, step int", [item])
+
+
+def temporal_similarity(t: np.ndarray, span: float | None = None) -> np.ndarray:
+    """1 - (dt / span) ^ 2, all ones where there is no span."""
+    span = float(np.ptp(t)) if span is None else span
+    return np.ones((len(t), len(t))) if span == 0 else 1 - ((t[:, None] - t[None, :]) / span) ** 2
+
+
+def visual_temporal(sim: np.ndarray, t: np.ndarray, scale: float = 4.0) -> np.ndarray:
+    """Similarity that fades with distance in time."""
+    return sim * np.exp(-np.abs(t[:, None] - t[None, :]) / scale)
+
+
+def text_state(sim: np.ndarray, tokens: Sequence[frozenset[str]]) -> np.ndarray:
+    """sim[i, j] times the Jaccard similarity of the token sets of i and j; as it is where i has no tokens."""
+    out = sim.copy()
+    for i, a in enumerate(tokens):
+        if a:
+            out[i] *= [len(a & b) / len(a | b) for b in tokens]
+    return out
+
+
+def literal_redundancy(nearness: np.ndarray, groups: Sequence[frozenset[str]], taken: Sequence[int]) -> np.ndarray:
+    """Nearness less the share of a row's groups that no taken row has shown."""
+    seen = frozenset().union(*(groups[i] for i in taken)) if taken else frozenset()
+    return np.array([d * (1 - len(g - seen) / len(g)) if g else d for d, g in zip(nearness, groups, strict=True)])
+
+
+def local_query_coverage(region: Region, views: np.ndarray, gain: np.ndarray, sim: np.ndarray, k: int, steps: int = 4) -> list[int]:
+    """At most steps members that raise the sum of best strict ranks over query views (rows) most, then the visual rule.
+
+    Ranks are of the region's members: how many score strictly lower in a view.
+    """
+    m = region.members
+    ranks = np.array([[(v[m] < x).sum() for x in v[m]] for v in views])
+    at = {int(i): j for j, i in enumerate(m)}
+    taken, best = [region.anchor], ranks[:, at[region.anchor]].copy()
+    while len(taken) < min(k, len(m)) and len(taken) <= steps:
+        rise = np.maximum(0, ranks - best[:, None]).sum(0).astype(float)
+        open_ = ~np.isin(m, taken)
+        if not open_.any() or rise[open_].max() <= 0:
+            break
+        j = min(np.flatnonzero(open_), key=lambda j: (-rise[j], -gain[m[j]], j))
+        taken.append(int(m[j]))
+        best = np.maximum(best, ranks[:, j])
+    return prefix(region, gain, sim, k, start=taken)
+
+
+def boundary_exchange(times: np.ndarray, scores: np.ndarray, k: int = 16, most: int = 4, gap: float = 1.0) -> list[int]:
+    """The k best rows in runs of times no more than gap apart; up to most of the lowest inner rows give way to the nearest rows just outside runs.
+
+    The first, last and best row of a run are protected; runs take turns by their best score.
+    """
+    top = sorted(np.argsort(-scores, kind="stable")[:k].tolist())
+    runs: list[list[int]] = []
+    for i in top:
+        if runs and times[i] - times[runs[-1][-1]] <= gap:
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+    keep = {x for r in runs for x in (r[0], r[-1], max(r, key=lambda i: (scores[i], -i)))}
+    inner = sorted((i for i in top if i not in keep), key=lambda i: (scores[i], i))[:most]
+    now = set(top)
+    for r in sorted(runs, key=lambda r: (-max(scores[i] for i in r), r[0])):
+        for edge, side in ((r[0], -1), (r[-1], 1)):
+            near = [i for i in range(len(times)) if i not in now and np.sign(i - edge) == side and 0 < abs(times[i] - times[edge]) <= gap]
+            if near and inner:
+                now.remove(inner.pop(0))
+                now.add(min(near, key=lambda i: (abs(times[i] - times[edge]), i)))
+    return sorted(now)
+
+
+def low_loss_swap(refs: np.ndarray, taken: Sequence[int], add: int, sim: np.ndarray, protected: set[int], prefer: int | None = None, band: float = 1e-6) -> list[int]:
+    """add comes in, the unprotected row of the least coverage loss goes; within the band the preferred one."""
+    now = [*taken, add]
+    loss = dict(zip(now, removal_losses(refs, now, sim), strict=True))
+    free = {i: x for i, x in loss.items() if i not in protected and i != add}
+    if not free:
+        return sorted(taken)
+    low = min(free.values())
+    out = prefer if prefer in free and free[prefer] <= low + band else min(free, key=lambda i: (free[i], i))
+    now.remove(out)
+    return sorted(now)
+
+
+def longest_common(a: Sequence[int], b: Sequence[int], most: int = 6) -> int:
+    """Length of the longest common subsequence of two lists of 64-bit hashes that match within most bits."""
+    best = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            up = best[j]
+            best[j] = before + 1 if bin((x ^ y) & (2**64 - 1)).count("1") <= most else max(up, best[j - 1])
+            before = up
+    return best[-1]

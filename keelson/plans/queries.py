@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import clipped, cosine
-from ..operators import contracts, ranking, selection, sets, statistics, temporal
+from ..operators import contracts, matching, ranking, selection, sets, statistics, temporal
 from . import views
 from .views import HOUR, QUESTION, SQL_C, SQL_R, SQL_S, SQL_T, SQL_V, bounds, candidates, cores, regions, results, table, vectors, windows
 
@@ -424,6 +424,48 @@ def window_counts(spark, sf):
     return counts(table(spark, sf, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 4))
 
 
+@query(_PAIRS + " AND a.vec_id < b.vec_id), x AS (SELECT *, max(c) OVER (PARTITION BY region, a) AS ma, max(c) OVER (PARTITION BY region, b) AS mb FROM p WHERE c > 0) SELECT region, a, b, round(c, 6) AS c FROM x WHERE c = ma AND c = mb")
+def mutual_nearest(spark, sf):
+    p = _pairs(vectors(spark, sf)).where("a < b").select("region", "a", "b", "c")
+    return matching.mutual_best(p, ["region"], "a", "b", "c").select("region", "a", "b", F.round("c", 6).alias("c"))
+
+
+@query(f"WITH {SQL_V}, p AS (SELECT a.region, a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.e, b.e), lambda z: CASE WHEN (z[1] > 0) <> (z[2] > 0) THEN 1 ELSE 0 END)) AS distance FROM v a JOIN v b ON a.region = b.region AND a.vec_id < b.vec_id) SELECT region, a, b, CAST(distance AS INTEGER) AS distance FROM p WHERE distance <= 22")
+def near_dup_hamming(spark, sf):
+    v = vectors(spark, sf).select("region", "vec_id", matching.sign_hash(F.col("embedding")).alias("h"))
+    return matching.hamming_pairs(v, ["region"], "vec_id", "h", 22)
+
+
+@query(f"WITH x AS (SELECT conv_id, turn, {_TOK} AS w FROM conversations), y AS (SELECT conv_id, turn, w, coalesce(lag(w) OVER o, []) AS p, coalesce(lead(w) OVER o, []) AS q FROM x WINDOW o AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, array_to_string(list_sort(list_intersect(w, list_concat(p, q))), ' ') AS confirmed FROM y")
+def token_confirm(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", tx.tokens(F.col("text")).alias("w"))
+    return matching.confirmed_tokens(c, ["conv_id"], "turn", "w").select("conv_id", "turn", F.array_join("confirmed", " ").alias("confirmed"))
+
+
+@query(f"""WITH {SQL_R}, m AS (SELECT c.question_id, c.candidate_index, c.score, c.source_pts, region_id, weight FROM c LEFT JOIN g ON c.question_id = g.question_id AND source_pts BETWEEN l AND r),
+x AS (SELECT *, row_number() OVER (PARTITION BY question_id, region_id ORDER BY score DESC, source_pts, candidate_index) AS k FROM m)
+SELECT question_id, candidate_index, CASE WHEN region_id IS NULL THEN 'outside_legal_pool' WHEN k > 5 THEN 'outside_prefix' WHEN k <= weight THEN 'selected' WHEN k <= weight + 2 THEN 'quota_reachable' ELSE 'beyond_feasible_quota' END AS state FROM x""")
+def witness_path(spark, sf):
+    c = candidates(spark, sf)
+    m = temporal.range_join(c, regions(c).select("question_id", "region_id", "left", "right", "weight"), QUESTION, "source_pts", 48 * HOUR, how="left")
+    k = F.row_number().over(Window.partitionBy("question_id", "region_id").orderBy(F.desc("score"), "source_pts", "candidate_index"))
+    x = m.withColumn("k", F.when(k <= 5, k))
+    return x.select(*ITEM, matching.witness_state(F.col("region_id").isNotNull(), F.col("k"), F.col("weight"), F.col("weight") + 2).alias("state"))
+
+
+@query(f"WITH {SQL_S}, x AS (SELECT question_id, source_pts, low, high, coalesce(source_pts - lag(source_pts) OVER (PARTITION BY question_id ORDER BY source_pts), source_pts - low) AS g FROM s JOIN b USING (question_id)) SELECT question_id, count(DISTINCT CASE WHEN high > low THEN least(31, CAST(floor((source_pts - low) / (high - low)::DOUBLE * 32) AS BIGINT)) ELSE 0 END) AS bins, greatest(max(g), min(high - source_pts)) AS max_gap, max(source_pts) - min(source_pts) AS span FROM x GROUP BY question_id")
+def selection_spread(spark, sf):
+    c = candidates(spark, sf)
+    s = ranking.top_k(c, QUESTION, 16).join(bounds(c), QUESTION)
+    return matching.spread_pairs(s, QUESTION, "source_pts", 32, F.col("low"), F.col("high"))
+
+
+@query()
+def outside_suppressed(spark, sf):
+    c = candidates(spark, sf)
+    return matching.suppressed(c, QUESTION, "source_pts", "score", "candidate_index", 24 * HOUR, 4)
+
+
 def _selected(variant):
     def run(spark, sf):
         v = vectors(spark, sf).withColumn("weight", F.lit(1.0) + F.col("region") % 3)

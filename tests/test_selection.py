@@ -113,3 +113,27 @@ def test_segment_competition_rejects_short_pools_and_runs_join_alike_rows():
     assert S.similarity_runs(np.array([0, 1, 2, 5]), np.ones((4, 4))).tolist() == [0, 0, 0, 1]
     assert len(S.coarsest_detail(np.arange(37.0), 2)) == 37
     assert S.ordered_pairs([0, 1, 2, 3], dict.fromkeys(range(4), 0), {1, 2}, np.ones((4, 4))) == [(0, 1), (2, 3)]
+
+
+def test_more_kernels():
+    rs, r, sim = group(13)
+    reg = rs[0]
+    views = np.stack([r, r[::-1]])
+    got = S.local_query_coverage(reg, views, r, sim, 6)
+    assert got[0] == reg.anchor and len(set(got)) == len(got) == min(6, len(reg.members))
+    ranks = np.array([[(v[reg.members] < x).sum() for x in v[reg.members]] for v in views])
+    start = ranks[:, list(reg.members).index(reg.anchor)]
+    rise = np.maximum(0, ranks - start[:, None]).sum(0)
+    if rise.max() > 0:
+        assert rise[list(reg.members).index(got[1])] == rise.max()
+    out = S.low_loss_swap(np.arange(31), [0, 4, 9], 12, sim, {0})
+    assert len(out) == 3 and {0, 12} <= set(out)
+    times, scores = np.arange(30.0), np.linspace(0, 1, 30)
+    b = S.boundary_exchange(times, scores)
+    assert len(b) == 16 and 29 in b and 13 in b
+    assert S.longest_common([1, 2, 3], [1, 9, 3], 0) == 2
+    assert S.temporal_similarity(np.zeros(3)).min() == 1 and S.temporal_similarity(np.array([0.0, 4.0]))[0, 1] == 0
+    t = S.text_state(np.ones((2, 2)), [frozenset("ab"), frozenset("b")])
+    assert t[0, 1] == 0.5 and S.text_state(np.ones((2, 2)), [frozenset(), frozenset("b")])[0, 1] == 1
+    assert S.literal_redundancy(np.ones(2), [frozenset("ab"), frozenset()], [0])[0] == 1
+    assert np.allclose(np.diag(S.visual_temporal(sim, times[: len(sim)] if len(times) >= len(sim) else np.arange(float(len(sim))))), np.diag(sim))
