@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import clipped, cosine
-from ..operators import contracts, matching, ranking, selection, sets, statistics, temporal
+from ..operators import contracts, matching, pools, ranking, reports, selection, sets, statistics, temporal
 from . import views
 from .views import HOUR, QUESTION, SQL_C, SQL_R, SQL_S, SQL_T, SQL_V, bounds, candidates, cores, regions, results, table, vectors, windows
 
@@ -466,6 +466,42 @@ def outside_suppressed(spark, sf):
     return matching.suppressed(c, QUESTION, "source_pts", "score", "candidate_index", 24 * HOUR, 4)
 
 
+@query(f"WITH {SQL_T} SELECT CASE WHEN grouping(stratum) = 1 THEN 'all' ELSE stratum END AS stratum, CASE WHEN grouping(cluster) = 1 THEN 'all' ELSE cluster END AS cluster, count(*) AS n, count(*) FILTER (WHERE a) AS right_a, count(*) FILTER (WHERE b) AS right_b FROM t GROUP BY GROUPING SETS ((stratum), (cluster), (stratum, cluster))")
+def grouped_profile(spark, sf):
+    measures = {"n": F.count(F.lit(1)), "right_a": F.count_if(F.col("a")), "right_b": F.count_if(F.col("b"))}
+    return reports.profile(results(spark, sf), [["stratum"], ["cluster"], ["stratum", "cluster"]], measures)
+
+
+@query(f"WITH {SQL_T} SELECT stratum, count(*) AS n, count(*) FILTER (WHERE NOT a AND NOT b) AS common, count(*) FILTER (WHERE NOT a) AS wrong_a, count(*) FILTER (WHERE NOT b) AS wrong_b FROM t GROUP BY stratum")
+def common_failures(spark, sf):
+    return reports.common_failures(results(spark, sf), ["a", "b"], "stratum")
+
+
+@query(f"WITH {SQL_S}, u AS (SELECT question_id, candidate_index FROM c WHERE candidate_index % 2 = 0), e AS (SELECT s.question_id, avg(CASE WHEN u.candidate_index IS NULL THEN 0.0 ELSE 1.0 END) AS retained FROM s LEFT JOIN u ON s.question_id = u.question_id AND s.candidate_index = u.candidate_index GROUP BY s.question_id) SELECT question_id, round(retained, 9) AS retained, round(avg(retained) OVER (), 9) AS macro FROM e")
+def retention(spark, sf):
+    c = candidates(spark, sf)
+    out = reports.retention(c.where("candidate_index % 2 = 0"), ranking.top_k(c, QUESTION, 16), QUESTION, "candidate_index")
+    return out.select("question_id", F.round("retained", 9).alias("retained"), F.round("macro", 9).alias("macro"))
+
+
+@query(f"WITH {SQL_C} SELECT question_id, candidate_index AS original_index, row_number() OVER (PARTITION BY question_id ORDER BY source_pts, candidate_index) - 1 AS candidate_index FROM c WHERE event_type <> 'error'")
+def exclusion_reindex(spark, sf):
+    c = candidates(spark, sf)
+    return pools.exclude(c, c.where("event_type = 'error'"), QUESTION).select("question_id", "original_index", "candidate_index")
+
+
+@query(f"""WITH {SQL_R}, t AS (SELECT question_id, r, unnest(range(l + {HOUR}, r + 1, {6 * HOUR})) AS target FROM g),
+n AS (SELECT t.question_id, target, t.r, min(source_pts) AS source FROM t LEFT JOIN c ON c.question_id = t.question_id AND source_pts >= target GROUP BY ALL),
+m AS (SELECT *, row_number() OVER (PARTITION BY question_id, source ORDER BY target) AS nth FROM n)
+SELECT m.question_id, target, source, CASE WHEN source IS NULL THEN 'no_source' WHEN source > m.r THEN 'outside_window' WHEN s.source_pts IS NOT NULL OR nth > 1 THEN 'duplicate_source' ELSE 'added' END AS status FROM m LEFT JOIN s ON s.question_id = m.question_id AND s.source_pts = source""")
+def fine_pool(spark, sf):
+    c = candidates(spark, sf)
+    r = regions(c)
+    targets = r.withColumn("target", F.explode(F.sequence(F.col("left") + HOUR, F.greatest("right", F.col("left") + HOUR), F.lit(6 * HOUR)))).where("target <= right").select("question_id", "target", "right")
+    _, status = pools.fine_pool(ranking.top_k(c, QUESTION, 16), targets, c, QUESTION, "source_pts")
+    return status
+
+
 def _selected(variant):
     def run(spark, sf):
         v = vectors(spark, sf).withColumn("weight", F.lit(1.0) + F.col("region") % 3)
