@@ -496,3 +496,132 @@ def longest_common(a: Sequence[int], b: Sequence[int], most: int = 6) -> int:
             best[j] = before + 1 if bin((x ^ y) & (2**64 - 1)).count("1") <= most else max(up, best[j - 1])
             before = up
     return best[-1]
+
+
+def without(regions: Sequence[Region], banned: set[int], scores: np.ndarray) -> list[Region]:
+    """Regions that may not choose banned rows, which stay references; a banned anchor gives way to the best row left."""
+    out = []
+    for r in regions:
+        m = np.array([i for i in r.members if i not in banned], np.int64)
+        if len(m):
+            out.append(Region(m, r.references, r.anchor if r.anchor not in banned else int(m[np.argmax(scores[m])]), r.weight))
+    return out
+
+
+def hotspots(segment: np.ndarray, taken: Sequence[int], scores: np.ndarray, times: np.ndarray, sim: np.ndarray, duration: float, reach: float = 2.0, percentile: float = 75.0, most: int = 2) -> list[tuple[int, float, float, str]]:
+    """Of each segment with picks: its best pick, the window round it, and why the window is refined or not.
+
+    A window's priority is the pick's score times what its rows score and no pick inside covers; windows that touch an accepted one are refused.
+    """
+    bar, found, out = np.percentile(scores, percentile), [], []
+    for s in sorted({int(segment[i]) for i in taken}):
+        own = [i for i in taken if segment[i] == s]
+        h = max(own, key=lambda i: (scores[i], -i))
+        left, right = max(0.0, times[h] - reach), min(duration, times[h] + reach)
+        if scores[h] < bar:
+            out.append((h, left, right, "below_percentile"))
+            continue
+        inside = np.flatnonzero((times >= left) & (times <= right))
+        picks = [i for i in taken if left <= times[i] <= right]
+        rest = float((scores[inside] * (1 - sim[np.ix_(inside, picks)].max(1))).mean())
+        if rest <= 0:
+            out.append((h, left, right, "already_covered"))
+        else:
+            found.append((-scores[h] * rest, h, left, right))
+    kept: list[tuple[float, float]] = []
+    for _, h, left, right in sorted(found):
+        if any(left <= b and a <= right for a, b in kept):
+            out.append((h, left, right, "overlap"))
+        elif len(kept) == most:
+            out.append((h, left, right, "hotspot_limit"))
+        else:
+            kept.append((left, right))
+            out.append((h, left, right, "selected"))
+    return out
+
+
+def reselect(segment: np.ndarray, taken: Sequence[int], gain: np.ndarray, sim: np.ndarray, changed: set[int], fixed: set[int] = frozenset()) -> list[int]:
+    """Segments that got new rows are chosen anew at their numbers, by gain * sqrt(1 - d); fixed rows stay and count as taken."""
+    out = [i for i in taken if int(segment[i]) not in changed or i in fixed]
+    for s in sorted(changed):
+        n = sum(int(segment[i]) == s for i in taken)
+        now, rows = [i for i in out if segment[i] == s], np.flatnonzero(segment == s)
+        while len(now) < n:
+            near = sim[np.ix_(rows, now)].max(1) if now else np.zeros(len(rows))
+            i = first_best(gain[rows] * np.sqrt(np.maximum(0.0, 1 - near)), ~np.isin(rows, now))
+            if i < 0:
+                break
+            now.append(int(rows[i]))
+        out = [i for i in out if segment[i] != s] + now
+    return sorted(out)
+
+
+def relevance_in_regions(regions: Sequence[Region], quotas: Sequence[int], scores: np.ndarray, cos: np.ndarray, lam: float = 0.5) -> list[int]:
+    """Maximal marginal relevance within each region to its quota, from its anchor."""
+    out = []
+    for r, q in zip(regions, quotas, strict=True):
+        m = r.members
+        first = int(np.flatnonzero(m == r.anchor)[0])
+        out += [int(m[i]) for i in marginal_relevance(scores[m], cos[np.ix_(m, m)], q, lam, first)]
+    return sorted(out)
+
+
+def both_sides(regions: Sequence[Region], taken: Sequence[int], gain: np.ndarray, sim: np.ndarray, least: int = 3, most: int = 2) -> list[int]:
+    """In regions with least picks or more, all on one side of the anchor, the pick of the least coverage loss gives way to the best row on the other side."""
+    now, swaps = list(taken), 0
+    for r in regions:
+        own = [i for i in now if i in set(r.members.tolist())]
+        if len(own) < least or swaps == most:
+            continue
+        before, after = [i for i in own if i < r.anchor], [i for i in own if i > r.anchor]
+        missing = [i for i in r.members if (i < r.anchor if not before else i > r.anchor) and i not in now] if not before or not after else []
+        if not missing:
+            continue
+        loss = dict(zip(own, removal_losses(r.references, own, sim), strict=True))
+        out = min((i for i in own if i != r.anchor), key=lambda i: (loss[i], -i))
+        rest = [i for i in own if i != out]
+        add = max(missing, key=lambda i: (gain[i] * np.sqrt(max(0.0, 1 - sim[i, rest].max())), -i))
+        now[now.index(out)] = int(add)
+        swaps += 1
+    return sorted(now)
+
+
+def last_slot_swap(orders: Sequence[Sequence[int]], quotas: Sequence[int], value: np.ndarray) -> list[int]:
+    """The selection by quotas, with the one change of a region's last pick for its next row that raises value most, if any does."""
+    best: tuple[float, int] | None = None
+    for k, (o, q) in enumerate(zip(orders, quotas, strict=True)):
+        if 1 < q < len(o) and (rise := float(value[o[q]] - value[o[q - 1]])) > 0 and (best is None or rise > best[0]):
+            best = (rise, k)
+    out = []
+    for k, (o, q) in enumerate(zip(orders, quotas, strict=True)):
+        out += [*o[: q - 1], o[q]] if best and k == best[1] else list(o[:q])
+    return sorted(out)
+
+
+def layout_change(a: Sequence[tuple[tuple[float, float, float, float], str]], b: Sequence[tuple[tuple[float, float, float, float], str]]) -> float:
+    """Over boxes that are each other's only best overlap, the largest overlap times normalised edit distance; 0 if a side is empty."""
+
+    def overlap(x, y):
+        w, h = min(x[2], y[2]) - max(x[0], y[0]), min(x[3], y[3]) - max(x[1], y[1])
+        inter = max(0.0, w) * max(0.0, h)
+        area = (x[2] - x[0]) * (x[3] - x[1]) + (y[2] - y[0]) * (y[3] - y[1]) - inter
+        return inter / area if area > 0 else 0.0
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            before, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != d))
+        return row[-1] / max(len(x), len(y), 1)
+
+    if not a or not b:
+        return 0.0
+    m = np.array([[overlap(x, y) for y, _ in b] for x, _ in a])
+    best = 0.0
+    for i in range(len(a)):
+        j = int(m[i].argmax())
+        v = m[i, j]
+        if v > 0 and (m[i] == v).sum() == 1 and m[:, j].max() == v and (m[:, j] == v).sum() == 1:
+            best = max(best, v * edits(a[i][1], b[j][1]))
+    return best

@@ -137,3 +137,26 @@ def test_more_kernels():
     assert t[0, 1] == 0.5 and S.text_state(np.ones((2, 2)), [frozenset(), frozenset("b")])[0, 1] == 1
     assert S.literal_redundancy(np.ones(2), [frozenset("ab"), frozenset()], [0])[0] == 1
     assert np.allclose(np.diag(S.visual_temporal(sim, times[: len(sim)] if len(times) >= len(sim) else np.arange(float(len(sim))))), np.diag(sim))
+
+
+def test_refinement_kernels():
+    rs, r, sim = group(19)
+    segment = np.zeros(31, int)
+    for k, g in enumerate(rs):
+        segment[g.members] = k
+    taken = S.segment_competition(segment, r, sim, 9)
+    h = S.hotspots(segment, taken, r, np.arange(31.0), sim, 31.0)
+    assert {x[3] for x in h} <= {"below_percentile", "already_covered", "overlap", "hotspot_limit", "selected"} and sum(x[3] == "selected" for x in h) <= 2
+    again = S.reselect(segment, taken, r, sim, {0})
+    assert len(again) == 9 and {i for i in again if segment[i]} == {i for i in taken if segment[i]}
+    picks = S.relevance_in_regions(rs, [3] * len(rs), r, sim)
+    assert {g.anchor for g in rs} <= set(picks) and len(picks) == sum(min(3, len(g.members)) for g in rs)
+    m = rs[0].members
+    one = S.Region(m, m, int(m[len(m) // 2]))
+    side = S.both_sides([one], [int(i) for i in m[len(m) // 2 : len(m) // 2 + 3]], r, sim)
+    assert min(side) < one.anchor and max(side) > one.anchor and len(side) == 3
+    assert S.last_slot_swap([[0, 1, 2], [5, 6]], [2, 2], np.array([0, 0.1, 0.9, 0, 0, 0, 0])) == [0, 2, 5, 6]
+    cut = S.without(rs, {rs[0].anchor}, r)
+    assert rs[0].anchor not in cut[0].members and rs[0].anchor in cut[0].references and cut[0].anchor in cut[0].members
+    assert S.layout_change([((0, 0, 2, 2), "abcd")], [((0, 0, 2, 2), "abcx"), ((9, 9, 10, 10), "q")]) == 0.25
+    assert S.layout_change([((0, 0, 2, 2), "a")], [((0, 0, 2, 2), "b"), ((0, 0, 2, 2), "c")]) == 0 == S.layout_change([], [((0, 0, 1, 1), "a")])
