@@ -5,12 +5,13 @@
 2. Texts with equal shingle sets are one class, named by its smallest doc_id, so groups of copies cost one row.
 3. Classes meet in buckets, one for each band of ROWS signature entries. Each bucket gives edges from its smallest class
    to the others only, so there are no more edges than rows. Edges are verified on full sets.
-4. Components of verified edges. In buckets that still hold more than one component, pairs across components that sizes
-   and signatures allow are verified too: what a star's centre could not link, a pair of its own can.
+4. Components of verified edges. Texts of buckets that still hold several components form stars again, round other centres
+   and in ever finer buckets (of FINER bands together), between different components only: what one star's centre could not link,
+   another can, and there are still no more edges than rows, however many texts are nearly similar enough.
 5. Components again, over all verified edges.
 
-At a similarity of 0.8, a pair shares no bucket with a probability of (1 - 0.8^4)^32 = 5e-8. Step 4 passes over pairs whose
-signatures agree in under SURE of BINS entries, which at 0.8 has a probability under 1e-6.
+At a similarity of 0.8, a pair shares no bucket with a probability of (1 - 0.8^4)^32 = 5e-8. That it shares none with a centre
+that links both, in any round, depends on how many texts of lower similarity crowd its buckets; the README has measured figures.
 
 Defined cases: a null text, or one without words, has no shingles and links with nothing; a text of fewer words than a
 shingle is one shingle; rows that repeat a doc_id are one node; rows without doc_id get their n_shingles, no component
@@ -33,12 +34,19 @@ from ._text import NOT_SPACE, U, Words, buffers, long_list, mix, pieces, shingle
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-SURE = 80
+#: how many bands together make a bucket in the rounds of step 4, and buckets of a text in these rounds
+FINER, BUCKETS = (1, 1, 2), 96
 _PROBES = 512
 _probe = (np.vstack([mix(stream(101 + k, BINS)) for k in range(_PROBES)]) >> U(57)).astype(np.int64)
 _salt = stream(7, BANDS)
 
 
+def _picks(seed: int, depth: int) -> np.ndarray:
+    """BUCKETS fixed choices of depth bands."""
+    rank = np.argsort(stream(5000 + seed, BUCKETS * BANDS).reshape(BUCKETS, BANDS), 1)
+    return np.sort(rank[:, :depth], 1)
+
+
 def densify(sig: np.ndarray, filled: np.ndarray) -> np.ndarray:
     """Optimal densification of signature rows, each with one filled bin at least."""
     out = sig.copy()
@@ -95,10 +103,9 @@ def _signed(n: int):
                 size = np.array([len(s) for s in sets], np.int64)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 at = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))])
-                low = (mix(sig) & U(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(size), pa.array(digests, pa.binary()), long_list(bands[size > 0].ravel(), at), pa.array([x.tobytes() for x in low], pa.binary())],
-                    ["doc_id", "n_shingles", "set_id", "bands", "low"],
+                    [b.column("doc_id"), pa.array(size), pa.array(digests, pa.binary()), long_list(bands[size > 0].ravel(), at)],
+                    ["doc_id", "n_shingles", "set_id", "bands"],
                 )
 
     return run
@@ -115,58 +122,65 @@ def _sets(n: int):
     return run
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of two classes with their low signature bytes, if these agree often enough."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in ("low_a", "low_b"))
-        ok = (x == y).sum(1) >= SURE
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of distinct pairs (a, b), those whose full sets are similar enough."""
-    of_b = pairs.join(sets.select(F.col("rep").alias("b"), F.col("items").alias("items_b")), "b")
-    both = of_b.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a")), "a")
+    of_b = pairs.hint("merge").join(sets.select(F.col("rep").alias("b"), F.col("items").alias("items_b")), "b")
+    both = of_b.hint("merge").join(sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a")), "a")
     common = F.size(F.array_intersect("items_a", "items_b"))
     return both.where(100 * common >= percent * (F.size("items_a") + F.size("items_b") - common)).select("a", "b").distinct()
 
 
-def _texts(docs: DataFrame, signed: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """Sets of the classes in pairs, each from the one text that stands for it."""
+def _full_sets(docs: DataFrame, pairs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """Sets of all classes in pairs: the one time that texts are shuffled, by merge at any size."""
     used = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    rows = docs.join(used, docs["doc_id"] == used["rep"]).select("doc_id", "text").dropDuplicates(["doc_id", "text"])
-    return rows.mapInArrow(_sets(n), "rep long, items array<long>")
+    texts = docs.join(used.hint("merge"), docs["doc_id"] == used["rep"]).select("doc_id", "text").dropDuplicates(["doc_id", "text"])
+    return scratch.save(texts.mapInArrow(_sets(n), "rep long, items array<long>"), "sets")
+
+
+def _open(rows: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with their components, and the bands whose buckets hold several, with the smallest."""
+    named = rows.join(comps, rows["rep"] == comps["node"], "left").select("band", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
+    return named, named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "lo")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     scratch = scratch or Scratch(docs.sparkSession)
-    signed = scratch.save(docs.select("doc_id", "text").mapInArrow(_signed(n), "doc_id long, n_shingles long, set_id binary, bands array<long>, low binary"), "signed")
+    signed = scratch.save(docs.select("doc_id", "text").mapInArrow(_signed(n), "doc_id long, n_shingles long, set_id binary, bands array<long>"), "signed")
     member = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = member.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    reps = member.join(classes, (member["set_id"] == classes["set_id"]) & (member["doc_id"] == classes["rep"])).select("rep", "n_shingles", "bands", "low").dropDuplicates(["rep", "n_shingles", "bands"])
+    reps = member.join(classes, (member["set_id"] == classes["set_id"]) & (member["doc_id"] == classes["rep"])).select("rep", "n_shingles", "bands").dropDuplicates(["rep", "n_shingles", "bands"])
     reps = scratch.save(reps, "classes")
     rows = scratch.save(reps.select("rep", "n_shingles", F.explode("bands").alias("band")), "rows")
     heads = rows.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("band", "head")
     stars = scratch.save(rows.join(heads, "band").where("rep > head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    sets = scratch.save(_texts(docs, signed, classes, stars, n), "sets")
-    linked = scratch.save(_verified(stars, sets, percent), "linked")
+    # members of buckets that several classes share are all in stars, so later rounds need no other sets
+    full = _full_sets(docs, stars, n, scratch)
+    linked = scratch.save(_verified(stars, full, percent), "linked")
     scratch.drop(stars)
     comps = scratch.save(connected_components(linked, scratch), "components")
-    # across the components that a bucket still holds
-    named = rows.join(comps, rows["rep"] == comps["node"], "left").select("band", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
-    open_ = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    rest = scratch.save(named.join(open_, "band"), "rest")
-    x, y = (rest.select(F.col("band").alias("band"), F.col("rep").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("comp").alias(f"c_{k}")) for k in "ab")
-    across = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))).select("a", "b").distinct()
-    low = reps.select("rep", "low")
-    across = across.join(low.select(F.col("rep").alias("a"), F.col("low").alias("low_a")), "a").join(low.select(F.col("rep").alias("b"), F.col("low").alias("low_b")), "b")
-    across = scratch.save(across.mapInArrow(_agree, "a long, b long").join(linked, ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
-        more = scratch.save(_verified(across, scratch.save(_texts(docs, signed, classes, across, n), "sets"), percent), "linked")
-        comps = scratch.save(connected_components(linked.unionByName(more), scratch), "components")
+    # stars again, round other centres and in ever finer buckets, where components still meet
+    for k, depth in enumerate(FINER):
+        named, open_ = _open(rows, comps)
+        held = named.join(open_, "band").select("rep", "comp").distinct()
+        finer = rows.join(open_, "band").join(comps, rows["rep"] == comps["node"], "left").select("rep", F.coalesce("component", "rep").alias("comp"), "band")
+        if depth > 1:
+            sets = held.join(reps.select(F.col("rep").alias("_rep"), "bands"), F.col("rep") == F.col("_rep"))
+            picks = F.lit([[int(x) for x in v] for v in _picks(k, depth)])
+            finer = sets.select("rep", "comp", F.explode(F.transform(picks, lambda v: F.xxhash64(v, F.transform(v, lambda i: F.get("bands", i))))).alias("band"))
+        finer = scratch.save(finer, "finer")
+        order = F.xxhash64("rep", "band", F.lit(k))
+        heads = finer.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "comp"), order).alias("head")).where("lo < hi").select("band", "head")
+        stars = finer.join(heads, "band").where("comp <> head.comp").select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b")).distinct()
+        stars = scratch.save(stars.join(linked, ["a", "b"], "left_anti"), "stars")
+        scratch.drop(finer)
+        if stars.isEmpty():
+            continue
+        more = scratch.save(_verified(stars, full, percent), "linked")
+        scratch.drop(stars)
+        if not more.isEmpty():
+            linked = linked.unionByName(more)
+            comps = scratch.save(connected_components(linked, scratch), "components")
     # back to documents, by class
     home = signed.select("doc_id", "n_shingles", "set_id")
     by_rep = home.join(classes.withColumnRenamed("set_id", "_set"), F.col("set_id") == F.col("_set"), "left")
