@@ -402,6 +402,25 @@ def test_compact_windows_equal_the_tree():
             assert set(zip(of.tolist(), lo.tolist(), c.tolist(), hi.tolist(), strict=True)) == want
 
 
+def test_passages_with_a_word_changed_anywhere_are_alike():
+    rng = np.random.default_rng(21)
+    fresh = iter(range(10**9))
+    seq = lambda w: passages.shingles(Words(*buffers(pa.array([" ".join(w)])), NOT_SPACE), passages.GRAM)[0]
+    text = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    for n in range(50, 76, 5):
+        p = text(n)
+        for k in range(n):
+            near = p[:k] + ["changed"] + p[k + 1 :]
+            x, y = text(30) + p + text(30), text(int(rng.integers(0, 40))) + near + text(9)
+            a, b = ({tuple(w[i : i + 5]) for i in range(n - 4)} for w in (p, near))
+            found = passages.alike(seq(x), seq(y))
+            assert 5 * len(a & b) >= 4 * len(a | b) or not found
+            if 5 <= k < n - 5 and 5 * len(a & b) >= 4 * len(a | b):
+                assert [(s, e) for s, e, *_ in found] == [(30, 30 + n - 4)], (n, k)
+    two = p[:20] + p[10:40]  # places of its own words that are also elsewhere
+    assert passages.alike(seq(text(5) + p), seq(two + text(20) + p + two))[0][:2] == (5, 5 + len(p) - 4)
+
+
 def test_planted_passages_are_found_and_clean_texts_left(spark):
     rng = np.random.default_rng(17)
     fresh = iter(range(10**9))
