@@ -8,10 +8,14 @@
 4. Components of verified edges. Texts of buckets that still hold several components form stars again, round other centres
    and in ever finer buckets (of FINER bands together), between different components only: what one star's centre could not link,
    another can, and there are still no more edges than rows, however many texts are nearly similar enough.
-5. Components again, over all verified edges.
+5. Stars alone leave pairs out where a bucket is crowded. So in the buckets that still hold several components, all pairs
+   of different components are compared, in tiles of TILE texts, by exact bounds: the sizes, and the bits in which two parity bitmaps
+   of MARKS bits differ, which are never more than the elements that the sets don't share. Only pairs that both bounds let through
+   leave a task, and are verified on full sets. The comparisons are quadratic in what stays open in a bucket, the rows are not.
+6. Components again, over all verified edges.
 
-At a similarity of 0.8, a pair shares no bucket with a probability of (1 - 0.8^4)^32 = 5e-8. That it shares none with a centre
-that links both, in any round, depends on how many texts of lower similarity crowd its buckets; the README has measured figures.
+At a similarity of 0.8, a pair shares no bucket with a probability of (1 - 0.8^4)^32 = 5e-8; all pairs that share one are linked
+or in one component.
 
 Defined cases: a null text, or one without words, has no shingles and links with nothing; a text of fewer words than a
 shingle is one shingle; rows that repeat a doc_id are one node; rows without doc_id get their n_shingles, no component
@@ -36,6 +40,7 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: how many bands together make a bucket in the rounds of step 4, and buckets of a text in these rounds
 FINER, BUCKETS = (1, 1, 2), 96
+TILE, MARKS = 400, 4096
 _PROBES = 512
 _probe = (np.vstack([mix(stream(101 + k, BINS)) for k in range(_PROBES)]) >> U(57)).astype(np.int64)
 _salt = stream(7, BANDS)
@@ -143,6 +148,68 @@ def _open(rows: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named, named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "lo")
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each set its size and, by the last bits of hashes, whether an odd number of elements has them."""
+    for b in batches:
+        col = b.column("items")
+        size = np.diff(col.offsets.to_numpy())
+        at = col.flatten().to_numpy().view(U) & U(MARKS - 1)
+        bits = np.zeros((len(size), MARKS), np.uint8)
+        np.bitwise_xor.at(bits, (np.repeat(np.arange(len(size)), size), at.astype(np.int64)), 1)
+        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(size.astype(np.int64)), pa.array([x.tobytes() for x in np.packbits(bits, 1)], pa.binary())], ["rep", "n", "bits"])
+
+
+def _crossing(percent: int):
+    """Rows in order of band, x, y and side: pairs of different components in tile x, or of tiles x and y, that can be similar enough."""
+
+    def pairs(comp, rep, n, bits, side) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        mid = int(np.searchsorted(side, 1))
+        for i in range(mid):
+            j = np.arange(i + 1, len(rep)) if mid == len(rep) else np.arange(mid, len(rep))
+            j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            if len(j):
+                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+                j = j[(100 + percent) * apart <= (100 - percent) * (n[j] + n[i])]
+                yield np.minimum(rep[j], rep[i]), np.maximum(rep[j], rep[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = ["band", "x", "y", "comp", "rep", "n", "side"], None
+        for b in batches:
+            cols = [b.column(k).to_numpy() for k in names] + [buffers(b.column("bits"))[0].reshape(-1, MARKS // 8)]
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            new = (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])
+            edge = np.flatnonzero(new) + 1
+            if len(edge):
+                yield from told(held, np.append(0, edge))
+                held = [x[edge[-1] :] for x in held]
+        if held is not None and len(held[0]):
+            yield from told(held, np.array([0, len(held[0])]))
+
+    def told(held: list[np.ndarray], edge: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, _, _, comp, rep, n, side, bits = held
+        bits = np.ascontiguousarray(bits).view(U)
+        found = [p for a, z in zip(edge[:-1], edge[1:], strict=True) for p in pairs(comp[a:z], rep[a:z], n[a:z], bits[a:z], side[a:z])]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in found])) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _crossed(rows: DataFrame, comps: DataFrame, full: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Distinct pairs (a, b) of different components that share a bucket and can be similar enough."""
+    named, open_ = _open(rows, comps)
+    held = scratch.save(named.join(open_.select("band"), "band").select("band", "rep", "comp").distinct(), "open")
+    tiles = held.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    tile = F.pmod(F.xxhash64("rep", "band"), F.col("tiles").cast("long")).cast("int")
+    dealt = held.join(tiles, "band").select("band", "rep", "comp", tile.alias("t"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
+    dealt = dealt.select("band", F.least("t", "u").alias("x"), F.greatest("t", "u").alias("y"), (F.col("t") > F.col("u")).cast("int").alias("side"), "rep", "comp")
+    used = held.select("rep").distinct()
+    marks = full.join(used, "rep", "left_semi").mapInArrow(_marked, "rep long, n long, bits binary")
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = dealt.join(marks, "rep").repartition(parts, "band", "x", "y").sortWithinPartitions("band", "x", "y", "side")
+    return scratch.save(met.mapInArrow(_crossing(percent), "a long, b long").distinct(), "crossed")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     scratch = scratch or Scratch(docs.sparkSession)
@@ -181,6 +248,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, scratch: Scr
         if not more.isEmpty():
             linked = linked.unionByName(more)
             comps = scratch.save(connected_components(linked, scratch), "components")
+    # what no centre linked: all pairs across the components of a bucket
+    crossed = _crossed(rows, comps, full, percent, scratch)
+    if not crossed.isEmpty():
+        more = scratch.save(_verified(crossed, full, percent), "linked")
+        if not more.isEmpty():
+            comps = scratch.save(connected_components(linked.unionByName(more), scratch), "components")
     # back to documents, by class
     home = signed.select("doc_id", "n_shingles", "set_id")
     by_rep = home.join(classes.withColumnRenamed("set_id", "_set"), F.col("set_id") == F.col("_set"), "left")

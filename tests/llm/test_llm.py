@@ -133,6 +133,22 @@ def test_minhash_equals_all_pairs(spark, n, percent):
     assert minhash.near_duplicates(table(spark, rows).limit(0)).isEmpty()
 
 
+def test_minhash_equals_all_pairs_in_a_crowd(spark):
+    rng = np.random.default_rng(22)
+    has = np.zeros((900, 150 + 900 * 10), np.int32)  # most just below 0.8 of each other, a few pairs above
+    for i in range(len(has)):
+        has[i, :150] = 1
+        has[i, rng.choice(150, 10, replace=False)] = 0
+        has[i, 150 + 10 * i : 160 + 10 * i] = 1
+    common = has @ has.T
+    links = [(int(a), int(b)) for a, b in np.argwhere(100 * common >= 80 * (300 - common)) if a < b]
+    comp = components(range(len(has)), links)
+    assert 100 < len(links) and len(set(comp.values())) > 100
+    rows = [(i, " ".join(f"w{k}" for k in np.flatnonzero(x))) for i, x in enumerate(has)]
+    out = minhash.near_duplicates(table(spark, rows), 1, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == comp
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(5)
     for size in (6, 40, 400):
