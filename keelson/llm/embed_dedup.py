@@ -4,12 +4,14 @@
    value; classes are sorted by pass, key and value over the cluster. Each is compared with the WINDOW classes
    that follow: rows of a stretch of the order, and the first WINDOW of the next stretch, are one group, so groups are bounded
    whatever the keys. Pairs of a cosine of LEAST or more, in double precision, are links; passes are united by components.
-2. Windows are bounded, so in crowded places they leave links out. All of these lie within components (a crowd
-   is chained by its windows), so n_links is counted exactly there: a component is cut into tiles, pairs of tiles are multiplied
+2. Windows are bounded, so in crowded places they leave links out. Keys with more classes than a window reaches are
+   therefore cut into tiles, and all pairs of different components that share such a key are compared; one link for
+   each two components leaves a task, and components are united again. This is quadratic in the classes of a key.
+3. n_links is counted exactly within components: a component is cut into tiles, pairs of tiles are multiplied
    as matrices, and only counts leave a task. Links found between tiles are links of one component, so components stand.
 
-With cosine 0.95 a pair agrees in all of 12 signs with a probability of 0.28 a pass, and sorts closely otherwise too; over
-PASSES passes a pair alone in its neighbourhood is missed with a probability under 1e-3.
+With cosine 0.95 a pair agrees in all of 12 signs with a probability of 0.28 a pass, so over PASSES passes it shares
+no key with a probability under 1e-3, at any size of the input and of the keys; a pair that shares one is linked or in one component.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
 different lengths link with nothing of another length; rows that repeat a vec_id are one node each with its own vectors, and each row counts as a vector
@@ -119,6 +121,49 @@ def _counted(least: float):
     return run
 
 
+def _crossing(least: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Of tiles of keys, one linked pair for each two components."""
+        rows = rows.sort_values(["pass", "key", "size", "side"])
+        of = rows[["pass", "key", "size"]].to_numpy()
+        side, cid, comp, unit = (rows[k].to_numpy() for k in ("side", "cid", "component", "unit"))
+        edge = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]).any(1), [True]]))
+        out = [np.zeros((0, 4), np.int64)]
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            mid = lo + int(np.searchsorted(side[lo:hi], 1))
+            if lo == mid:
+                continue
+            at = lo if mid == hi else mid  # a tile with itself, or with another
+            x = np.stack(unit[lo:mid])
+            i, j = np.nonzero(x @ (x if at == lo else np.stack(unit[mid:hi])).T >= least)
+            i, j = i + lo, j + at
+            ok = comp[i] != comp[j]
+            i, j = i[ok], j[ok]
+            i, j = np.where(comp[i] < comp[j], i, j), np.where(comp[i] < comp[j], j, i)
+            out.append(np.stack([comp[i], comp[j], cid[i], cid[j]], 1))
+        got = np.concatenate(out)
+        _, first = np.unique(got[:, :2], axis=0, return_index=True)
+        return pd.DataFrame({"a": got[first, 2], "b": got[first, 3]})
+
+    return run
+
+
+def _within_keys(keyed: DataFrame, comps: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between components, of all pairs that share a key which holds more classes than windows reach."""
+    rows = keyed.select("cid", F.size("unit").alias("size"), F.explode("keys").alias("k")).select("cid", "size", "k.pass", "k.key")
+    rows = rows.join(comps, rows["cid"] == comps["node"], "left").select("cid", "size", "pass", "key", F.coalesce("component", "cid").alias("component"))
+    by = ["pass", "key"]
+    full = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where((F.col("n") > WINDOW + 1) & (F.col("lo") < F.col("hi")))
+    full = scratch.save(full.select(*by, "n", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "crowded")
+    small = full.where("tiles = 1").agg(F.sum("n")).first()[0] or 0
+    share = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64(*by), F.lit(max(1, -(-small // TILE))))).otherwise(F.xxhash64(*by))
+    tile = F.pmod(F.xxhash64("cid", *by), F.col("tiles").cast("long")).cast("int")
+    dealt = rows.join(full, by).select("cid", "component", "size", *by, share.alias("share"), (F.col("tiles") == 1).alias("one"), tile.alias("t"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
+    dealt = dealt.select("cid", "component", "size", *by, "share", "one", F.least("t", "u").alias("x"), F.greatest("t", "u").alias("y"), (F.col("t") > F.col("u")).cast("int").alias("side"))
+    met = dealt.join(keyed.select("cid", "unit"), "cid").groupBy("share", "one", "x", "y")
+    return met.applyInPandas(_crossing(least), "a long, b long").distinct()
+
+
 def embedding_near_duplicates(vectors: DataFrame, least: float = 0.95, scratch: Scratch | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -146,6 +191,9 @@ def embedding_near_duplicates(vectors: DataFrame, least: float = 0.95, scratch:
     placed = placed.join(keyed.select("cid", "unit", F.size("unit").alias("size")), "cid")
     pairs = scratch.save(placed.groupBy("stretch").applyInPandas(_compared(least), "a long, b long").distinct(), "pairs")
     comps = scratch.save(connected_components(pairs, scratch), "components")
+    more = scratch.save(_within_keys(keyed, comps, least, scratch), "more")
+    if not more.isEmpty():
+        comps = scratch.save(connected_components(pairs.unionByName(more), scratch), "components")
     # tiles: a component's classes by hash, TILE each on average; all pairs of its tiles. Components of one tile share groups
     in_comp = scratch.save(comps.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")), "sizes")
     small = in_comp.where("tiles = 1").agg(F.sum("n")).first()[0] or 0

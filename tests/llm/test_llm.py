@@ -264,6 +264,23 @@ def test_embeddings_equal_all_pairs(spark):
     assert embed_dedup.embedding_near_duplicates(df.limit(0)).isEmpty()
 
 
+def test_embeddings_equal_all_pairs_in_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "WINDOW", 2)  # as short beside a key as 24 are beside keys of larger tables
+    rng = np.random.default_rng(23)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    base, d = unit(rng.normal(size=(1, 128))), 128
+    x = unit(np.sqrt(0.9) * base + np.sqrt(0.1) * unit(rng.normal(size=(1500, d))))  # cosine about 0.9
+    x = np.concatenate([x, unit(x[:120] + 0.2 * unit(rng.normal(size=(120, d))))])  # and pairs of about 0.98
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
+    comp = components(range(len(x)), list(zip(i.tolist(), j.tolist(), strict=True)))
+    assert len(i) >= 120 and len(set(comp.values())) > 1000
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.embedding_near_duplicates(df).collect()}
+    n = np.bincount(np.concatenate([i, j]), minlength=len(x))
+    wrong = [k for k in out if out[k] != (n[k], comp[k])]
+    assert not wrong, f"{len(wrong)} of {len(x)}"
+
+
 def labelled(rng, n, mark):
     rows, labels = [], []
     for i in range(n):
