@@ -11,7 +11,7 @@ The benchmark goes to the documents in blocks of at most BLOCK windows, each bro
 numbers, so 30 MB at most), and texts aren't shuffled. What the blocks found of a document is united by its key.
 
 Defined cases: a null text has no words; an item without words has no window; items and documents that repeat an id are
-rows of their own (an item_id counts once in n_items); an empty benchmark hits nothing; n_words 0 is never contaminated; other columns are ignored.
+rows of their own (an item_id counts once in n_items); items without item_id hit words, but count in no items; an empty benchmark hits nothing; n_words 0 is never contaminated; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -127,6 +127,7 @@ def _found(index: dict, need: float):
                 base = begin[doc[opens]] if len(opens) else opens
                 spans = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(opens - base), pa.array(shuts - base)], ["start", "end"]))
                 key = np.unique(np.stack([doc[s], index["item"][v]], 1), axis=0) if len(s) else np.zeros((0, 2), np.int64)
+                key = key[key[:, 1] >= 0]
                 items = pa.ListArray.from_arrays(pa.array(np.searchsorted(key[:, 0], np.arange(n + 1)).astype(np.int32)), pa.array(index["ids"][key[:, 1]]))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(np.diff(w.at)), spans, items], ["doc_id", "row_key", "n_words", "spans", "items"])
 
@@ -149,7 +150,8 @@ def _index(rows: list, ids: np.ndarray, widest: int) -> dict:
         order = np.argsort(m, kind="stable")
         marks, first = np.unique(m[order], return_index=True)
         prefix[g] = (marks, np.append(first, len(m)), win[order], place[order])
-    return {"size": size, "words": words.view(U), "item": np.searchsorted(ids, np.array([r["item_id"] for r in rows], np.int64)), "ids": ids, "prefix": prefix}
+    item = np.array([-1 if r["item_id"] is None else np.searchsorted(ids, r["item_id"]) for r in rows], np.int64)  # -1: hits words, but has no name
+    return {"size": size, "words": words.view(U), "item": item, "ids": ids, "prefix": prefix}
 
 
 def _united(spans: Column) -> Column:
@@ -171,7 +173,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    windows = benchmark.select("item_id", "text").where("item_id IS NOT NULL").mapInArrow(_item_windows(window, gram), "item_id long, words array<long>, marks array<long>, gram int")
+    windows = benchmark.select("item_id", "text").mapInArrow(_item_windows(window, gram), "item_id long, words array<long>, marks array<long>, gram int")
     windows = windows.groupBy("item_id", "words").agg(F.first("marks").alias("marks"), F.first("gram").alias("gram"))
     windows = scratch.save(windows.withColumn("win", F.xxhash64("item_id", "words")), "windows")
     marks = scratch.save(windows.select("gram", F.explode("marks").alias("mark")).distinct(), "marks")
@@ -198,7 +200,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     out = None
     for k in range(n_blocks):
         rows = prefix.where(F.pmod("win", F.lit(n_blocks)) == k).collect()
-        ids = np.unique(np.array([r["item_id"] for r in rows], np.int64))
+        ids = np.unique(np.array([r["item_id"] for r in rows if r["item_id"] is not None], np.int64))
         sent = spark.sparkContext.broadcast(_index(rows, ids, window))
         got = keyed.mapInArrow(partial(_by_broadcast, sent, containment), "doc_id long, row_key long, n_words long, spans array<struct<start:long,end:long>>, items array<long>")
         out = got if out is None else out.unionByName(got)

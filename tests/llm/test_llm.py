@@ -191,6 +191,15 @@ def test_decontamination_equals_brute_force(spark):
     assert none.where("n_hit > 0").isEmpty() and none.count() == len(rows)
 
 
+@pytest.mark.parametrize("block", [1, 1000])
+def test_items_without_id_hit_words(spark, block):
+    item = " ".join(f"w{k}" for k in range(20))
+    items = spark.createDataFrame([(None, item), (4, "one two three")], "item_id long, text string")
+    docs = table(spark, [(1, f"a {item} b"), (2, "nothing here"), (3, "one two three")])
+    out = decontaminate.verdicts(decontaminate.contaminated_spans(docs, items, block=block)).collect()
+    assert {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in out} == {1: (20, 0, True), 2: (0, 0, False), 3: (3, 1, True)}
+
+
 def test_lower_containment_finds_changed_windows(spark):
     rng = np.random.default_rng(8)
     w = [f"w{i}" for i in rng.permutation(60)]
