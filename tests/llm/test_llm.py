@@ -486,6 +486,41 @@ def test_planted_passages_are_found_and_clean_texts_left(spark):
     assert passages.repeated_passages(table(spark, docs).limit(0)).isEmpty()
 
 
+def test_repeated_runs_are_all_inside_passages(spark):
+    """Every run of 50 words that two documents hold, of texts made of a few shared lines and passages, some common to most."""
+    rng = np.random.default_rng(31)
+    fresh = iter(range(10**9))
+    text = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    parts = [text(int(n)) for n in rng.integers(12, 90, 14)]
+    rows = []
+    for i in range(120):
+        w = text(int(rng.integers(0, 60)))
+        for _ in range(int(rng.integers(0, 4))):
+            w += parts[int(rng.integers(0, 14)) if rng.random() < 0.7 else 0] + text(int(rng.integers(0, 30)))
+        rows.append((i, " ".join(w)))
+    runs, of = collections.defaultdict(set), {}
+    for i, t in rows:
+        of[i] = w = t.split()
+        for k in range(len(w) - 49):
+            runs[tuple(w[k : k + 50])].add(i)
+    out = passages.repeated_passages(table(spark, rows).repartition(5)).collect()
+    spans = collections.defaultdict(list)
+    for r in out:
+        spans[r["doc_id"]].append((r["start_word"], r["end_word"], r["class_id"]))
+        spans[r["other_doc_id"]].append((r["other_start_word"], r["other_end_word"], r["class_id"]))
+        x, y = of[r["doc_id"]][r["start_word"] : r["end_word"]], of[r["other_doc_id"]][r["other_start_word"] : r["other_end_word"]]
+        x, y = ({tuple(v[k : k + 5]) for k in range(len(v) - 4)} for v in (x, y))
+        assert r["similarity"] == pytest.approx(len(x & y) / len(x | y)) and r["similarity"] >= 0.8
+        assert r["doc_id"] != r["other_doc_id"] and r["class_id"] <= r["other_doc_id"]
+    for i, w in of.items():
+        for k in range(len(w) - 49):
+            if len(runs[tuple(w[k : k + 50])]) > 1:
+                assert any(s <= k and k + 50 <= e for s, e, _ in spans[i]), (i, k)
+    for docs in runs.values():  # what shares a run shares a class
+        if len(docs) > 1:
+            assert len(set.intersection(*({c for *_, c in spans[i]} for i in docs))) > 0
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     import corpus_pipeline as P
 
