@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,17 +13,24 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), one of our own, set in the session as well."""
+    """The folder of spark.checkpoint.dir. Where it is unset and Spark runs in one process (tests), a temporary one, removed at exit; on a cluster, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="keelson-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
         found = _local[0]
     return found.rstrip("/")
 
 
 class Scratch:
-    """A folder of its own below the shared one, for the tables of one run of an operator."""
+    """A folder of its own below the shared one, for the tables of one run of an operator.
+
+    What an operator returns still reads from it; callers that have written that can close() it, or leave a with block.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/keelson-{uuid.uuid4().hex}", 0
@@ -40,10 +49,22 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete saved tables that nothing reads any more."""
-        jvm, jsc = self.spark._jvm, self.spark._jsc
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._keelson_path)
-            path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t._keelson_path)
+
+    def close(self) -> None:
+        """Delete the folder."""
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

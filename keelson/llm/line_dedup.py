@@ -3,7 +3,7 @@
 Lines become 128-bit hashes of their keys. A doc and key pair is one row, dealt by range over (hash, salt), where the
 salt is of the document, so that a line found in a third of all documents spreads over SALTS groups. Within a group,
 sorted by document and position, first occurrences are streamed; at most SALTS partial rows a key meet again to give its
-number of documents and its first place. What comes back to a document is a packed bitmap of the lines it keeps.
+number of documents and its first place. What comes back to a document is a bitmap of the lines it keeps, as lengths of runs.
 
 Defined cases: a null or empty text is one empty line; empty keys (blank lines) are always kept; rows with one doc_id
 count as one document in document counts but keep their own rows; rows without a doc_id are told apart by their text;
@@ -27,7 +27,7 @@ def _lines(text: Column) -> Column:
 
 
 def keep_bitmaps(docs: DataFrame, scratch: Scratch, min_chars: int = 1, min_docs: int | None = None) -> DataFrame:
-    """doc_id, row_key, n_lines, n_dropped, keep (binary, one bit a line, first line highest; 1: keep) of the documents that lose lines.
+    """doc_id, row_key, n_lines, n_dropped, keep (binary, a bitmap compressed to run lengths) of the documents that lose lines.
 
     min_docs: keys found in so many documents lose all their lines; None: keys keep their first occurrence, by doc_id and
     position, and lose all others. Keys of fewer than min_chars code points stay.
@@ -55,17 +55,26 @@ def keep_bitmaps(docs: DataFrame, scratch: Scratch, min_chars: int = 1, min_docs
     drops = hit.groupBy("doc_id", "row_key").agg(F.collect_set("pos").alias("dropped"))
     counted = base.select("doc_id", "row_key", F.size(_lines(F.col("text"))).alias("n_lines")).dropDuplicates(["doc_id", "row_key"])
     both = counted.join(drops, counted["doc_id"].eqNullSafe(drops["doc_id"]) & (counted["row_key"] == drops["row_key"])).select(counted["*"], "dropped")
-    return both.select("doc_id", "row_key", F.col("n_lines").cast("long"), F.size("dropped").cast("long").alias("n_dropped"), _pack(F.col("n_lines"), F.col("dropped")).alias("keep"))
+    return both.select("doc_id", "row_key", F.col("n_lines").cast("long"), F.size("dropped").cast("long").alias("n_dropped"), _pack(F.col("dropped")).alias("keep"))
 
 
-def _pack(n: Column, dropped: Column) -> Column:
-    """Bits of lines 0 to n - 1, 0 where dropped, as bytes; the runs between dropped lines are repeated at once."""
+def _pack(dropped: Column) -> Column:
+    """The bitmap of a document's lines as lengths of runs, kept and dropped in turn, 4 bytes each; what follows the last run is kept.
+
+    Runs come from differences of whole arrays, so this is linear in the lines that go.
+    """
     order = F.sort_array(dropped)
-    ends = F.concat(order, F.array(n))
-    starts = F.concat(F.array(F.lit(-1)), order)
-    bits = F.array_join(F.zip_with(starts, ends, lambda a, b: F.repeat(F.lit("1"), b - a - 1)), "0")
-    padded = F.rpad(bits, (F.ceil(n / 8) * 8).cast("int"), F.lit("0"))
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), (F.ceil(n / 8) - 1).cast("int")), lambda i: F.lpad(F.conv(F.substring(padded, i * 8 + 1, F.lit(8)), 2, 16), 2, "0")), ""))
+    after = F.transform(order, lambda x: x + 1)
+    starts, ends = F.array_except(order, after), F.array_except(after, order)
+    kept = F.zip_with(starts, F.slice(F.concat(F.array(F.lit(0)), ends), 1, F.size(starts)), lambda s, e: s - e)
+    runs = F.flatten(F.zip_with(kept, F.zip_with(starts, ends, lambda s, e: e - s), lambda k, d: F.array(k, d)))
+    return F.unhex(F.array_join(F.transform(runs, lambda n: F.lpad(F.hex(n), 8, "0")), ""))
+
+
+def _bits(keep: Column) -> Column:
+    """Of a packed bitmap, whether each line goes, up to the last that does."""
+    lengths = F.split(F.regexp_replace(F.hex(keep), "(.{8})(?=.)", "$1 "), " ")
+    return F.flatten(F.transform(lengths, lambda x, i: F.array_repeat(i % 2 == 1, F.conv(x, 16, 10).cast("int"))))
 
 
 def keep_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -73,9 +82,8 @@ def keep_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
     b = bitmaps.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "n_dropped", "keep")
     joined = keyed.join(b, keyed["doc_id"].eqNullSafe(b["_id"]) & (keyed["_row_key"] == b["_key"]), "left")
-    bits = F.split(F.array_join(F.transform(F.split(F.regexp_replace(F.hex("keep"), "(..)", "$1 "), " "), lambda x: F.when(x == "", "").otherwise(F.lpad(F.conv(x, 16, 2), 8, "0"))), ""), "")
     lines = _lines(F.col("text"))
-    kept = F.filter(F.zip_with(lines, F.slice(bits, 1, F.size(lines)), lambda x, b: F.when(b == "1", x)), lambda x: x.isNotNull())
+    kept = F.filter(F.zip_with(lines, _bits(F.col("keep")), lambda x, gone: F.when(~F.coalesce(gone, F.lit(False)), x)), lambda x: x.isNotNull())
     return joined.select(
         *(F.when(F.col("keep").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else docs[c] for c in docs.columns),
         F.size(lines).cast("long").alias("n_lines"),

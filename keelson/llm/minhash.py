@@ -18,7 +18,7 @@ At a similarity of 0.8, a pair shares no bucket with a probability of (1 - 0.8^4
 or in one component.
 
 Defined cases: a null text, or one without words, has no shingles and links with nothing; a text of fewer words than a
-shingle is one shingle; rows that repeat a doc_id are one node; rows without doc_id get their n_shingles, no component
+shingle is one shingle; rows that repeat a doc_id are one node, linked by any of its texts; rows without doc_id get their n_shingles, no component
 and are kept; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -40,7 +40,7 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: how many bands together make a bucket in the rounds of step 4, and buckets of a text in these rounds
 FINER, BUCKETS = (1, 1, 2), 96
-TILE, MARKS = 400, 4096
+TILE, MARKS, SALTS = 2048, 4096, 16
 _PROBES = 512
 _probe = (np.vstack([mix(stream(101 + k, BINS)) for k in range(_PROBES)]) >> U(57)).astype(np.int64)
 _salt = stream(7, BANDS)
@@ -210,22 +210,32 @@ def _crossed(rows: DataFrame, comps: DataFrame, full: DataFrame, percent: int, s
     return scratch.save(met.mapInArrow(_crossing(percent), "a long, b long").distinct(), "crossed")
 
 
+def _same_ids(signed: DataFrame, member: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) between an id and the classes of its texts, for ids that repeat with different sets, be one empty."""
+    several = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("doc_id")
+    rows = member.join(several, "doc_id").select("doc_id", "set_id").distinct().join(classes.select("set_id", "rep"), "set_id")
+    return scratch.save(rows.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "again")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     scratch = scratch or Scratch(docs.sparkSession)
     signed = scratch.save(docs.select("doc_id", "text").mapInArrow(_signed(n), "doc_id long, n_shingles long, set_id binary, bands array<long>"), "signed")
     member = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = member.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    reps = member.join(classes, (member["set_id"] == classes["set_id"]) & (member["doc_id"] == classes["rep"])).select("rep", "n_shingles", "bands").dropDuplicates(["rep", "n_shingles", "bands"])
-    reps = scratch.save(reps, "classes")
-    rows = scratch.save(reps.select("rep", "n_shingles", F.explode("bands").alias("band")), "rows")
-    heads = rows.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("band", "head")
+    classes = scratch.save(member.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    again = _same_ids(signed, member, classes, scratch)
+    head = classes.select(F.col("set_id").alias("_set"), "rep")
+    reps = member.join(head, (member["set_id"] == head["_set"]) & (member["doc_id"] == head["rep"])).select("rep", "n_shingles", "bands").dropDuplicates(["rep", "n_shingles", "bands"])
+    reps = scratch.save(reps, "reps")
+    every = reps.select("rep", "n_shingles", F.explode("bands").alias("band"))
+    heads = scratch.save(every.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("band", "head"), "heads")
+    rows = scratch.save(every.join(heads.select("band"), "band").select("rep", "n_shingles", "band"), "rows")
     stars = scratch.save(rows.join(heads, "band").where("rep > head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     # members of buckets that several classes share are all in stars, so later rounds need no other sets
     full = _full_sets(docs, stars, n, scratch)
     linked = scratch.save(_verified(stars, full, percent), "linked")
     scratch.drop(stars)
-    comps = scratch.save(connected_components(linked, scratch), "components")
+    comps = scratch.save(connected_components(linked.unionByName(again), scratch), "components")
     # stars again, round other centres and in ever finer buckets, where components still meet
     for k, depth in enumerate(FINER):
         named, open_ = _open(rows, comps)
@@ -247,19 +257,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, scratch: Scr
         scratch.drop(stars)
         if not more.isEmpty():
             linked = linked.unionByName(more)
-            comps = scratch.save(connected_components(linked, scratch), "components")
+            comps = scratch.save(connected_components(linked.unionByName(again), scratch), "components")
     # what no centre linked: all pairs across the components of a bucket
     crossed = _crossed(rows, comps, full, percent, scratch)
     if not crossed.isEmpty():
         more = scratch.save(_verified(crossed, full, percent), "linked")
         if not more.isEmpty():
-            comps = scratch.save(connected_components(linked.unionByName(more), scratch), "components")
-    # back to documents, by class
-    home = signed.select("doc_id", "n_shingles", "set_id")
-    by_rep = home.join(classes.withColumnRenamed("set_id", "_set"), F.col("set_id") == F.col("_set"), "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("rep"))
-    out = by_rep.select("doc_id", "n_shingles", F.coalesce(own, F.col("doc_id")).alias("rep")).join(comps, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
+            comps = scratch.save(connected_components(linked.unionByName(more).unionByName(again), scratch), "components")
+    # back to documents: those of a class with copies by their class, in SALTS groups each, as one class may hold a third of them; others by themselves
+    shared = classes.where("copies > 1").join(comps, F.col("rep") == F.col("node"), "left").select(F.col("set_id").alias("_set"), F.coalesce("component", "rep").alias("of_class"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    home = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    named = home.join(shared, (F.col("set_id") == F.col("_set")) & (F.col("salt") == F.col("_salt")), "left").select("doc_id", "n_shingles", "of_class")
+    out = named.join(comps, F.col("doc_id") == F.col("node"), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -4,7 +4,8 @@ Features of a text: densities of a fixed lexicon and of a learned one (words and
 favour), nearness of second-person words to lexicon words, rates of capitals, of punctuation and of obfuscated words.
 Words are compared in a plain form: lower case, digits and signs that stand for letters read as those, other ASCII signs left out.
 
-The lexicon and the trees learn from at most TRAIN_ROWS labelled rows; a fifth of these calibrates scores. Texts aren't
+The lexicon and the trees learn from at most TRAIN_ROWS labelled rows, saved once with their texts; a fifth of these calibrates scores.
+The lexicon has at most LEXICON words and beginnings, of the CANDIDATES that most toxic training texts hold, each in three of them or more (and in one of a thousand). Texts aren't
 shuffled: the training rows are broadcast (doc_id and label), features are 18 numbers a text.
 
 Defined cases: a null text counts as empty; an empty text has features of 0 and a score like any other; rows that repeat
@@ -19,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._labels import held_out, labelled_texts, training_rows
-from ._shared import alone, table
+from ._shared import Scratch, alone, table
 from ._text import NOT_SPACE, U, Words, buffers, mix, pieces, stream
 
 TRAIN_ROWS, CANDIDATES, LEXICON = 40_000, 50_000, 5_000
@@ -281,8 +283,12 @@ def _featured(lexicon: tuple[np.ndarray, np.ndarray]):
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int = 0, most: int = TRAIN_ROWS) -> Model:
     """A model of labels.toxic; rows with crc32(doc_id) mod modulus = rest are not learned from."""
-    rows = training_rows(labels, "toxic", modulus, rest, most)
-    texts = labelled_texts(docs, rows)
+    with Scratch(docs.sparkSession) as own:
+        return _learned(own.save(labelled_texts(docs, training_rows(labels, "toxic", modulus, rest, most)), "training"))
+
+
+def _learned(texts: DataFrame) -> Model:
+    """A model of the training rows (doc_id, text, y)."""
     lexicon = learn_lexicon(texts)
     got = texts.mapInArrow(_featured(lexicon), "doc_id long, y int, x array<double>").orderBy("doc_id", "x").toArrow()
     y = np.array(got["y"].to_numpy(), np.float64)
@@ -298,16 +304,17 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int = 0, mos
     return Model(lexicon, trees, isotonic(trees.raw(x[for_scale]), y[for_scale]), float(y.mean()))
 
 
-def _scored(model: Model, batches: Iterator[pa.RecordBatch], last: str) -> Iterator[pa.RecordBatch]:
+def _scored(model: Model, batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in pieces(batch, "text"):
-            s = pa.array(model.score(b.column("text")))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i, f in enumerate(b.schema) if f.name != last), s], [*(f.name for f in b.schema if f.name != last), "score"])
+            names = [x for x in b.schema.names if keep or x != "text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(model.score(b.column("text")))], [*names, "score"])
 
 
 def toxicity(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
-    """doc_id, score (and text)."""
-    return docs.select("doc_id", "text").mapInArrow(lambda bs: _scored(model, bs, "" if keep_text else "text"), "doc_id long, text string, score double" if keep_text else "doc_id long, score double")
+    """docs (doc_id, text and others) with score; without text unless keep_text."""
+    schema = StructType([x for x in docs.schema if keep_text or x.name != "text"]).add("score", "double")
+    return docs.mapInArrow(lambda bs: _scored(model, bs, keep_text), schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

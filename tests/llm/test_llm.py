@@ -548,3 +548,52 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     assert set(kept["decontamination"]) == set(kept["minhash_near_dedup"]) - {200}
     assert set(kept["mixing"]) <= set(kept["decontamination"]) and all(r["taken"] == r["copies"] * r["size"] for r in kept["mixing"].values())
     assert set(P.run(spark, sf).select("doc_id").toPandas()["doc_id"]) == set(kept["mixing"])
+
+
+def test_minhash_takes_rows_of_one_id_as_one_node(spark):
+    t, u = prose(np.random.default_rng(41), 40), prose(np.random.default_rng(42), 40)
+    rows = [(3, u), (5, t), (5, u), (9, t), (11, None), (11, t), (12, "")]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(table(spark, rows)).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (11, 3, False), (12, 12, True)}
+
+
+def test_line_bitmaps_of_a_very_long_text(spark):
+    common = "\n".join(f"line {i % 7}" if i % 3 else f"own {i}" for i in range(200_000))
+    rows = [(i, common if i == 0 else "\n".join(f"line {k}" for k in range(7))) for i in range(3)]
+    df = table(spark, rows)
+    out = {r["doc_id"]: r for r in line_dedup.line_dedup(df, 1, 3).collect()}
+    assert out[0]["n_lines"] == 200_000 and out[0]["text"] == "\n".join(x for x in common.split("\n") if x.startswith("own"))
+    assert out[1]["text"] == out[2]["text"] == "" and out[1]["n_dropped"] == 7
+    packed = line_dedup.keep_bitmaps(df.select("doc_id", "text"), Scratch(spark), 1, 3).where("doc_id = 1").first()["keep"]
+    assert bytes(packed) == bytes([0, 0, 0, 0, 0, 0, 0, 7])
+
+
+def test_pipeline_judges_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(43)
+    fresh = iter(range(10**9))
+    text = lambda n: " ".join(f"w{next(fresh)}" for _ in range(n))
+    item, t, u = text(20), text(40), text(40)
+    rows = [(3, u), (5, t), (5, u), (9, t), (9, t), (20, item), (20, text(30)), (None, item), (None, text(25)), (None, None), (30, None), (31, "")]
+    rows += [(100 + i, text(20) + (" idiot" if i % 4 == 0 else "") + " " + text(9)) for i in range(400)] + [(40, text(20) + " idiot " + text(9)), (40, text(30))]
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, x, "en", f"s{k % 3}", len(x or ""), "clash") for k, (i, x) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, score string").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(100 + i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for k, (name, stage) in enumerate(P.STAGES):
+        stage(spark, docs, sf).write.parquet(f"{sf}/out{k}")
+        docs = spark.read.parquet(f"{sf}/out{k}")
+        kept[name] = collections.Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    assert [i for i, x in kept["toxicity"] if "idiot" in (x or "")] == [] and sum(i == 40 for i, _ in kept["toxicity"]) == 1
+    near = kept["minhash_near_dedup"]
+    assert near[(3, u)] == 1 and near[(5, t)] == 1 and not near[(5, u)] and not near[(9, t)]
+    assert near[(20, item)] == 1 and not near[(None, item)] and near[(None, None)] == 1 and near[(30, None)] == 1 and near[(31, "")] == 1
+    clean = kept["decontamination"]
+    assert not any(x == item for _, x in clean) and clean[(20, rows[6][1])] == 1 and clean[(None, rows[8][1])] == 1
+    assert collections.Counter((r["doc_id"], r["text"]) for r in P.run(spark, sf).collect()) == kept["mixing"]
+    empty = f"{sf}/empty"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert P.run(spark, empty).isEmpty()
