@@ -84,9 +84,16 @@ def hash_split(df: DataFrame, key: str, text: Column, cuts: dict[str, int], rest
 
 
 def group_kfold(df: DataFrame, group: str, k: int, text: Column) -> DataFrame:
-    """Rows with the fold of their group: place of the group by sha256 of text, modulo k. One row stands for a group in the sort."""
-    groups = df.select(group).distinct().withColumn("fold", (F.row_number().over(Window.orderBy(F.sha2(text, 256))) - 1) % k)
-    return df.join(groups, group)
+    """Rows with the fold of their group: place of the group by sha256 of text, modulo k.
+
+    One row stands for a group; places are counted within the 4,096 ranges of the digest's first digits, and from the sizes of the ranges before.
+    """
+    digest = df.select(group, F.sha2(text, 256).alias("_digest")).distinct().withColumn("_range", F.substring("_digest", 1, 3))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = digest.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_digest")) + F.col("_before") - 1
+    folds = digest.join(F.broadcast(sizes), "_range").select(group, (place % k).cast("int").alias("fold"))
+    return df.join(folds, group)
 
 
 def first_per_stratum(df: DataFrame, stratum: str, n: int, order_by: Sequence[Column], once: str | None = None) -> DataFrame:
@@ -97,8 +104,11 @@ def first_per_stratum(df: DataFrame, stratum: str, n: int, order_by: Sequence[Co
 
 
 def interleaved(df: DataFrame, stratum: str, place: str = "place") -> DataFrame:
-    """Round-robin over strata: ordinal by place, then stratum."""
-    return df.withColumn("ordinal", F.row_number().over(Window.orderBy(place, stratum)))
+    """Round-robin over strata: ordinal by place, then stratum. Rows of one place are at most the strata; only the places' sizes, as many as rows of a stratum, meet in one task."""
+    before = F.sum("_n").over(Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = df.groupBy(place).agg(F.count(F.lit(1)).alias("_n")).select(place, F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(place).orderBy(stratum))
+    return df.join(sizes, place).withColumn("ordinal", (within + F.col("_before")).cast("int")).select(*df.columns, "ordinal")
 
 
 def rotated(methods: Column, ordinal: Column) -> Column:

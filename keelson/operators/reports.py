@@ -81,4 +81,5 @@ def retention(taken: DataFrame, top: DataFrame, keys: Sequence[str], item: str)
     """By key the share of top rows that were taken, and over keys the unweighted mean."""
     hit = top.select(*keys, item).join(taken.select(*keys, item, F.lit(1).alias("_hit")).distinct(), [*keys, item], "left")
     each = hit.groupBy(*keys).agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("retained"))
-    return each.withColumn("macro", F.avg("retained").over(Window.partitionBy()))
+    macro = each.agg(F.avg("retained").alias("macro"))
+    return each.join(F.broadcast(macro), F.lit(True))

@@ -346,17 +346,34 @@ def coarsest_detail(x: np.ndarray, levels: int) -> np.ndarray:
     return d
 
 
-def wavelet_segments(scores: np.ndarray, levels: int | None = None, drift: int = 3) -> list[int]:
-    """Boundaries: local peaks of the absolute coarsest detail, at least drift rows apart, the larger first."""
-    n = len(scores)
-    levels = levels or max(1, int(np.log2(max(2, n))) - 3)
-    x = np.abs(coarsest_detail(scores, levels))
-    peaks = [i for i in range(1, n - 1) if x[i] > x[i - 1] and x[i] >= x[i + 1]]
+def local_peaks(x: np.ndarray, height: float, distance: int, prominence: float) -> list[int]:
+    """Peaks (middles of plateaus) of this height, then the higher of any two nearer than distance, then those that stand out by prominence from the higher of the lowest points towards higher ground."""
+    edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]]))
+    tops = [(int(a + b - 1) // 2) for a, b in zip(edge[:-1], edge[1:], strict=True) if 0 < a and b < len(x) and x[a - 1] < x[a] > x[b]]
     kept: list[int] = []
-    for i in sorted(peaks, key=lambda i: (-x[i], i)):
-        if all(abs(i - j) >= drift for j in kept):
+    for i in sorted((i for i in tops if x[i] >= height), key=lambda i: (-x[i], -i)):
+        if all(abs(i - j) >= distance for j in kept):
             kept.append(i)
-    return sorted(kept)
+
+    def stands_out(i: int) -> bool:
+        above = np.flatnonzero(x > x[i])
+        left, right = above[above < i], above[above > i]
+        low = x[(left[-1] + 1 if len(left) else 0) : i + 1].min(), x[i : right[0] if len(right) else len(x)].min()
+        return x[i] - max(low) >= prominence
+
+    return sorted(i for i in kept if stands_out(i))
+
+
+def wavelet_segments(scores: np.ndarray, drift: float = 3, height: float = 0.5, prominence: float = 0.05, share: float = 0.02, least: int = 5) -> list[int]:
+    """Inner boundaries of segments: peaks of the absolute coarsest detail, of mean + height * standard deviation or more, prominence of its range, apart by least rows or this share of all.
+
+    The level is log2 of the rows less drift, within 1 and what the filter's length allows.
+    """
+    n = len(scores)
+    most = int(np.log2(n / (len(DB4) - 1))) if n >= len(DB4) - 1 else 0
+    level = 1 if most <= 1 else int(np.clip(np.floor(np.log2(n) - drift), 1, most))
+    x = np.abs(coarsest_detail(scores, level))
+    return [i for i in local_peaks(x, x.mean() + height * x.std(), max(least, int(n * share)), prominence * np.ptp(x)) if 0 < i < n]
 
 
 def grouped(df: DataFrame, keys: Sequence[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str, order: Sequence[str]) -> DataFrame:
@@ -429,6 +446,21 @@ def literal_redundancy(nearness: np.ndarray, groups: Sequence[frozenset[str]], t
     return np.array([d * (1 - len(g - seen) / len(g)) if g else d for d, g in zip(nearness, groups, strict=True)])
 
 
+def literal_prefix(region: Region, gain: np.ndarray, sim: np.ndarray, groups: Sequence[frozenset], k: int) -> list[int]:
+    """Members in greedy order from the anchor by gain * sqrt(1 - nearness), which fades with what a row's groups show anew."""
+    m, taken = region.members, [region.anchor]
+    near, open_ = sim[m, region.anchor].copy(), m != region.anchor
+    while len(taken) < min(k, len(m)):
+        d = literal_redundancy(near, [groups[i] for i in m], [int(np.flatnonzero(m == i)[0]) for i in taken])
+        i = first_best(gain[m] * np.sqrt(np.maximum(0.0, 1 - d)), open_)
+        if i < 0:
+            break
+        taken.append(int(m[i]))
+        open_[i] = False
+        near = np.maximum(near, sim[m, m[i]])
+    return taken
+
+
 def local_query_coverage(region: Region, views: np.ndarray, gain: np.ndarray, sim: np.ndarray, k: int, steps: int = 4) -> list[int]:
     """At most steps members that raise the sum of best strict ranks over query views (rows) most, then the visual rule.
 

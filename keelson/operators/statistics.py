@@ -116,8 +116,47 @@ def stratified_bootstrap(df: DataFrame, stratum: str, difference: str, reps: int
     return counted.groupBy(F.lit(0).alias("_one")).applyInPandas(draw, "n long, mean double, low double, high double")
 
 
+def _bounds(out: Sequence[float]) -> list[float]:
+    return [float(x) for x in np.percentile(out, [2.5, 97.5])]
+
+
+def layered_cluster_bootstrap(df: DataFrame, layer: str, cluster: str, value: str, reps: int = 10_000, seed: int = 2027) -> DataFrame:
+    """Mean of value over rows, resampling clusters within their layers: of each draw the ratio of the sums to the sizes of the drawn clusters.
+
+    Spark sums by cluster; one task, with a row a cluster, draws multinomial counts of clusters in batches.
+    """
+    sums = df.groupBy(layer, cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("n"))
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rng, num, den = np.random.default_rng(seed), np.zeros(reps), np.zeros(reps)
+        for _, g in sorted(rows.groupby(layer), key=lambda x: str(x[0])):
+            g, k = g.sort_values(cluster), len(g)
+            for at in range(0, reps, 200):
+                w = rng.multinomial(k, np.full(k, 1 / k), min(200, reps - at))
+                num[at : at + len(w)] += w @ g["s"].to_numpy()
+                den[at : at + len(w)] += w @ g["n"].to_numpy()
+        low, high = _bounds(num / den)
+        return pd.DataFrame({"clusters": [len(rows)], "mean": [float(rows["s"].sum() / rows["n"].sum())], "low": [low], "high": [high]})
+
+    return sums.groupBy(F.lit(0).alias("_one")).applyInPandas(draw, "clusters long, mean double, low double, high double")
+
+
+def equal_cluster_bootstrap(df: DataFrame, cluster: str, value: str, reps: int = 10_000, seed: int = 2027) -> DataFrame:
+    """Mean over clusters of their means of value, each cluster alike whatever its size, resampling clusters in batches of 200 draws."""
+    means = df.groupBy(cluster).agg(F.avg(F.col(value).cast("double")).alias("mean"))
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        x, rng, out = rows.sort_values(cluster)["mean"].to_numpy(), np.random.default_rng(seed), []
+        for at in range(0, reps, 200):
+            out += list(rng.multinomial(len(x), np.full(len(x), 1 / len(x)), min(200, reps - at)) @ x / len(x))
+        low, high = _bounds(out)
+        return pd.DataFrame({"clusters": [len(x)], "mean": [float(x.mean())], "low": [low], "high": [high]})
+
+    return means.groupBy(F.lit(0).alias("_one")).applyInPandas(draw, "clusters long, mean double, low double, high double")
+
+
 def cluster_bootstrap(df: DataFrame, cluster: str, task: str | None, value: str, reps: int = 10_000, seed: int = 2027) -> DataFrame:
-    """Mean of task means (of one task if there is none), resampling clusters; draws without some task are drawn again.
+    """Mean of task means (without a task, the mean over all rows), resampling clusters; draws without some task are drawn again.
 
     Spark sums by cluster and task; one task multiplies counts of drawn clusters with these sums, in batches.
     """

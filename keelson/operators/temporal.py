@@ -49,10 +49,13 @@ def voronoi_cells(df: DataFrame, keys: Sequence[str], tick: int, low: Column, hi
 
 
 def grid_asof(df: DataFrame, keys: Sequence[str], time: str, start: Column, phase: int, step: int, ties: Sequence[str] = ()) -> DataFrame:
-    """First row at or after each target start + phase + k * step; a row answers the last target that it is first for, so once. No join: a row belongs to the target at or before which it is the first."""
-    k = F.greatest(F.floor((F.col(time) - start - phase) / step), F.lit(-1))
-    w = Window.partitionBy(*keys).orderBy(time, *ties)
-    return df.withColumn("target_index", k).withColumn("_before", F.lag("target_index").over(w)).where((F.col("target_index") >= 0) & (F.col("_before").isNull() | (F.col("target_index") > F.col("_before")))).drop("_before")
+    """Rows that answer targets start + phase + k * step, with target_index k: a row at or after the earliest target still open answers it, and the next one open is the first after the row.
+
+    No join and no state: a row answers if no earlier one stands at or after the last target that it has reached, and its target follows the last one that the row before had reached.
+    """
+    reached = F.greatest(F.floor((F.col(time) - start - phase) / step), F.lit(-1))
+    before = F.coalesce(F.lag("_reached").over(Window.partitionBy(*keys).orderBy(time, *ties)), F.lit(-1))
+    return df.withColumn("_reached", reached).withColumn("target_index", before + 1).where(F.col("_reached") >= F.col("target_index")).drop("_reached")
 
 
 def backward_asof(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, value: Sequence[str]) -> DataFrame:

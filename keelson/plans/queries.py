@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,21 +9,10 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.vectors import clipped, cosine
 from ..operators import contracts, matching, pools, ranking, reports, selection, sets, statistics, temporal
-from . import views
+from . import selector_sql, views
+from .registry import ORACLE_SQL, QUERIES, query
 from .views import HOUR, QUESTION, SQL_C, SQL_R, SQL_S, SQL_T, SQL_V, bounds, candidates, cores, regions, results, table, vectors, windows
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
 
 
 ITEM = ["question_id", "candidate_index"]
@@ -119,7 +106,7 @@ def voronoi_cells(spark, sf):
     return _cells(candidates(spark, sf)).select("question_id", "region_id", "cell_left", "cell_right")
 
 
-@query(f"WITH {SQL_C}, t AS (SELECT *, (source_pts - min(source_pts) OVER (PARTITION BY question_id)) // {6 * HOUR} AS target_index FROM c) SELECT question_id, target_index, min(source_pts) AS source_pts FROM t GROUP BY question_id, target_index")
+@query(f"WITH {SQL_C}, t AS (SELECT *, (source_pts - min(source_pts) OVER (PARTITION BY question_id)) // {6 * HOUR} AS k FROM c), f AS (SELECT question_id, k, min(source_pts) AS source_pts FROM t GROUP BY question_id, k) SELECT question_id, coalesce(lag(k) OVER (PARTITION BY question_id ORDER BY k), -1) + 1 AS target_index, source_pts FROM f")
 def grid_asof(spark, sf):
     c = candidates(spark, sf).withColumn("start", F.min("source_pts").over(Window.partitionBy("question_id")))
     return temporal.grid_asof(c, QUESTION, "source_pts", F.col("start"), 0, 6 * HOUR, ["candidate_index"]).select("question_id", F.col("target_index").cast("long").alias("target_index"), "source_pts")
@@ -512,39 +499,39 @@ def _selected(variant):
 
 
 for _variant in ("coverage", "relevance_coverage", "equal_coverage", "optional_coverage", "facility", "two_pass", *selection.COMPETITIONS):
-    query()(_selected(_variant))
+    query(selector_sql.SELECT[_variant])(_selected(_variant))
 
 
-def _kernel(name, schema):
+def kernel(name, schema, sql=None):
     """A kernel over each region's vectors: rows are its choices."""
 
     def register(f):
         def run(spark, sf):
-            def kernel(rows):
+            def of_region(rows):
                 x = selection.unit_rows([list(v) for v in rows["embedding"]])
                 return pd.DataFrame([(int(rows["region"].iloc[0]), *r) for r in f(rows, x)], columns=[c.split()[0] for c in schema.split(", ")])
 
-            return selection.grouped(vectors(spark, sf), ["region"], kernel, schema, ["vec_id"])
+            return selection.grouped(vectors(spark, sf), ["region"], of_region, schema, ["vec_id"])
 
         run.__name__ = name
-        query()(run)
+        query(sql)(run)
         return f
 
     return register
 
 
-@_kernel("greedy_mmr", "region long, step int, vec_id long")
+@kernel("greedy_mmr", "region long, step int, vec_id long", selector_sql.MMR)
 def _mmr(rows, x):
     return [(k + 1, int(rows["vec_id"].iloc[i])) for k, i in enumerate(selection.marginal_relevance(rows["score"].to_numpy(), x @ x.T, 8))]
 
 
-@_kernel("sb_compete", "region long, step int, vec_id long")
+@kernel("sb_compete", "region long, step int, vec_id long", selector_sql.SB)
 def _sb(rows, x):
     segment = rows["vec_id"].to_numpy() % 4
     return [(k + 1, int(rows["vec_id"].iloc[i])) for k, i in enumerate(selection.segment_competition(segment, rows["score"].to_numpy(), selection.clipped_cosines(x), min(8, len(rows))))]
 
 
-@_kernel("wavelet_segments", "region long, boundary int")
+@kernel("wavelet_segments", "region long, boundary int")
 def _wavelet(rows, x):
     return [(int(b),) for b in selection.wavelet_segments(rows["score"].to_numpy())]
 

@@ -78,15 +78,85 @@ def test_contracts(spark):
         contracts.unique_key_join(df, df, ["q"]).collect()
 
 
-@pytest.mark.parametrize("text,key", [("10:00 AM", "time:10:00:am"), ("8pm meds", "time:08:?:pm"), ("09:24", "time:09:24:?"), ("$9.24", None), ("24:30", None)])
-def test_clock_times(spark, text, key):
-    assert spark.createDataFrame([(text,)], "t string").select(tx.clock_key(F.col("t"))).first()[0] == key
+CLOCKS = [
+    ("10:00 AM", ["time:10:00:am"]), ("7:30pm", ["time:07:30:pm"]), ("09:24", ["time:09:24:?"]), ("School starts at8.30 and then", ["time:08:30:?"]), ("8pm meds", ["time:08:?:pm"]), ("09\uff1a24", ["time:09:24:?"]),
+    ("PLEASE SUBSCRIBE", []), ("24:30", []), ("12:68 PM", []), ("$9.24", []), ("0:00 AM", []), ("13:00 PM", []), ("123:45", []), ("5:07 p.m.", ["time:05:07:pm"]), ("20 minutes", []), ("25:11", []), ("0.25", ["time:00:25:?"]),
+    ("10:00:07 and 3:15pm", ["time:10:00:07:?", "time:03:15:pm"]), (None, []),
+]
+
+
+def test_time_fields(spark):
+    get = lambda text, mode: [x["key"] for x in spark.createDataFrame([(text, mode)], "t string, m string").select(tx.time_fields(F.col("t"), F.col("m"))).first()[0]]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CLOCKS)], "i int, t string")
+    found = {r["i"]: r for r in df.select("i", tx.time_fields(F.col("t"), F.lit("clock")).alias("x"), tx.clock_key(F.col("t")).alias("first")).collect()}
+    for i, (_, keys) in enumerate(CLOCKS):
+        assert [x["key"] for x in found[i]["x"]] == keys and found[i]["first"] == (keys[0] if keys else None), CLOCKS[i]
+    assert found[16]["x"][0]["ambiguous"] and not found[2]["x"][0]["ambiguous"]
+    assert get("20 minutes", "duration") == ["duration:20:minute"] and get("25:11", "duration") == ["time:25:11:?"] and get("0.25", "duration") == [] and get("8pm", "qualitative") == []
+    modes = {"What time of day is depicted?": "qualitative", "How long does it take?": "duration", "What time do classes begin?": "clock", "How many people are there?": None}
+    assert {r[0]: r[1] for r in spark.createDataFrame([(x,) for x in modes], "q string").select("q", tx.question_mode(F.col("q"))).collect()} == modes
+
+
+def test_grid_targets_move_past_the_row_that_answers(spark):
+    rng = np.random.default_rng(7)
+    rows_ = [(0, t) for t in (0, 35, 36, 41)] + [(1, int(t)) for t in sorted(rng.choice(400, 60, replace=False))]
+    want = []
+    for q in (0, 1):
+        target = 3 if q else 0
+        for t in (t for k, t in rows_ if k == q):
+            if t >= target:
+                want.append((q, t, (target - (3 if q else 0)) // 10))
+                target += (t - target) // 10 * 10 + 10
+    df = spark.createDataFrame(rows_, "q int, t long")
+    got = [temporal.grid_asof(df.where(f"q = {q}"), ["q"], "t", F.lit(0), 3 * q, 10).select("q", "t", "target_index") for q in (0, 1)]
+    assert rows(got[0]) == [(0, 0, 0), (0, 35, 1), (0, 41, 4)]
+    assert rows(got[0].unionByName(got[1])) == sorted(want, key=str)
+
+
+def test_bootstraps_equal_resampling_of_rows(spark):
+    rng = np.random.default_rng(8)
+    data = [(f"l{int(rng.integers(0, 3))}", int(c), float(rng.integers(-1, 2))) for c in rng.integers(0, 40, 300)]
+    data = [(f"l{c % 3}", c, y) for _, c, y in data]
+    df = spark.createDataFrame(data, "layer string, cluster int, y double")
+    by = {}
+    for layer, c, y in data:
+        by.setdefault((layer, c), []).append(y)
+    layered, equal = [], []
+    for _ in range(3000):
+        drawn = [by[k] for name in ("l0", "l1", "l2") for own in [[k for k in sorted(by) if k[0] == name]] for k in (own[i] for i in rng.integers(0, len(own), len(own)))]
+        layered.append(sum(map(sum, drawn)) / sum(map(len, drawn)))
+        own = sorted(by)
+        equal.append(np.mean([np.mean(by[own[i]]) for i in rng.integers(0, len(own), len(own))]))
+    for out, draws, mean in (
+        (statistics.layered_cluster_bootstrap(df, "layer", "cluster", "y", 3000), layered, np.mean([y for *_, y in data])),
+        (statistics.equal_cluster_bootstrap(df, "cluster", "y", 3000), equal, np.mean([np.mean(v) for v in by.values()])),
+    ):
+        r = out.first()
+        low, high = np.percentile(draws, [2.5, 97.5])
+        assert r["clusters"] == len(by) and r["mean"] == pytest.approx(mean) and r["low"] == pytest.approx(low, abs=0.02) and r["high"] == pytest.approx(high, abs=0.02)
+    pairs = spark.createDataFrame([(layer, int(y)) for layer, _, y in data], "layer string, d int")
+    strata = {name: [y for layer, _, y in data if layer == name] for name in ("l0", "l1", "l2")}
+    draws = [sum(np.sum(np.array(v)[rng.integers(0, len(v), len(v))]) for v in strata.values()) / len(data) for _ in range(3000)]
+    r = statistics.stratified_bootstrap(pairs, "layer", "d", 3000).first()
+    low, high = np.percentile(draws, [2.5, 97.5])
+    assert r["n"] == len(data) and r["mean"] == pytest.approx(np.mean([y for *_, y in data])) and r["low"] == pytest.approx(low, abs=0.02) and r["high"] == pytest.approx(high, abs=0.02)
+
+
+def test_groups_are_dealt_in_the_order_of_their_digests(spark):
+    import hashlib
+
+    names = [f"g{i}" for i in range(300)]
+    place = {g: i % 7 for i, g in enumerate(sorted(names, key=lambda g: hashlib.sha256(g.encode()).hexdigest()))}
+    df = spark.createDataFrame([(g, k) for g in names for k in range(2)], "g string, k int")
+    assert {(r["g"], r["fold"]) for r in ranking.group_kfold(df, "g", 7, F.col("g")).collect()} == set(place.items())
 
 
 def test_text(spark):
     one = spark.range(1)
     get = lambda c: one.select(c).first()[0]
     assert get(tx.expand_ranges(F.lit("1-3, 5"))) == [1, 2, 3, 5]
+    with pytest.raises(Exception, match="twice"):
+        get(tx.expand_ranges(F.lit("1-3,5,2")))
     assert get(tx.strict_option(F.lit("(B)"))) == "B" and get(tx.strict_option(F.lit("b"))) is None
     assert get(tx.blank_option(F.lit("[00:12]"))) and not get(tx.blank_option(F.lit("00:12 he runs")))
     assert get(tx.option_kind(F.lit(["1", "2"]))) == "count" and get(tx.option_kind(F.lit(["a -> b", "b, a"]))) == "order"

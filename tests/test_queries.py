@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from keelson.plans import kernels  # noqa: F401
 from keelson.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"

@@ -160,3 +160,43 @@ def test_refinement_kernels():
     assert rs[0].anchor not in cut[0].members and rs[0].anchor in cut[0].references and cut[0].anchor in cut[0].members
     assert S.layout_change([((0, 0, 2, 2), "abcd")], [((0, 0, 2, 2), "abcx"), ((9, 9, 10, 10), "q")]) == 0.25
     assert S.layout_change([((0, 0, 2, 2), "a")], [((0, 0, 2, 2), "b"), ((0, 0, 2, 2), "c")]) == 0 == S.layout_change([], [((0, 0, 1, 1), "a")])
+
+
+def test_peaks_by_their_definition():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        x = rng.integers(0, 8, int(rng.integers(3, 40))).astype(float)
+        height, distance, prominence = float(rng.integers(0, 5)), int(rng.integers(1, 5)), float(rng.integers(0, 4))
+        tops = []
+        for i in range(1, len(x) - 1):
+            a, b = i, i
+            while a > 0 and x[a - 1] == x[i]:
+                a -= 1
+            while b < len(x) - 1 and x[b + 1] == x[i]:
+                b += 1
+            if a > 0 and b < len(x) - 1 and x[a - 1] < x[i] > x[b + 1] and i == (a + b) // 2 and x[i] >= height:
+                tops.append(i)
+        kept = []
+        for i in sorted(tops, key=lambda i: (x[i], i), reverse=True):
+            if all(abs(i - j) >= distance for j in kept):
+                kept.append(i)
+        want = []
+        for i in sorted(kept):
+            bases = []
+            for side in (range(i, -1, -1), range(i, len(x))):
+                low = x[i]
+                for j in side:
+                    if x[j] > x[i]:
+                        break
+                    low = min(low, x[j])
+                bases.append(low)
+            if x[i] - max(bases) >= prominence:
+                want.append(i)
+        assert S.local_peaks(x, height, distance, prominence) == want
+
+
+def test_segments_of_a_step_open_at_it():
+    step = np.concatenate([np.full(64, 0.2), np.full(64, 0.9)])
+    cuts = S.wavelet_segments(step)
+    assert cuts and min(abs(c - 64) for c in cuts) <= 8 and all(b - a >= 5 for a, b in zip(cuts, cuts[1:]))
+    assert S.wavelet_segments(np.full(40, 0.5)) == [] and S.wavelet_segments(np.array([0.1])) == []
