@@ -199,4 +199,13 @@ def test_segments_of_a_step_open_at_it():
     step = np.concatenate([np.full(64, 0.2), np.full(64, 0.9)])
     cuts = S.wavelet_segments(step)
     assert cuts and min(abs(c - 64) for c in cuts) <= 8 and all(b - a >= 5 for a, b in zip(cuts, cuts[1:]))
-    assert S.wavelet_segments(np.full(40, 0.5)) == [] and S.wavelet_segments(np.array([0.1])) == []
+    assert S.wavelet_segments(np.zeros(40)) == [] and S.wavelet_segments(np.array([0.1])) == []
+
+
+def test_detail_and_approximation_make_the_signal():
+    x = np.random.default_rng(10).random(37)
+    low, n = S.DB4, len(S.DB4)
+    a = np.convolve(np.pad(x, n - 1, mode="symmetric"), low, "valid")[1::2]
+    up = np.zeros(2 * len(a))
+    up[::2] = a
+    assert np.allclose(np.convolve(up, low[::-1])[n - 2 : n - 2 + len(x)] + S.coarsest_detail(x, 1), x)
