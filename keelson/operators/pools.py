@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .temporal import range_join
+
 
 def exclude(df: DataFrame, gone: DataFrame, keys: Sequence[str], index: str = "candidate_index", order: Sequence[str] = ("source_pts",)) -> DataFrame:
     """Rows not in gone, numbered anew from 0; the old number stays as original_index."""
@@ -66,3 +68,25 @@ def feasible_quotas(df: DataFrame, keys: Sequence[str], budget: Column, size: st
         return F.struct((s["left"] - q).alias("left"), (s["open"] - 1).alias("open"), F.concat(s["out"], F.array(F.struct(x["region_id"].cast("long").alias("region_id"), q.alias("quota")))).alias("out"))
 
     return rows.select(*keys, F.explode(F.aggregate("_r", start, step)["out"]).alias("_q")).select(*keys, "_q.*")
+
+
+#: statuses of repooled targets: no frame in the frozen pool, frame beyond the new window, frame held already, frame taken
+SCOPED = ("parent_unavailable", "outside_new_scope", "duplicate_source", "retained")
+RETARGETED = ("frozen_no_source", "outside_new_window", "duplicate_source", "reused")
+
+
+def repooled(bank: DataFrame, windows: DataFrame, coarse: DataFrame, keys: Sequence[str], time: str, bucket: int, names: Sequence[str] = SCOPED) -> DataFrame:
+    """What new windows (left, right; disjoint) keep of a frozen fine pool: keys, target, source, status, for the targets that stand in a window.
+
+    bank: keys, target, source, status, as fine_pool gives them. A frame is taken once, by its first target, and never if the coarse pool has it. Nothing is
+    looked up anew: where the frozen pool found no frame within its window, the target stays without.
+    """
+    none, outside, twice, kept = names
+    met = range_join(bank, windows.select(*keys, "left", "right"), keys, "target", bucket)
+    have = coarse.select(*keys, F.col(time).alias("source"), F.lit(True).alias("_have")).distinct()
+    known = F.col("status").isin("added", "duplicate_source")
+    fits = known & F.col("source").between(F.col("left"), F.col("right"))
+    rows = met.join(have, [*keys, "source"], "left").withColumn("_fits", F.coalesce(fits, F.lit(False)))
+    nth = F.row_number().over(Window.partitionBy(*keys, "source", "_fits").orderBy("target"))
+    status = F.when(~known, none).when(~F.col("_fits"), outside).when(F.col("_have") | (nth > 1), twice).otherwise(kept)
+    return rows.select(*keys, "target", "source", status.alias("status"))

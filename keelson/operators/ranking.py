@@ -83,16 +83,18 @@ def hash_split(df: DataFrame, key: str, text: Column, cuts: dict[str, int], rest
     return df.join(first, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("part", part)
 
 
-def group_kfold(df: DataFrame, group: str, k: int, text: Column) -> DataFrame:
-    """Rows with the fold of their group: place of the group by sha256 of text, modulo k.
+def numbered(df: DataFrame, bucket: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
+    """Rows numbered from 1 by bucket, then order. Rows of a bucket are sorted together; only the sizes of buckets, which must be few beside the rows, meet in one task."""
+    before = F.sum("_n").over(Window.orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = df.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n")).select(*bucket, F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*bucket).orderBy(*order))
+    return df.join(sizes, list(bucket)).withColumn(name, within + F.col("_before")).select(*df.columns, name)
 
-    One row stands for a group; places are counted within the 4,096 ranges of the digest's first digits, and from the sizes of the ranges before.
-    """
+
+def group_kfold(df: DataFrame, group: str, k: int, text: Column) -> DataFrame:
+    """Rows with the fold of their group: place of the group by sha256 of text, modulo k. One row stands for a group, in 4,096 buckets by the digest's first digits."""
     digest = df.select(group, F.sha2(text, 256).alias("_digest")).distinct().withColumn("_range", F.substring("_digest", 1, 3))
-    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = digest.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy("_digest")) + F.col("_before") - 1
-    folds = digest.join(F.broadcast(sizes), "_range").select(group, (place % k).cast("int").alias("fold"))
+    folds = numbered(digest, ["_range"], ["_digest"], "_place").select(group, ((F.col("_place") - 1) % k).cast("int").alias("fold"))
     return df.join(folds, group)
 
 
@@ -104,11 +106,21 @@ def first_per_stratum(df: DataFrame, stratum: str, n: int, order_by: Sequence[Co
 
 
 def interleaved(df: DataFrame, stratum: str, place: str = "place") -> DataFrame:
-    """Round-robin over strata: ordinal by place, then stratum. Rows of one place are at most the strata; only the places' sizes, as many as rows of a stratum, meet in one task."""
-    before = F.sum("_n").over(Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1))
-    sizes = df.groupBy(place).agg(F.count(F.lit(1)).alias("_n")).select(place, F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(place).orderBy(stratum))
-    return df.join(sizes, place).withColumn("ordinal", (within + F.col("_before")).cast("int")).select(*df.columns, "ordinal")
+    """Round-robin over strata: ordinal by place, then stratum."""
+    return numbered(df, [place], [stratum], "ordinal").withColumn("ordinal", F.col("ordinal").cast("int"))
+
+
+def pilots(df: DataFrame, item: str, order: Sequence[Column | str], n: int, more: Sequence[str] = ()) -> DataFrame:
+    """item and place of the first n items in order, then of those named, each once. Both are few."""
+    first = df.select(item, *order).distinct().orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order))).select(item, "place")
+    named = df.where(F.col(item).isin(*more)).select(item).distinct().withColumn("place", n + F.array_position(F.array(*map(F.lit, more)), F.col(item)).cast("int"))
+    return first.unionByName(named).groupBy(item).agg(F.min("place").alias("place"))
+
+
+def duration_queue(df: DataFrame, item: str, duration: str, first: DataFrame) -> DataFrame:
+    """Items with their ordinal: those of first by place, the others by falling duration, then by name. Buckets are places and whole durations."""
+    queued = df.join(F.broadcast(first), item, "left").withColumn("_bucket", F.when(F.col("place").isNotNull(), F.col("place") - 2**40).otherwise(-F.floor(duration)).cast("long"))
+    return numbered(queued, ["_bucket"], [F.desc(duration), item], "ordinal").drop("_bucket", "place")
 
 
 def rotated(methods: Column, ordinal: Column) -> Column:

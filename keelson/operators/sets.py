@@ -78,3 +78,12 @@ def shared_inputs(df: DataFrame, question: str, digest: str, method: str, priori
     place = F.array_position(F.array(*map(F.lit, priority)), F.col(method))
     rank = F.when(place > 0, place).otherwise(len(priority) + 1)
     return df.groupBy(question, digest).agg(F.min_by(method, F.struct(rank, F.col(method))).alias("representative"), F.array_sort(F.collect_set(method)).alias("methods"))
+
+
+def query_seed_weights(df: DataFrame, region: Sequence[str], query: str, item: str, score: str) -> DataFrame:
+    """Weight of each seed of a region over several queries: scores over the best of their query in the region, the largest over queries; 1 for all seeds where no query scores."""
+    peak = F.max(score).over(Window.partitionBy(*region, query))
+    share = df.withColumn("_share", F.when(peak > 0, F.col(score) / peak).otherwise(0.0))
+    each = share.groupBy(*region, item).agg(F.max("_share").alias("weight"))
+    top = F.max("weight").over(Window.partitionBy(*region))
+    return each.withColumn("weight", F.when(top > 0, F.col("weight")).otherwise(1.0))

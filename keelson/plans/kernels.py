@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import selection
+from ..functions import parsing
+from ..functions.vectors import cosine, recovered_projection, redundancy
+from ..operators import matching, pools, ranking, selection, sets, temporal
 from . import selector_sql as S
 from .queries import kernel
 from .registry import query
-from .views import vectors
+from .views import GAP, HOUR, QUESTION, RADIUS, SQL_C, SQL_R, SQL_V, candidates, cores, regions, table, vectors, windows
 
 CHOICE = "region long, step int, vec_id long"
 
@@ -88,3 +91,126 @@ def last_slot_swap(spark, sf):
         return pd.DataFrame({"question": rows["question"].iloc[0], "region": region[taken], "vec_id": ids[taken]})
 
     return selection.grouped(vectors(spark, sf).select("question", "region", "vec_id", "score"), ["question"], run, "question long, region long, vec_id long", ["vec_id"]).select("question", "region", F.col("vec_id"))
+
+
+@query(f"""WITH RECURSIVE {SQL_C}, o AS (SELECT question_id, candidate_index, source_pts AS t, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, source_pts, candidate_index) AS n FROM c WHERE score > 0),
+r AS (SELECT question_id, 1::BIGINT AS n, [t] AS held, 1 AS step, candidate_index FROM o WHERE n = 1
+  UNION ALL
+  SELECT r.question_id, o.n, CASE WHEN ok THEN list_append(held, t) ELSE held END, CASE WHEN ok THEN len(held) + 1 END, o.candidate_index
+  FROM (SELECT r.question_id, r.held, r.n + 1 AS n FROM r WHERE len(held) < 4) r JOIN (SELECT *, true AS x FROM o) o ON o.question_id = r.question_id AND o.n = r.n, LATERAL (SELECT len(list_filter(held, lambda y: abs(y - o.t) <= {24 * HOUR})) = 0 AS ok) k)
+SELECT question_id, candidate_index, CAST(step AS INTEGER) AS step FROM r WHERE step IS NOT NULL""")
+def outside_suppressed(spark, sf):
+    return matching.suppressed(candidates(spark, sf), QUESTION, "source_pts", "score", "candidate_index", 24 * HOUR, 4)
+
+
+_SEEDS = f"{SQL_R}, sr AS (SELECT k.question_id, i.region_id, k.candidate_index, k.score, k.event_id FROM k JOIN i ON i.question_id = k.question_id AND i.core_id = k.core_id)"
+
+
+@query(f"""WITH {_SEEDS}, x AS (SELECT sr.*, n, CASE WHEN n = 0 THEN score ELSE CAST((event_id * n) % 11 AS DOUBLE) / 10 END AS s FROM sr, (SELECT unnest([0, 1, 2]) AS n)),
+p AS (SELECT *, max(s) OVER (PARTITION BY question_id, region_id, n) AS peak FROM x),
+e AS (SELECT question_id, region_id, candidate_index, max(CASE WHEN peak > 0 THEN s / peak ELSE 0 END) AS w FROM p GROUP BY ALL)
+SELECT question_id, region_id, candidate_index, round(CASE WHEN max(w) OVER (PARTITION BY question_id, region_id) > 0 THEN w ELSE 1 END, 9) AS weight FROM e""")
+def multi_query_support(spark, sf):
+    c = candidates(spark, sf)
+    owner = temporal.merge_intervals(windows(c), QUESTION).select("question_id", "core_id", "region_id")
+    seeds = cores(c).join(owner, ["question_id", "core_id"]).select("question_id", "region_id", "candidate_index", "score", "event_id")
+    asked = seeds.select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("n")).withColumn("s", F.when(F.col("n") == 0, F.col("score")).otherwise((F.col("event_id") * F.col("n") % 11).cast("double") / 10))
+    return sets.query_seed_weights(asked, ["question_id", "region_id"], "n", "candidate_index", "s").withColumn("weight", F.round("weight", 9))
+
+
+_BANK = f"""t AS (SELECT question_id, r, unnest(range(l + {HOUR}, r + 1, {6 * HOUR})) AS target FROM g),
+n AS (SELECT t.question_id, target, t.r, min(source_pts) AS source FROM t LEFT JOIN c ON c.question_id = t.question_id AND source_pts >= target GROUP BY ALL),
+mm AS (SELECT *, row_number() OVER (PARTITION BY question_id, source ORDER BY target) AS nth FROM n),
+bank AS (SELECT mm.question_id, target, source, CASE WHEN source IS NULL THEN 'no_source' WHEN source > mm.r THEN 'outside_window' WHEN s.source_pts IS NOT NULL OR nth > 1 THEN 'duplicate_source' ELSE 'added' END AS status FROM mm LEFT JOIN s ON s.question_id = mm.question_id AND s.source_pts = source)"""
+
+
+def _repooled(names) -> str:
+    none, outside, twice, kept = names
+    return f"""fit AS (SELECT bank.*, status IN ('added', 'duplicate_source') AS known, coalesce(status IN ('added', 'duplicate_source') AND source BETWEEN wl AND wr, false) AS ok FROM bank JOIN nw ON nw.question_id = bank.question_id AND target BETWEEN wl AND wr),
+z AS (SELECT *, row_number() OVER (PARTITION BY question_id, source, ok ORDER BY target) AS k FROM fit)
+SELECT z.question_id, z.target, z.source, CASE WHEN NOT known THEN '{none}' WHEN NOT ok THEN '{outside}' WHEN s.source_pts IS NOT NULL OR k > 1 THEN '{twice}' ELSE '{kept}' END AS status FROM z LEFT JOIN s ON s.question_id = z.question_id AND s.source_pts = z.source"""
+
+
+def _bank(c):
+    r = regions(c)
+    targets = r.withColumn("target", F.explode(F.sequence(F.col("left") + HOUR, F.greatest("right", F.col("left") + HOUR), F.lit(6 * HOUR)))).where("target <= right").select("question_id", "target", "right")
+    return pools.fine_pool(ranking.top_k(c, QUESTION, 16), targets, c, QUESTION, "source_pts")[1]
+
+
+@query(f"""WITH {SQL_R}, {_BANK},
+hw AS (SELECT *, max(r) OVER (PARTITION BY question_id ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM w WHERE seeds >= 3),
+hi AS (SELECT *, sum(CASE WHEN l > p THEN 1 ELSE 0 END) OVER (PARTITION BY question_id ORDER BY l, r) AS h FROM hw),
+nw AS (SELECT question_id, min(l) AS wl, max(r) AS wr FROM hi GROUP BY question_id, h), {_repooled(pools.SCOPED)}""")
+def scoped_pool(spark, sf):
+    c = candidates(spark, sf)
+    hot = temporal.merge_intervals(windows(c).where("seeds >= 3"), QUESTION).groupBy("question_id", "region_id").agg(F.min("left").alias("left"), F.max("right").alias("right"))
+    return pools.repooled(_bank(c), hot, ranking.top_k(c, QUESTION, 16), QUESTION, "source_pts", 24 * HOUR)
+
+
+@query(f"""WITH {SQL_R}, {_BANK},
+s8 AS (SELECT *, CASE WHEN source_pts - lag(source_pts) OVER (PARTITION BY question_id ORDER BY source_pts, candidate_index) > {GAP} THEN 1 ELSE 0 END AS o FROM s WHERE rk <= 8),
+k8 AS (SELECT *, sum(o) OVER (PARTITION BY question_id ORDER BY source_pts, candidate_index) AS core_id FROM s8),
+w8 AS (SELECT question_id, core_id, count(*) AS seeds, greatest(min(source_pts) - {RADIUS}, low) AS l, least(max(source_pts) + {RADIUS}, high) AS r FROM k8 JOIN b USING (question_id) GROUP BY question_id, core_id, low, high),
+i8 AS (SELECT *, sum(CASE WHEN l > p THEN 1 ELSE 0 END) OVER (PARTITION BY question_id ORDER BY l, r) AS h FROM (SELECT *, max(r) OVER (PARTITION BY question_id ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM w8)),
+nw AS (SELECT question_id, min(l) AS wl, max(r) AS wr FROM i8 GROUP BY question_id, h HAVING max(seeds) >= 3), {_repooled(pools.RETARGETED)}""")
+def retargeted_pool(spark, sf):
+    c = candidates(spark, sf)
+    return pools.repooled(_bank(c), regions(c, 8).where("refine"), ranking.top_k(c, QUESTION, 16), QUESTION, "source_pts", 24 * HOUR, pools.RETARGETED)
+
+
+@query("""WITH d AS (SELECT doc_id::VARCHAR AS item, n_chars::DOUBLE AS seconds FROM documents),
+p AS (SELECT item, min(place) AS place FROM (SELECT item, place FROM (SELECT item, row_number() OVER (ORDER BY item) AS place FROM d) WHERE place <= 5 UNION ALL SELECT '133', 6 UNION ALL SELECT '13', 7) GROUP BY item)
+SELECT item, seconds, row_number() OVER (ORDER BY place NULLS LAST, seconds DESC, item) AS ordinal FROM d LEFT JOIN p USING (item)""")
+def duration_queue(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("item"), F.col("n_chars").cast("double").alias("seconds"))
+    return ranking.duration_queue(d, "item", "seconds", ranking.pilots(d, "item", ["item"], 5, ["133", "13"]))
+
+
+_RAW = [" local", "GLOBAL ", "mixed", "Local.", "", "b", "A.", "(c)", "d ."]
+
+
+@query(f"""WITH r AS (SELECT doc_id, {_RAW!r}[doc_id % {len(_RAW)} + 1] AS raw FROM documents)
+SELECT doc_id, CASE WHEN upper(trim(raw)) IN ('LOCAL', 'GLOBAL', 'MIXED') THEN upper(trim(raw)) ELSE 'MIXED' END AS scope, upper(trim(raw)) NOT IN ('LOCAL', 'GLOBAL', 'MIXED') AS fallback,
+CASE WHEN regexp_full_match(trim(raw), '[A-Da-d]\\.?') THEN upper(trim(raw)[1]) ELSE 'D' END AS category, regexp_full_match(trim(raw), '[A-Da-d]\\.?') AS valid FROM r""")
+def scopes(spark, sf):
+    raw = F.array(*map(F.lit, _RAW))[(F.col("doc_id") % len(_RAW)).cast("int")]
+    return table(spark, sf, "documents").select("doc_id", parsing.parse_scope(raw).alias("s"), parsing.parse_category(raw).alias("c")).select("doc_id", "s.*", "c.*")
+
+
+@query("""SELECT doc_id, n_chars % 32 + 1 + (n_chars % 32 + 1) % 2 AS frames, (n_chars - doc_id) / 2.0::DOUBLE AS content, (n_chars + doc_id) / 2.0::DOUBLE AS position, b.n AS box, b.x AS x1, b.y AS y1, b.x + w AS x2, b.y + h AS y2
+FROM (SELECT *, (100 + n_chars % 900) // 2 AS w, (50 + doc_id % 700) // 2 AS h, 100 + n_chars % 900 AS fw, 50 + doc_id % 700 AS fh FROM documents),
+LATERAL (SELECT unnest([{'n': 0, 'x': 0, 'y': 0}, {'n': 1, 'x': fw - w, 'y': 0}, {'n': 2, 'x': 0, 'y': fh - h}, {'n': 3, 'x': fw - w, 'y': fh - h}, {'n': 4, 'x': (fw - w) // 2, 'y': (fh - h) // 2}]) AS b) u""")
+def frame_arithmetic(spark, sf):
+    d = table(spark, sf, "documents").withColumn("n_chars", F.col("n_chars").cast("long"))
+    p = parsing.by_position(F.col("n_chars").cast("double"), F.col("doc_id").cast("double"))
+    boxes = F.posexplode(parsing.quarter_boxes(100 + F.col("n_chars") % 900, 50 + F.col("doc_id") % 700)).alias("box", "b")
+    return d.select("doc_id", parsing.padded(F.col("n_chars") % 32 + 1).alias("frames"), p["content"].alias("content"), p["position"].alias("position"), boxes).select("doc_id", "frames", "content", "position", "box", "b.*")
+
+
+@query(f"""WITH {SQL_V}, o AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY score DESC, vec_id) AS rk, list_slice(e, 1, 32) AS z FROM v),
+p AS (SELECT a.region, a.vec_id, list_dot_product(a.e, b.e) / (a.n * b.n) AS old, list_dot_product(a.z, b.z) / sqrt(list_dot_product(a.z, a.z) * list_dot_product(b.z, b.z)) AS new, a.vec_id % 5 <> 0 AND b.vec_id % 5 <> 0 AS ok
+      FROM o a JOIN o b ON a.region = b.region AND b.rk <= 4 AND a.rk > 4)
+SELECT region, vec_id, round(max(greatest(0.0, least(1.0, CASE WHEN ok THEN new ELSE old END))), 6) AS redundancy FROM p GROUP BY region, vec_id""")
+def conditional_redundancy(spark, sf):
+    v = vectors(spark, sf).select("region", "vec_id", "score", "embedding", F.slice("embedding", 1, 32).alias("state"), (F.col("vec_id") % 5 != 0).alias("valid"))
+    rk = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("score"), "vec_id"))
+    ranked = v.withColumn("rk", rk)
+    held = ranked.where("rk <= 4").select("region", *(F.col(c).alias(f"_{c}") for c in ("embedding", "state", "valid")))
+    pairs = ranked.where("rk > 4").join(held, "region")
+    out = redundancy(cosine(F.col("embedding"), F.col("_embedding")), cosine(F.col("state"), F.col("_state")), F.col("valid") & F.col("_valid"))
+    return pairs.groupBy("region", "vec_id").agg(F.round(out, 6).alias("redundancy"))
+
+
+_GAMMA, _BETA = [1 + i % 7 / 10 for i in range(64)], [i % 5 / 10 - 0.1 for i in range(64)]
+_W, _B = [[(i * (r + 3) % 11 - 5) / 10 for i in range(64)] for r in range(4)], [r / 10 for r in range(4)]
+_LIMIT = max(_GAMMA) * 8 + sum(b * b for b in _BETA) ** 0.5
+
+
+@query(f"""WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), f AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS f FROM u WHERE list_dot_product(e, e) > 0),
+s AS (SELECT vec_id, f, {sum(b / g for b, g in zip(_BETA, _GAMMA, strict=True))!r}::DOUBLE / list_dot_product(f, {[1 / g for g in _GAMMA]!r}::DOUBLE[]) AS scale FROM f),
+y AS (SELECT vec_id, scale, [{', '.join(f'scale * list_dot_product(f, {w!r}::DOUBLE[]) + {b!r}::DOUBLE' for w, b in zip(_W, _B, strict=True))}] AS y FROM s WHERE scale > 0 AND scale <= {_LIMIT!r}::DOUBLE * 1.00001)
+SELECT vec_id, round(scale, 6) AS scale, p - 1 AS place, round(y[p] / sqrt(list_dot_product(y, y)), 6) AS value FROM (SELECT *, unnest([1, 2, 3, 4]) AS p FROM y)""")
+def projection_recovery(spark, sf):
+    unit = F.expr("transform(embedding, x -> CAST(x AS DOUBLE) / sqrt(aggregate(embedding, CAST(0 AS DOUBLE), (s, y) -> s + CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))")
+    v = table(spark, sf, "embeddings").select("vec_id", unit.alias("f")).select("vec_id", recovered_projection(F.col("f"), _GAMMA, _BETA, _W, _B).alias("p")).where("p IS NOT NULL")
+    return v.select("vec_id", F.round("p.scale", 6).alias("scale"), F.posexplode("p.vector").alias("place", "value")).withColumn("value", F.round("value", 6))

@@ -447,12 +447,6 @@ def selection_spread(spark, sf):
     return matching.spread_pairs(s, QUESTION, "source_pts", 32, F.col("low"), F.col("high"))
 
 
-@query()
-def outside_suppressed(spark, sf):
-    c = candidates(spark, sf)
-    return matching.suppressed(c, QUESTION, "source_pts", "score", "candidate_index", 24 * HOUR, 4)
-
-
 @query(f"WITH {SQL_T} SELECT CASE WHEN grouping(stratum) = 1 THEN 'all' ELSE stratum END AS stratum, CASE WHEN grouping(cluster) = 1 THEN 'all' ELSE cluster END AS cluster, count(*) AS n, count(*) FILTER (WHERE a) AS right_a, count(*) FILTER (WHERE b) AS right_b FROM t GROUP BY GROUPING SETS ((stratum), (cluster), (stratum, cluster))")
 def grouped_profile(spark, sf):
     measures = {"n": F.count(F.lit(1)), "right_a": F.count_if(F.col("a")), "right_b": F.count_if(F.col("b"))}

@@ -28,17 +28,17 @@ def bounds(c: DataFrame) -> DataFrame:
     return c.groupBy("question_id").agg(F.min("source_pts").alias("low"), F.max("source_pts").alias("high"))
 
 
-def cores(c: DataFrame) -> DataFrame:
-    return temporal.gap_sessions(ranking.top_k(c, QUESTION, SEEDS), QUESTION, "source_pts", GAP, ["candidate_index"])
+def cores(c: DataFrame, seeds: int = SEEDS) -> DataFrame:
+    return temporal.gap_sessions(ranking.top_k(c, QUESTION, seeds), QUESTION, "source_pts", GAP, ["candidate_index"])
 
 
-def windows(c: DataFrame) -> DataFrame:
-    seeds = cores(c).join(bounds(c), QUESTION)
+def windows(c: DataFrame, n: int = SEEDS) -> DataFrame:
+    seeds = cores(c, n).join(bounds(c), QUESTION)
     return temporal.core_windows(seeds, QUESTION, "source_pts", RADIUS, F.first("low"), F.first("high"))
 
 
-def regions(c: DataFrame) -> DataFrame:
-    return temporal.regions(windows(c), QUESTION)
+def regions(c: DataFrame, seeds: int = SEEDS) -> DataFrame:
+    return temporal.regions(windows(c, seeds), QUESTION)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

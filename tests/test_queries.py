@@ -38,5 +38,5 @@ def test_query_equals_sql(spark, duck, name):
         assert sorted(want.columns) == cols
         at = [want.columns.index(c) for c in cols]
         assert got == sorted(tuple(canon(r[i]) for i in at) for r in want.fetchall())
-    else:
-        assert got
+    else:  # kernels and bootstraps that tests of their own hold against brute force
+        assert got and name in ("wavelet_segments", "paired_bootstrap", "macro_bootstrap")
