@@ -1,8 +1,8 @@
 """Quality classifier: supervised subword embeddings, trained by stochastic gradient descent in numpy.
 
-A text is the mean of learned vectors of its words, of its word bigrams by pattern (a word said twice) and of the character
-n-grams within and at the edges of words, all hashed into BUCKETS rows; a softmax layer gives the class. Case and signs are
-kept, as they tell shouted or garbled text.
+A text is the mean of learned vectors of its words, of its word bigrams, of the patterns of two or three words in a row in which
+one comes back (aa, aba, aab, ...: repetition shows in words never learned, too), and of the character n-grams within and at the edges of words,
+all hashed into BUCKETS rows; a softmax layer gives the class. Case and signs are kept, as they tell shouted or garbled text.
 
 Training takes at most TRAIN_ROWS labelled rows (broadcast as doc_id and label; their texts come to the driver as counted
 buckets, whole texts all the same). As the output layer is linear, a bucket's share in the logit is one number, so scoring a
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ._labels import held_out, labelled_texts, training_rows
 from ._shared import alone, table
-from ._text import NOT_SPACE, U, Words, buffers, pieces, stream
+from ._text import NOT_SPACE, U, Words, buffers, mix, pieces, stream
 
 TRAIN_ROWS, BITS, DIM, EPOCHS, RATE, GRAMS = 5_000, 17, 16, 6, 0.25, (3, 4)
 BUCKETS = 1 << BITS
@@ -36,8 +36,13 @@ def buckets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     w = Words(buf, off, NOT_SPACE, fold=False)
     yield (w.hash >> U(64 - BITS)).astype(np.int64), w.at
     doc = w.doc()
-    twice = np.flatnonzero((w.hash[1:] == w.hash[:-1]) & (doc[1:] == doc[:-1])) + 1
-    yield np.full(len(twice), 1, np.int64), np.searchsorted(twice, w.at)
+    second = np.flatnonzero(doc[1:] == doc[:-1]) + 1
+    h = w.hash
+    yield (mix(h[second - 1] * _mult[7] + h[second]) >> U(64 - BITS)).astype(np.int64), np.searchsorted(second, w.at)
+    third = np.flatnonzero(doc[2:] == doc[:-2]) + 2
+    for at, pattern in ((second, (h[second] == h[second - 1]).astype(U)), (third, (h[third] == h[third - 1]) + (h[third] == h[third - 2]) * U(2) + (h[third - 1] == h[third - 2]) * U(4) + U(8))):
+        some = (pattern & U(7)) > 0
+        yield (mix(pattern[some] * _mult[6]) >> U(64 - BITS)).astype(np.int64), np.searchsorted(at[some], w.at)
     first = (buf & 0xC0) != 0x80
     at = np.concatenate([[0], np.cumsum(first)])[off]
     text = buf.tobytes().decode("utf-8", "replace").encode("utf-32-le")
@@ -117,7 +122,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 5) -> Mode
             p = np.exp(z - z.max())
             p /= p.sum()
             p[label] -= 1
-            # rare buckets move as fast as common ones of long texts: the gradient of a mean is spread over its square root
+            # the gradient of a mean is thin over the many buckets of a text, so buckets learn at a higher rate than the layer above
             back = (rate * 20) * (p @ out)
             out -= rate * np.outer(p, v)
             bias -= rate * np.float32(0.1) * p
