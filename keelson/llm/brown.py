@@ -4,14 +4,16 @@ P(w | v) = P(class of w | class of v) P(w | class of w). Counts are of all train
 
 1. Words (their 64-bit hashes, and last two bytes) are counted; the HEAD most frequent go to all tasks, the others stay a table.
 2. Bigrams of the CLUSTERED most frequent words are counted; exchange clustering on the driver moves each word in turn to the
-   class where the average mutual information of adjacent classes grows most, until sweeps change nothing.
-3. The next words up to PLACED, and all rarer words by their last two bytes (unknown words too), go to the class
-   that fits the classes beside them best, one exchange step by counts of all their neighbours.
+   class where the average mutual information of adjacent classes grows most, until sweeps change nothing, 8 at most.
+3. All other words of LEAST occurrences or more are put in as Brown's window does, by the classes beside them in all texts: their contexts
+   are counted and compared on the cluster, a row a word comes back. Then all, the first too, are exchanged once more by the classes of
+   all their neighbours. Rarer words tell too little of themselves (each by itself fits its own few places and no others): they, and unknown
+   ones, have the class that fits all of those with their last two bytes best, and so have words beyond HEAD.
 4. Class transitions are counted and smoothed towards class frequency; emissions are (c + 1) / (class tokens + class words + 1).
 5. Texts are scored: frequent words by what tasks hold, the rest by a join with the word table, as log10(c + 1) is all
    that a rare word's count adds, and 0 for unknown ones.
 
-Sizes are of the model only: CLUSTERED^2 and PLACED x classes bound what the driver gathers; words and their counts have no bound.
+What the driver gathers is bounded by CLUSTERED^2 bigrams and HEAD words with counts and classes; words and their counts have no bound.
 
 Defined cases: a null or empty text is the end token alone; rows that repeat a doc_id are texts of their own; rows without
 doc_id are training rows; without training texts all counts are 0; other columns are ignored.
@@ -30,7 +32,7 @@ from ._labels import held_out
 from ._shared import Scratch, alone, table
 from ._text import NOT_SPACE, U, Words, buffers, long_list, pieces
 
-CLASSES, CLUSTERED, PLACED, HEAD = 32, 1500, 30_000, 200_000
+CLASSES, CLUSTERED, HEAD, LEAST = 32, 1500, 200_000, 5
 OTHER, EDGE = CLASSES, CLASSES + 1  # when clustering: the class of words outside, and of text ends
 SUFFIXES = 1 << 16
 
@@ -133,21 +135,50 @@ def _pairs(words: np.ndarray, rank: np.ndarray, n: int):
     return run
 
 
-def _contexts(words: np.ndarray, rank: np.ndarray, of_word: np.ndarray, clustered: int):
-    """How often each unit (words of rank clustered to PLACED, then suffixes) has each class before and after it."""
-    placed, width = len(words), CLASSES + 2
+def _contexts(words: np.ndarray, rank: np.ndarray, of_word: np.ndarray, of_suffix: np.ndarray, first: int):
+    """How often each unit (words of rank first and on, then suffixes of all others) has each class before and after it."""
+    held, width = len(words), CLASSES + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
+
+        def out() -> pa.RecordBatch:
+            k, c = sums.take()
+            return pa.RecordBatch.from_arrays([pa.array(k // (2 * width)), pa.array(k), pa.array(c)], ["unit", "key", "n"])
+
         for _, w in _words(batches):
-            r = _ranks(w.hash, words, rank, placed)
-            cls = _sequence(w, np.where(r < clustered, of_word[np.minimum(r, clustered - 1)] if clustered else OTHER, OTHER), EDGE)
-            unit = np.where(r < placed, r, placed + _suffix(w))
+            r, tail = _ranks(w.hash, words, rank, held), _suffix(w)
+            cls = _sequence(w, np.where(r < held, of_word[np.minimum(r, held - 1)] if held else OTHER, of_suffix[tail]), EDGE)
+            unit = np.where(r < held, r, held + tail)
             at = np.arange(len(unit)) + w.doc() + 1
-            some = r >= clustered
-            sums.add(np.concatenate([(unit * 2 * width + cls[at - 1])[some], (unit * 2 * width + width + cls[at + 1])[some]]))
-        k, c = sums.take()
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "n"])
+            some = r >= first
+            if sums.add(np.concatenate([(unit * 2 * width + cls[at - 1])[some], (unit * 2 * width + width + cls[at + 1])[some]])):
+                yield out()
+        yield out()
+
+    return run
+
+
+def _placed(g: np.ndarray):
+    """Rows in order of unit: the class of each."""
+    width = CLASSES + 2
+
+    def told(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        unit, at = np.unique(key // (2 * width), return_inverse=True)
+        counts = np.bincount(at * 2 * width + key % (2 * width), n, len(unit) * 2 * width).reshape(-1, 2, width)
+        return pa.RecordBatch.from_arrays([pa.array(unit), pa.array(_place(counts, g).astype(np.int64))], ["unit", "cls"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        for b in batches:
+            held = [np.concatenate([x, b.column(k).to_numpy()]) for x, k in zip(held, ("key", "n"), strict=True)]
+            unit = held[0] // (2 * width)
+            cut = int(np.searchsorted(unit, unit[-1])) if len(unit) else 0
+            if cut:
+                yield told(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield told(*held)
 
     return run
 
@@ -279,7 +310,8 @@ def fit(train: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     word, c = top["word"].to_numpy().view(U), top["c"].to_numpy()
     order = np.lexsort((word, -c))
     word, c, tail_of = word[order], c[order], top["suffix"].to_numpy()[order]
-    clustered, placed = min(CLUSTERED, len(word)), min(PLACED, len(word))
+    clustered = min(CLUSTERED, len(word))
+    held = max(clustered, int((c >= LEAST).sum()))
 
     def sorted_ranks(k: int) -> tuple[np.ndarray, np.ndarray]:
         by = np.argsort(word[:k])
@@ -288,12 +320,27 @@ def fit(train: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     n = _grid(texts.mapInArrow(_pairs(*sorted_ranks(clustered), clustered), pairs), (clustered + 2) ** 2).reshape(clustered + 2, -1)
     n[clustered + 1, clustered + 1] = 0
     of_word, g = exchange(n)
-    width = 2 * (CLASSES + 2)
-    ctx = _grid(texts.mapInArrow(_contexts(*sorted_ranks(placed), of_word, clustered), pairs), (placed + SUFFIXES) * width).reshape(-1, 2, CLASSES + 2)
-    unit = np.concatenate([_place(x, g) for x in np.array_split(ctx, 64)])
-    unit[:clustered] = of_word
-    of_suffix = unit[placed:]
-    cls = np.where(np.arange(len(word)) < placed, unit[np.minimum(np.arange(len(word)), max(placed - 1, 0))], of_suffix[tail_of]) if len(word) else np.zeros(0, np.int64)
+    parts = max(1, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    every = sorted_ranks(held)
+
+    def placed(of_word: np.ndarray, of_suffix: np.ndarray, g: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Classes of words of rank first and on, and of suffixes, by the classes of their neighbours."""
+        seen = texts.mapInArrow(_contexts(*every, of_word, of_suffix, first), "unit long, key long, n long")
+        got = seen.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_placed(g), "unit long, cls long").toArrow()
+        out = np.append(of_word, np.zeros(SUFFIXES, np.int64))
+        out[got["unit"].to_numpy()] = got["cls"].to_numpy()
+        return out[:held], out[held:]
+
+    start = np.append(of_word, np.full(held - clustered, OTHER))
+    cls, of_suffix = placed(start, np.full(SUFFIXES, OTHER), g, clustered)
+    # once more, by the classes of all neighbours and the transitions between all classes
+    grid = (CLASSES + 1) ** 2
+    t = _grid(texts.mapInArrow(_transitions(Model(every[0], None, cls[every[1]], of_suffix, None, None, 0, 0)), pairs), grid).reshape(CLASSES + 1, -1)
+    whole = np.zeros((CLASSES + 2, CLASSES + 2))
+    at = np.append(np.arange(CLASSES), EDGE)
+    whole[np.ix_(at, at)] = t
+    cls, of_suffix = placed(cls, of_suffix, whole, 0)
+    cls = np.append(cls, of_suffix[tail_of[held:]])
     # tokens and words of classes: the frequent words one by one, the others by suffix
     size = np.bincount(cls, c + 1.0, CLASSES + 1).astype(np.float64)
     by = counts.groupBy("suffix").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toArrow()
@@ -303,7 +350,7 @@ def fit(train: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     n_tokens, n_types = (total[0] or 0) + texts_n, total[1] + (texts_n > 0)
     by = np.argsort(word)
     m = Model(word[by], c[by], cls[by], of_suffix, None, size, n_tokens, n_types)
-    t = _grid(texts.mapInArrow(_transitions(m), pairs), (CLASSES + 1) ** 2).reshape(CLASSES + 1, -1)
+    t = _grid(texts.mapInArrow(_transitions(m), pairs), grid).reshape(CLASSES + 1, -1)
     into = t.sum(0)
     share = (into + 1) / (into.sum() + CLASSES + 1)
     m.transition = np.log10((t + 2.0 * share) / (t.sum(1, keepdims=True) + 2.0))

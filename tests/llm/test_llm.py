@@ -407,6 +407,42 @@ def test_class_probabilities_sum_to_no_more_than_one(spark):
         assert (m.count[m.cls == k] + 1).sum() <= m.size[k] + 1
 
 
+def test_class_scores_equal_their_formula(spark):
+    rng = np.random.default_rng(51)
+    rows = [(i, prose(rng, int(rng.integers(1, 60)))) for i in range(120)]
+    df = table(spark, [*rows, (500, "unseen " + rows[0][1] + " Unseen"), (501, None), (502, "zz")])
+    m, _ = brown.fit(df.where("doc_id < 100"), Scratch(spark))
+    texts = {i: t or "" for i, t in [*rows, (500, "unseen " + rows[0][1] + " Unseen"), (501, None), (502, "zz")]}
+    of = {}
+    for w in {x for t in texts.values() for x in words(t)}:
+        one = Words(*buffers(pa.array([w])), NOT_SPACE)
+        at = np.flatnonzero(m.words == one.hash[0])
+        of[w] = (int(m.cls[at[0]]), int(m.count[at[0]])) if len(at) else (int(m.of_suffix[brown._suffix(one)[0]]), 0)
+    got = {r["doc_id"]: r["score"] for r in brown.class_scores(df, df.where("doc_id < 100")).where("doc_id < 120 OR doc_id >= 500").collect()}
+    for i, t in texts.items():
+        last, total = brown.CLASSES, 0.0
+        for w in words(t):
+            c, n = of[w]
+            total += m.transition[last, c] + math.log10((n + 1) / (m.size[c] + 1))
+            last = c
+        assert got[i] == pytest.approx(total + m.transition[last, brown.CLASSES]), i
+
+
+def test_quality_forward_pass_and_step(spark):
+    text = "Red fox red fox red"
+    rows = [quality.counted(pa.array([text]))[0], quality.counted(pa.array(["über uns"]))[0]]
+    w = Words(*buffers(pa.array([text])), NOT_SPACE, fold=False)
+    bigrams = [quality.mix(w.hash[i : i + 1] * quality._mult[7] + w.hash[i + 1 : i + 2])[0] >> quality.U(64 - quality.BITS) for i in range(4)]
+    got = dict(zip(rows[0][0].tolist(), rows[0][1].tolist(), strict=True))
+    assert all(got[int(b)] >= 1 for b in bigrams) and sum(got.values()) >= 5 + 4 + 2
+    m = quality.train([(1, f, n.astype(np.float32)) for f, n in rows[:1] * 20] + [(0, f, n.astype(np.float32)) for f, n in rows[1:] * 20])
+    for (f, n), t in zip(rows, (text, "über uns"), strict=True):
+        z = m.bias + float((m.share[f].astype(float) * n).sum() / n.sum())
+        assert m.score(pa.array([t]))[0] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+    a, b = m.score(pa.array([text, "über uns"]))
+    assert a > 0.5 > b
+
+
 def test_rare_words_are_joined(spark, monkeypatch):
     rng = np.random.default_rng(15)
     rows = [(i, prose(rng, 30) + f" own{i % 20}") for i in range(60)]
@@ -597,3 +633,43 @@ def test_pipeline_judges_rows_not_ids(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
     assert P.run(spark, empty).isEmpty()
+
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = {
+    "op1_warc": ["page_id long", "payload_bytes long", "payload_digest string", "record_type string", "refers_to long"],
+    "op2_minhash": ["doc_id long", "n_shingles long", "component_id long", "kept boolean"],
+    "op3_quality": ["doc_id long", "held_out boolean", "score double", "predicted int"],
+    "op4_decontamination": ["doc_id long", "n_words long", "n_hit long", "n_items long", "items_sha256 string", "contaminated boolean"],
+    "op5_mixing": ["doc_id long", "size long", "source_size long", "target double", "taken long"],
+    "op6_embedding_dedup": ["vec_id long", "n_links long", "component_id long", "kept boolean"],
+    "op7_toxicity": ["doc_id long", "held_out boolean", "score double", "predicted int"],
+    "op8_line_dedup": ["doc_id long", "n_lines long", "n_dropped long", "kept_sha256 string"],
+    "op9_class_lm": ["doc_id long", "held_out boolean", "n_tokens long", "n_known long", "train_tokens long", "base_score double", "score double"],
+    "op10_passages": ["doc_id long", "other_doc_id long", "class_id long"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_query_has_its_columns_and_equals_its_sql(spark, name):
+    from keelson.llm import catalog
+
+    df = catalog.queries()[name](spark, SF)
+    kinds = {c: {"bigint": "long"}.get(t, t) for c, t in df.dtypes}
+    assert [f"{c.split()[0]} {kinds[c.split()[0]]}" for c in COLUMNS[name]] == COLUMNS[name]
+    got = df.collect()
+    assert len(got) > 0 and (name == "op10_passages" or len({r[0] for r in got}) == len(got))
+    folds = {"op3_quality": (3, 1), "op7_toxicity": (5, 0), "op9_class_lm": (7, 2)}
+    if name in folds:
+        modulus, rest = folds[name]
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % modulus == rest) for r in got)
+    if name in ("op3_quality", "op7_toxicity"):
+        assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    if sql := catalog.oracle_sql().get(name):
+        import duckdb
+
+        con = duckdb.connect()
+        for t in ("documents", "embeddings", "pages", "benchmark"):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        want = con.sql(sql)
+        assert collections.Counter(tuple(r[c] for c in want.columns) for r in got) == collections.Counter(want.fetchall())
