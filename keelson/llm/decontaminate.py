@@ -7,8 +7,10 @@ that shingle, its place in the window fixes where the window would begin (positi
 words are compared with the window's. A lower containment t keeps the m - ceil(t m) + 1 rarest of m elements and counts equal
 words of the item-sized window instead.
 
-The benchmark goes to the documents in blocks of at most BLOCK windows, each broadcast in turn (a window is WINDOW + 3
-numbers, so 30 MB at most), and texts aren't shuffled. What the blocks found of a document is united by its key.
+Documents are read twice, however large the benchmark is: to count the benchmark's shingles, and to bring out the places of prefix
+shingles with the words around them. Both times a bitmap of 2^SPOTS bits (8 MB, whatever the benchmark's size) lets shingles through;
+those it lets through in error find no partner in the join. Counts, places and windows meet by shingle on the cluster; texts aren't
+shuffled, and neither shingles nor windows reach the driver.
 
 Defined cases: a null text has no words; an item without words has no window; items and documents that repeat an id are
 rows of their own (an item_id counts once in n_items); items without item_id hit words, but count in no items; an empty benchmark hits nothing; n_words 0 is never contaminated; other columns are ignored.
@@ -17,7 +19,6 @@ rows of their own (an item_id counts once in n_items); items without item_id hit
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import Scratch, alone, table
-from ._text import ALNUM, U, Words, buffers, mix, pieces
+from ._text import ALNUM, U, Words, buffers, long_list, mix, pieces
 
-WINDOW, GRAM, BLOCK = 13, 3, 200_000
+WINDOW, GRAM, SPOTS = 13, 3, 26
 
 
 def _grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -38,12 +39,25 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _item_windows(window: int, gram: int):
-    """item_id, words (their hashes) and shingles (of gram words; of all words if there are fewer) of each window."""
+def _spots(marks: np.ndarray, gram: int, bits: int) -> np.ndarray:
+    """The place of each shingle in the bitmap of 2^bits."""
+    return (mix(marks ^ U(gram)) >> U(64 - bits)).astype(np.int64)
+
+
+def _bitmap(spots: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of a column spot, put together on the cluster; 2^bits bits at most come to the driver."""
+    words = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), CAST(spot & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), U)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(U)
+    return out
+
+
+def _item_windows(window: int, gram: int, bits: int):
+    """item_id, words (their hashes) and shingles (of gram words; of all words if there are fewer) of each window, with the shingles' bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, words, marks, grams = [], [], [], []
+            ids, words, marks, spots, grams = [], [], [], [], []
             buf, off = buffers(batch.column("text"))
             w = Words(buf, off, ALNUM)
             for i, item in enumerate(batch.column("item_id").to_pylist()):
@@ -53,28 +67,48 @@ def _item_windows(window: int, gram: int):
                     g = min(gram, len(own))
                     ids.append(item)
                     words.append(own.view(np.int64))
-                    marks.append(_grams(own, g)[: len(own) - g + 1].view(np.int64))
+                    mark = _grams(own, g)[: len(own) - g + 1]
+                    marks.append(mark.view(np.int64))
+                    spots.append(_spots(mark, g, bits))
                     grams.append(g)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64())), pa.array(grams, pa.int32())], ["item_id", "words", "marks", "gram"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64())), pa.array(spots, pa.list_(pa.int64())), pa.array(grams, pa.int32())], ["item_id", "words", "marks", "spots", "gram"])
 
     return run
 
 
-def _gram_counts(wanted: dict[int, np.ndarray]):
-    """How often each wanted shingle (sorted, by number of words) occurs in the documents of a partition."""
+def _through(w: Words, g: int, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the shingles of g words that the bitmap lets through."""
+    pos = _whole(w, g)
+    h = _grams(w.hash, g)[pos]
+    spot = _spots(h, g, int(len(bitmap)).bit_length() + 5)
+    ok = (bitmap[spot >> 6] >> (spot & 63).astype(U)) & U(1) > 0
+    return pos[ok], h[ok]
+
+
+def _gram_counts(grams: list[int], sent):
+    """How often shingles that the bitmap lets through occur in the documents of a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {g: np.zeros(len(x), np.int64) for g, x in wanted.items()}
+        held: dict[int, list[np.ndarray]] = {g: [] for g in grams}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for g, parts in held.items():
+                if parts:
+                    k, n = np.unique(np.concatenate(parts), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), g, np.int32)), pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "mark", "n"])
+                    parts.clear()
+
+        size = 0
         for batch in batches:
             for b in pieces(batch, "text"):
                 w = Words(*buffers(b.column("text")), ALNUM)
-                for g, x in wanted.items():
-                    h = _grams(w.hash, g)[_whole(w, g)]
-                    at = np.minimum(np.searchsorted(x, h), len(x) - 1)
-                    total[g] += np.bincount(at[x[at] == h], minlength=len(x))
-        for g, x in wanted.items():
-            some = total[g] > 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), g, np.int32)), pa.array(x[some].view(np.int64)), pa.array(total[g][some])], ["gram", "mark", "n"])
+                for g in grams:
+                    held[g].append(_through(w, g, sent.value)[1])
+                    size += len(held[g][-1])
+            if size > 1 << 21:
+                yield from out()
+                size = 0
+        yield from out()
 
     return run
 
@@ -85,75 +119,32 @@ def _whole(w: Words, n: int) -> np.ndarray:
     return np.flatnonzero(left >= n)
 
 
-def _found(index: dict, need: float):
-    """Rows of documents with n_words, spans of hit words (start, end) and item numbers, by a prefix index of windows."""
+def _places(grams: list[int], window: int, sent):
+    """Rows of documents with n_words, and the places of shingles that the bitmap lets through, with the words around them from start on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in pieces(batch, "text"):
                 w = Words(*buffers(b.column("text")), ALNUM)
-                n = b.num_rows
-                doc, begin = w.doc(), w.at[:-1]
-                starts, wins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for g, (marks, first, win, place) in index["prefix"].items():
-                    pos = _whole(w, g)
-                    h = _grams(w.hash, g)[pos]
-                    at = np.minimum(np.searchsorted(marks, h), len(marks) - 1)
-                    ok = marks[at] == h
-                    pos, at = pos[ok], at[ok]
-                    many = first[at + 1] - first[at]
-                    pos = np.repeat(pos, many)
-                    each = np.repeat(first[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    s, size = pos - place[each], index["size"][win[each]]
-                    fits = (s >= begin[doc[pos]]) & (s + size <= w.at[doc[pos] + 1])
-                    starts.append(s[fits])
-                    wins.append(win[each][fits])
-                s, v = np.concatenate(starts), np.concatenate(wins)
-                size = index["size"][v]
-                same = np.zeros(len(s), np.int64)
-                for k in range(int(size.max(initial=0))):
-                    has = np.flatnonzero(size > k)
-                    same[has] += w.hash[s[has] + k] == index["words"][v[has], k]
-                ok = same >= np.ceil(need * size - 1e-9)
-                s, v = s[ok], v[ok]
-                depth = np.zeros(len(w.hash) + 1, np.int64)
-                np.add.at(depth, s, 1)
-                np.add.at(depth, s + index["size"][v], -1)
-                hit = np.cumsum(depth)[:-1] > 0
-                edge = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
-                opens = np.flatnonzero(hit & (edge | ~np.concatenate([[False], hit[:-1]])))
-                shuts = np.flatnonzero(hit & (np.concatenate([edge[1:], [True]])[: len(hit)] | ~np.concatenate([hit[1:], [False]])[: len(hit)])) + 1
-                at = np.searchsorted(opens, w.at).astype(np.int32)
-                base = begin[doc[opens]] if len(opens) else opens
-                spans = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(opens - base), pa.array(shuts - base)], ["start", "end"]))
-                key = np.unique(np.stack([doc[s], index["item"][v]], 1), axis=0) if len(s) else np.zeros((0, 2), np.int64)
-                key = key[key[:, 1] >= 0]
-                items = pa.ListArray.from_arrays(pa.array(np.searchsorted(key[:, 0], np.arange(n + 1)).astype(np.int32)), pa.array(index["ids"][key[:, 1]]))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(np.diff(w.at)), spans, items], ["doc_id", "row_key", "n_words", "spans", "items"])
+                got = [_through(w, g, sent.value) for g in grams]
+                gram = np.repeat(np.array(grams, np.int32), [len(p) for p, _ in got])
+                pos, mark = (np.concatenate(x) for x in zip(*got, strict=True))
+                doc = np.searchsorted(w.at, pos, "right") - 1
+                order = np.argsort(doc, kind="stable")
+                gram, pos, mark, doc = gram[order], pos[order], mark[order], doc[order]
+                lo, hi = np.maximum(pos - window, w.at[doc]), np.minimum(pos + window, w.at[doc + 1])
+                n = hi - lo
+                at = np.concatenate([[0], np.cumsum(n)])
+                around = w.hash[np.arange(at[-1]) - np.repeat(at[:-1] - lo, n)]
+                base = w.at[doc]
+                fields = [pa.array(gram), pa.array(mark.view(np.int64)), pa.array(pos - base), pa.array(lo - base), long_list(around, at)]
+                places = pa.StructArray.from_arrays(fields, ["gram", "mark", "pos", "start", "around"])
+                rows = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32)), places)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(np.diff(w.at)), rows], ["doc_id", "row_key", "n_words", "places"])
 
     return run
 
 
-def _index(rows: list, ids: np.ndarray, widest: int) -> dict:
-    """The prefix index of a block of windows: by number of shingle words, sorted marks with their windows and places."""
-    size = np.array([len(r["words"]) for r in rows], np.int64)
-    words = np.zeros((len(rows), widest), np.int64)
-    for i, r in enumerate(rows):
-        words[i, : size[i]] = r["words"]
-    prefix = {}
-    for g in {r["gram"] for r in rows}:
-        got = [(p["mark"], i, p["place"]) for i, r in enumerate(rows) if r["gram"] == g for p in r["prefix"]]
-        if not got:
-            continue
-        m = np.array([x[0] for x in got], np.int64).view(U)
-        win, place = np.array([x[1] for x in got]), np.array([x[2] for x in got])
-        order = np.argsort(m, kind="stable")
-        marks, first = np.unique(m[order], return_index=True)
-        prefix[g] = (marks, np.append(first, len(m)), win[order], place[order])
-    item = np.array([-1 if r["item_id"] is None else np.searchsorted(ids, r["item_id"]) for r in rows], np.int64)  # -1: hits words, but has no name
-    return {"size": size, "words": words.view(U), "item": item, "ids": ids, "prefix": prefix}
-
-
 def _united(spans: Column) -> Column:
     """Spans in order, those that overlap or touch as one."""
     one = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
@@ -168,52 +159,34 @@ def _united(spans: Column) -> Column:
     )
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, containment: float = 1.0, gram: int = GRAM, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, containment: float = 1.0, gram: int = GRAM, bits: int = SPOTS, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, row_key, n_words, spans (array of word start and end), items (array of item_id), one row for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    windows = benchmark.select("item_id", "text").mapInArrow(_item_windows(window, gram), "item_id long, words array<long>, marks array<long>, gram int")
-    windows = windows.groupBy("item_id", "words").agg(F.first("marks").alias("marks"), F.first("gram").alias("gram"))
+    windows = benchmark.select("item_id", "text").mapInArrow(_item_windows(window, gram, bits), "item_id long, words array<long>, marks array<long>, spots array<long>, gram int")
+    windows = windows.groupBy("item_id", "words").agg(F.first("marks").alias("marks"), F.first("spots").alias("spots"), F.first("gram").alias("gram"))
     windows = scratch.save(windows.withColumn("win", F.xxhash64("item_id", "words")), "windows")
-    marks = scratch.save(windows.select("gram", F.explode("marks").alias("mark")).distinct(), "marks")
-    counts, n_marks = None, marks.count()
-    for k in range(-(-n_marks // (block * 8))):  # marks in blocks of 8 bytes each
-        part = marks.where(F.pmod(F.xxhash64("mark"), F.lit(-(-n_marks // (block * 8)))) == k).collect()
-        by: dict[int, list[int]] = {}
-        for r in part:
-            by.setdefault(r["gram"], []).append(r["mark"])
-        wanted = {g: np.sort(np.array(x, np.int64).view(U)) for g, x in by.items()}
-        got = keyed.select("text").mapInArrow(_gram_counts(wanted), "gram int, mark long, n long")
-        counts = got if counts is None else counts.unionByName(got)
-    if counts is None:
-        none = "array<struct<start:long,end:long>>"
-        return keyed.mapInArrow(_found({"size": np.zeros(0, np.int64), "words": np.zeros((0, 1), U), "item": np.zeros(0, np.int64), "ids": np.zeros(0, np.int64), "prefix": {}}, 1.0), f"doc_id long, row_key long, n_words long, spans {none}, items array<long>")
-    rarity = counts.groupBy("gram", "mark").agg(F.sum("n").alias("n"))
-    places = windows.select("win", "item_id", "words", "gram", F.size("marks").alias("m"), F.posexplode("marks").alias("place", "mark"))
+    grams = sorted(r["gram"] for r in windows.select("gram").distinct().collect()) or [gram]  # gram values at most
+    sent = spark.sparkContext.broadcast(_bitmap(windows.select(F.explode("spots").alias("spot")), bits))
+    rarity = scratch.save(keyed.select("text").mapInArrow(_gram_counts(grams, sent), "gram int, mark long, n long").groupBy("gram", "mark").agg(F.sum("n").alias("n")), "rarity")
+    places = windows.select("win", "item_id", "words", "gram", F.posexplode(F.arrays_zip("marks", "spots")).alias("place", "m")).select("win", "item_id", "words", "gram", "place", F.col("m.marks").alias("mark"), F.col("m.spots").alias("spot"))
     ranked = places.join(rarity, ["gram", "mark"], "left").withColumn("rank", F.row_number().over(Window.partitionBy("win").orderBy(F.coalesce("n", F.lit(0)), "mark", "place")))
     # an element of the window is lost with each word that differs, up to gram of them
     lost = F.floor((1 - F.lit(float(containment))) * F.size("words") + 1e-9) * F.col("gram")
-    prefix = ranked.where(F.col("rank") <= lost + 1).where("n IS NOT NULL").groupBy("win", "item_id", "words", "gram").agg(F.collect_list(F.struct("mark", "place")).alias("prefix"))
-    prefix = scratch.save(prefix.where(F.size("prefix") > 0), "prefix")
-    n_blocks = max(1, -(-prefix.count() // block))
-    out = None
-    for k in range(n_blocks):
-        rows = prefix.where(F.pmod("win", F.lit(n_blocks)) == k).collect()
-        ids = np.unique(np.array([r["item_id"] for r in rows if r["item_id"] is not None], np.int64))
-        sent = spark.sparkContext.broadcast(_index(rows, ids, window))
-        got = keyed.mapInArrow(partial(_by_broadcast, sent, containment), "doc_id long, row_key long, n_words long, spans array<struct<start:long,end:long>>, items array<long>")
-        out = got if out is None else out.unionByName(got)
-    if n_blocks > 1:
-        rows_of = keyed.groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("copies"))
-        one = out.groupBy("doc_id", "row_key").agg(F.max("n_words").alias("n_words"), _united(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-        out = one.join(rows_of.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "copies"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")))
-        out = out.select("doc_id", "row_key", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
-    return out
-
-
-def _by_broadcast(sent, need: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _found(sent.value, need)(batches)
+    prefix = scratch.save(ranked.where(F.col("rank") <= lost + 1).where("n IS NOT NULL").select("item_id", "words", "gram", "mark", "spot", "place"), "prefix")
+    sent = spark.sparkContext.broadcast(_bitmap(prefix.select("spot"), bits))
+    kind = "array<struct<gram:int,mark:long,pos:long,start:long,around:array<long>>>"
+    rows = scratch.save(keyed.mapInArrow(_places(grams, window, sent), f"doc_id long, row_key long, n_words long, places {kind}"), "rows")
+    scratch.drop(rarity)
+    met = rows.select("doc_id", "row_key", "n_words", F.explode("places").alias("p")).select("doc_id", "row_key", "n_words", "p.*").join(prefix.drop("spot"), ["gram", "mark"])
+    begin, size = F.col("pos") - F.col("place"), F.size("words")
+    met = met.where((begin >= F.col("start")) & (begin + size <= F.col("n_words"))).withColumn("own", F.slice("around", (begin - F.col("start") + 1).cast("int"), size))
+    same = F.col("own") == F.col("words") if containment >= 1 else F.size(F.filter(F.zip_with("own", "words", lambda x, y: x == y), lambda x: x)) >= F.ceil(F.lit(float(containment)) * size - 1e-9)
+    span = F.struct(begin.alias("start"), (begin + size).alias("end"))
+    hits = met.where(same).groupBy(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).agg(_united(F.collect_set(span)).alias("spans"), F.collect_set("item_id").alias("items"))
+    out = rows.drop("places").join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left")
+    return out.select("doc_id", "row_key", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
 
 
 def verdicts(spans: DataFrame, share: int = 20) -> DataFrame:
