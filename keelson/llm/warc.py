@@ -1,10 +1,12 @@
 """WARC archives compressed by a dictionary of their own, written and read through Spark's file sources.
 
 An archive (.warc.zst) is a leading skippable frame (magic 0x184D2A5D) that embeds a Zstandard dictionary, then one frame
-for each record. The dictionary is trained on records of that archive. A partition is an archive: Spark's text writer
+for each record. The dictionary is trained on records of that archive. Spark's text writer
 puts the frames down as raw bytes and, as its line separator, an empty skippable frame (magic 0x184D2A50, size 0), which
 any reader passes over; so archives reach any file system that Spark writes to, under its commit protocol, and a task that
-is lost is simply run again. Payload digests elect responses before writing; a revisit holds no payload.
+is lost is simply run again. A partition makes archives of FRAMES frames each, which is where the writer opens the next file; one that has
+ARCHIVE_BYTES sooner is filled up with empty frames, so no archive, read back as one value, is larger than that and a record.
+Payload digests elect responses before writing; a revisit holds no payload. Copies meet their response in SALTS groups, as one page may be a third of all.
 
 Defined cases: a null html is an empty payload; a null url becomes urn:page:<page_id>; a null page_id takes part (it
 revisits the smallest page_id with its payload; if that has none either, it is a response); rows that repeat the elected page_id
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -31,6 +34,7 @@ DICT_MAGIC = 0x184D2A5D
 GAP = struct.pack("<II", 0x184D2A50, 0)
 #: records at the head of an archive that its dictionary is trained on, and their bytes; all records are archived
 TRAIN_RECORDS, TRAIN_BYTES, DICT_BYTES = 1000, 8 << 20, 64 << 10
+FRAMES, ARCHIVE_BYTES, SALTS = 20_000, 256 << 20, 16
 DATE = "2026-01-01T00:00:00Z"
 _BAD = re.compile(r"[\x00-\x20\x7f]")
 
@@ -68,38 +72,52 @@ def _dictionary(raw: bytes) -> zstd.ZstdCompressionDict | None:
     return zstd.ZstdCompressionDict(raw) if len(raw) >= 8 else None
 
 
-def write_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (page_id, url, payload, refers_to, revisit) to the frames of an archive, as a column value."""
-    packer, waiting, size = None, [], 0
-    frames = lambda xs: pa.RecordBatch.from_arrays([pa.array(xs, pa.binary())], ["value"])
+def archived(records: Iterator[bytes], frames: int = FRAMES, most: int = ARCHIVE_BYTES) -> Iterator[bytes]:
+    """The frames of archives, so many in each but the last: a dictionary, the records, and empty frames where an archive has its bytes sooner."""
+    while True:
+        head, size = [], 0
+        for rec in records:
+            head.append(rec)
+            size += len(rec)
+            if len(head) >= min(TRAIN_RECORDS, frames - 1) or size >= min(TRAIN_BYTES, most):
+                break
+        if not head:
+            return
+        raw = train(head)
+        packer = zstd.ZstdCompressor(level=3, dict_data=_dictionary(raw), write_checksum=True)
+        yield struct.pack("<II", DICT_MAGIC, len(raw)) + raw
+        n, size = 1, len(raw)
+        for rec in itertools.chain(head, itertools.islice(records, frames - 1 - len(head)) if len(head) < frames - 1 else ()):
+            frame = packer.compress(rec)
+            yield frame
+            n, size = n + 1, size + len(frame)
+            if size >= most and n > len(head):
+                yield from (GAP for _ in range(frames - n))
+                break
+        else:
+            if n < frames:
+                return
 
-    def opened() -> tuple[zstd.ZstdCompressor, list[bytes]]:
-        raw = train(waiting)
-        with_it = zstd.ZstdCompressor(level=3, dict_data=_dictionary(raw), write_checksum=True)
-        return with_it, [struct.pack("<II", DICT_MAGIC, len(raw)) + raw, *map(with_it.compress, waiting)]
 
-    for b in batches:
-        out, held = [], 0
-        ids, urls, refs, revisits = (b.column(k).to_pylist() for k in ("page_id", "url", "refers_to", "revisit"))
-        for i, payload in enumerate(b.column("payload")):
-            raw = payload.as_py() or b""
-            rec = record(ids[i], urls[i], raw, digest(raw), refs[i], revisits[i])
-            if packer is None:
-                waiting.append(rec)
-                size += len(rec)
-                if len(waiting) >= TRAIN_RECORDS or size >= TRAIN_BYTES:
-                    packer, out = opened()
-                    waiting = []
-            else:
-                out.append(packer.compress(rec))
-            held = held + len(out[-1]) if out else 0
-            if held > 1 << 22:
-                yield frames(out)
-                out, held = [], 0
-        if out:
-            yield frames(out)
-    if waiting:
-        yield frames(opened()[1])
+def write_partition(batches: Iterator[pa.RecordBatch], frames: int = FRAMES, most: int = ARCHIVE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows (page_id, url, payload, refers_to, revisit) to the frames of archives, as a column value."""
+
+    def records() -> Iterator[bytes]:
+        for b in batches:
+            ids, urls, refs, revisits = (b.column(k).to_pylist() for k in ("page_id", "url", "refers_to", "revisit"))
+            for i, payload in enumerate(b.column("payload")):
+                raw = payload.as_py() or b""
+                yield record(ids[i], urls[i], raw, digest(raw), refs[i], revisits[i])
+
+    out, held = [], 0
+    for frame in archived(records(), frames, most):
+        out.append(frame)
+        held += len(frame)
+        if held > 1 << 22 or len(out) >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+            out, held = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
 
 def records_of(raw: bytes) -> Iterator[bytes]:
@@ -169,19 +187,20 @@ def _read_partition(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterat
                 yield pa.RecordBatch.from_pylist(rows, READ)
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """An archive for each partition of pages (page_id, url, html) below path.
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, frames: int = FRAMES, most: int = ARCHIVE_BYTES) -> None:
+    """Archives of pages (page_id, url, html) below path, of at most so many frames and about so many bytes each.
 
     Of equal payloads of min_bytes or more, the one with the smallest page_id is the response, others revisit it.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha", F.sha1("payload"))
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha", F.sha1("payload")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     again = rows.where(F.length("payload") >= min_bytes).groupBy(F.col("sha").alias("_sha")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    elected = rows.join(again, (rows["sha"] == again["_sha"]), "left")
+    again = again.select("_sha", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    elected = rows.join(again, (rows["sha"] == again["_sha"]) & (rows["salt"] == again["_salt"]), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     ready = elected.select("page_id", "url", "payload", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
-    frames = ready.mapInArrow(write_partition, "value binary").select(F.col("value").cast("string").alias("value"))
-    frames.write.option("lineSep", GAP.decode("latin-1")).text(path)
+    written = ready.mapInArrow(lambda bs: write_partition(bs, frames, most), "value binary").select(F.col("value").cast("string").alias("value"))
+    written.write.option("lineSep", GAP.decode("latin-1")).option("maxRecordsPerFile", frames).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

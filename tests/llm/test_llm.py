@@ -635,6 +635,21 @@ def test_pipeline_judges_rows_not_ids(spark, tmp_path):
     assert P.run(spark, empty).isEmpty()
 
 
+def test_archives_are_bounded_and_each_opens_with_its_dictionary(spark, tmp_path):
+    rng = np.random.default_rng(61)
+    pages = [(i, f"http://x/{i}", prose(rng, 40) if i % 9 else None) for i in range(500)] + [(900, "http://x/long", "x" * 50_000), (None, "http://x/none", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    for frames, most in ((40, 1 << 30), (100, 4_000), (2, 1 << 30)):
+        path = f"{tmp_path}/{frames}"
+        warc.write_archives(df, path, frames=frames, most=most)
+        raws = [p.read_bytes() for p in sorted((tmp_path / str(frames)).glob("part-*"))]
+        assert len(raws) >= len(pages) // frames and all(r[:4] == warc.struct.pack("<I", warc.DICT_MAGIC) for r in raws if r)
+        counts = [len(list(warc.records_of(r))) for r in raws]
+        assert sum(counts) == len(pages) and max(counts) < frames
+        got = {(r["page_id"], r["url"], r["payload_bytes"]) for r in warc.read_archives(spark, path).collect()}
+        assert got == {(i, u, len((h or "").encode())) for i, u, h in pages}
+
+
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
     "op1_warc": ["page_id long", "payload_bytes long", "payload_digest string", "record_type string", "refers_to long"],
