@@ -40,6 +40,13 @@ def regions(cores: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def conditional_groups(cores: DataFrame, keys: Sequence[str], least: int = 3) -> DataFrame:
+    """keys, core_id, group_id (its smallest core) and weight of cores (left, right, seeds): only windows of least seeds or more are merged where they touch, and no sparser one joins them or others."""
+    hot = merge_intervals(cores.where(F.col("seeds") >= least), keys).select(*keys, "core_id", "seeds", F.min("core_id").over(Window.partitionBy(*keys, "region_id")).alias("group_id"))
+    every = hot.unionByName(cores.where(F.col("seeds") < least).select(*keys, "core_id", "seeds", F.col("core_id").alias("group_id")))
+    return every.select(*keys, "core_id", "group_id", (F.lit(1) + F.sum(F.col("seeds") - 1).over(Window.partitionBy(*keys, "group_id"))).cast("double").alias("weight"))
+
+
 def voronoi_cells(df: DataFrame, keys: Sequence[str], tick: int, low: Column, high: Column, left: str = "left", right: str = "right") -> DataFrame:
     """cell_left and cell_right of disjoint regions: cut at the middle of a gap, on the tick at or before it; ends at low and high."""
     w = Window.partitionBy(*keys).orderBy(left)

@@ -82,6 +82,18 @@ def _low_loss(rows, x):
     return [(int(rows["vec_id"].iloc[i]),) for i in selection.low_loss_swap(np.arange(len(rows)), held[:4], held[4], selection.clipped_cosines(x), {held[0]})]
 
 
+@query(S.CONDITIONAL)
+def select_conditional_merge(spark, sf):
+    v = vectors(spark, sf).select("question", "vec_id", "embedding", "score")
+    top = ranking.top_k(v.withColumnRenamed("vec_id", "candidate_index").withColumn("source_pts", F.col("candidate_index")), ["question"], S.SEEDS)
+    seeds = temporal.gap_sessions(top, ["question"], "source_pts", 8)
+    spans = seeds.groupBy("question", "core_id").agg(F.min("source_pts").alias("left"), F.max("source_pts").alias("right"), F.count(F.lit(1)).alias("seeds"))
+    groups = temporal.conditional_groups(spans.withColumns({"left": F.col("left") - 6, "right": F.col("right") + 6}), ["question"], 2)
+    owner = temporal.nearest_interval(v, spans, ["question"], "vec_id", ["vec_id"], "core_id").join(groups, ["question", "core_id"])
+    rows = v.join(owner.select("question", "vec_id", (F.col("question") * 1000 + F.col("group_id")).cast("long").alias("region"), "weight"), ["question", "vec_id"])
+    return selection.select_by_regions(rows, "question", S.BUDGET, "coverage", "region", "score", "embedding", "vec_id")
+
+
 @query(S.LAST_SLOT)
 def last_slot_swap(spark, sf):
     def run(rows: pd.DataFrame) -> pd.DataFrame:

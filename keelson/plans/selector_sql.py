@@ -12,9 +12,8 @@ BUDGET, SEEDS = 32, 16
 COS = "CASE WHEN a.n > 0 AND b.n > 0 THEN list_dot_product(a.e, b.e) / (a.n * b.n) ELSE 0.0 END"
 CLIPPED = f"greatest(0.0, least(1.0, {COS}))"
 
-LISTS = f"""{SQL_V},
-sd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, vec_id) AS rk FROM v) WHERE rk <= {SEEDS}),
-rg AS (SELECT question, region, arg_min(vec_id, rk) AS anchor, max(score) AS top, 1.0::DOUBLE + region % 3 AS weight FROM sd GROUP BY question, region),
+_LISTS = f"""sd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, vec_id) AS rk FROM v) WHERE rk <= {SEEDS}),
+rg AS (SELECT question, region, arg_min(vec_id, rk) AS anchor, max(score) AS top, min(density) AS weight FROM sd GROUP BY question, region),
 mb AS (SELECT v.*, anchor, weight, top, row_number() OVER (PARTITION BY question ORDER BY vec_id) AS i, dense_rank() OVER (PARTITION BY question ORDER BY region) AS g FROM v JOIN rg USING (question, region)),
 sm AS (SELECT a.question, a.i, list(CASE WHEN a.g = b.g THEN {CLIPPED} ELSE 0.0 END ORDER BY b.i) AS s FROM mb a JOIN mb b USING (question) GROUP BY a.question, a.i),
 gn AS (SELECT a.question, a.i, max({CLIPPED} * CASE WHEN a.top > 0 THEN b.score / a.top ELSE 1.0 END) AS gain FROM mb a JOIN sd b USING (question, region) GROUP BY a.question, a.i),
@@ -22,6 +21,7 @@ q AS (SELECT question, list(vec_id ORDER BY i) AS ids, list(g ORDER BY i) AS g,
       list(i ORDER BY g) FILTER (WHERE vec_id = anchor) AS anchors, count(*) AS m, max(g) AS r FROM mb JOIN sm USING (question, i) JOIN gn USING (question, i) GROUP BY question)"""
 
 DECAY = ("{x} * (1 - {d})", "(1 + ({w} - 1) / {n}) * {x} * (1 - {d})")
+LISTS = f"""{SQL_V.replace('v AS (SELECT', 'v AS (SELECT 1.0::DOUBLE + ((vec_id // 500) * 100 + label) % 3 AS density,', 1)}, {_LISTS}"""
 _OUT = "SELECT question, vec_id, region, CAST(row_number() OVER (PARTITION BY question ORDER BY vec_id) AS INTEGER) AS step FROM (SELECT t.question, unnest(t.taken) AS i FROM {} t) JOIN mb USING (question, i)"
 
 
@@ -71,11 +71,11 @@ o AS (SELECT question, z, arg_max(taken, len(taken)) AS taken FROM pf GROUP BY q
 e AS (SELECT question, flatten(list(taken[1:held[z]])) AS taken FROM o JOIN h USING (question) GROUP BY question) {_OUT.format('e')}"""
 
 
-def selected_by_coverage(weighted: bool = False, least: int = 1, equal: bool = False, facility: bool = False) -> str:
+def selected_by_coverage(weighted: bool = False, least: int = 1, equal: bool = False, facility: bool = False, lists: str = LISTS) -> str:
     """Exact allocation over the curves: of each number of places used so far the best value, of equals the lexicographically largest numbers."""
     prefix = prefixes(FACILITY, weighted) if facility else prefixes(weighted=weighted)
     weight = "1.0" if equal else "min(weight)"
-    return f"""WITH RECURSIVE {LISTS}, {prefix},
+    return f"""WITH RECURSIVE {lists}, {prefix},
 o AS (SELECT question, z, arg_max(taken, len(taken)) AS taken, arg_max(curve, len(taken)) AS curve FROM pf GROUP BY question, z),
 w AS (SELECT question, g AS z, {weight} AS w FROM mb GROUP BY question, g),
 dp AS (
@@ -87,6 +87,18 @@ b AS (SELECT question, st[least({BUDGET}, m) + 1].a AS a FROM dp JOIN q USING (q
 e AS (SELECT question, flatten(list(taken[1:a[z]])) AS taken FROM o JOIN b USING (question) GROUP BY question) {_OUT.format('e')}"""
 
 
+#: groups of cores instead of regions: seeds no more than 8 apart are a core, windows reach 6 farther, those of two seeds or more merge where they touch, and each row belongs to the nearest core
+MERGED = f"""{SQL_V.replace('v AS', 'v0 AS', 1)},
+s0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, vec_id) AS rk FROM v0) WHERE rk <= {SEEDS}),
+k0 AS (SELECT *, sum(o) OVER (PARTITION BY question ORDER BY vec_id) AS core FROM (SELECT *, CASE WHEN vec_id - lag(vec_id) OVER (PARTITION BY question ORDER BY vec_id) > 8 THEN 1 ELSE 0 END AS o FROM s0)),
+c0 AS (SELECT question, core, min(vec_id) AS a, max(vec_id) AS b, count(*) AS seeds FROM k0 GROUP BY question, core),
+h0 AS (SELECT *, max(b + 6) OVER (PARTITION BY question ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM c0 WHERE seeds >= 2),
+i0 AS (SELECT *, sum(CASE WHEN a - 6 > p THEN 1 ELSE 0 END) OVER (PARTITION BY question ORDER BY a, b) AS isle FROM h0),
+g0 AS (SELECT question, core, seeds, min(core) OVER (PARTITION BY question, isle) AS grp FROM i0 UNION ALL SELECT question, core, seeds, core FROM c0 WHERE seeds < 2),
+d0 AS (SELECT question, core, CAST(question * 1000 + grp AS BIGINT) AS region, 1.0::DOUBLE + sum(seeds - 1) OVER (PARTITION BY question, grp) AS density FROM g0),
+n0 AS (SELECT question, vec_id, core FROM v0 JOIN c0 USING (question) QUALIFY row_number() OVER (PARTITION BY question, vec_id ORDER BY greatest(a - vec_id, vec_id - b, 0), a, core) = 1),
+v AS (SELECT v0.* EXCLUDE (region), d0.region, d0.density FROM v0 JOIN n0 USING (question, vec_id) JOIN d0 ON d0.question = n0.question AND d0.core = n0.core), {_LISTS}"""
+
 #: by name of select_by_regions' variant
 SELECT = {
     "joint": selected_by_competition("1 - {d}", "{w} * (1 - {d})"),
@@ -162,3 +174,5 @@ LAST_SLOT = f"""WITH {SQL_V}, o AS (SELECT question, region, vec_id, row_number(
 d AS (SELECT a.question, a.region, b.value - a.value AS rise FROM o a JOIN o b ON a.region = b.region AND a.n = 3 AND b.n = 4 WHERE b.value > a.value),
 w AS (SELECT question, region FROM d QUALIFY row_number() OVER (PARTITION BY question ORDER BY rise DESC, region) = 1)
 SELECT o.question, o.region, o.vec_id FROM o LEFT JOIN w ON w.region = o.region WHERE o.n <= 2 OR (o.n = 3 AND w.region IS NULL) OR (o.n = 4 AND w.region IS NOT NULL)"""
+
+CONDITIONAL = selected_by_coverage(lists=MERGED)
