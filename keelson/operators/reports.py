@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .temporal import merge_intervals, range_join
+
 
 def profile(df: DataFrame, sets: Sequence[Sequence[str]], measures: dict[str, Column]) -> DataFrame:
     """measures by each grouping set in one pass; columns outside a set are 'all'."""
@@ -83,3 +85,35 @@ def retention(taken: DataFrame, top: DataFrame, keys: Sequence[str], item: str)
     each = hit.groupBy(*keys).agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("retained"))
     macro = each.agg(F.avg("retained").alias("macro"))
     return each.join(F.broadcast(macro), F.lit(True))
+
+
+def region_summary(cores: DataFrame, seeds: DataFrame, targets: DataFrame, keys: Sequence[str], time: str, score: str, item: str, low: str, high: str, bucket: int, least: int = 3) -> DataFrame:
+    """Of each region: seeds, cores, edges (seeds beyond the first of a core), whether it is refined (a core of least seeds), whether its weight 1 + edges would say otherwise, whether it mixes
+    such cores with others, its targets and those outside the windows of such cores, and its anchor (best seed): rank among all seeds, and whether it stands in the last twentieth of the time.
+
+    cores: keys, core_id, region_id, seeds, left, right. seeds: keys, core_id, item, time, score, low, high. targets: keys, region_id, target, of refined regions.
+    """
+    by = [*keys, "region_id"]
+    sums = cores.groupBy(*by).agg(F.sum("seeds").alias("m"), F.count(F.lit(1)).alias("c"), F.max("seeds").alias("_most"), F.min("seeds").alias("_few"))
+    edges, refine = F.col("m") - F.col("c"), F.col("_most") >= least
+    out = sums.select(*by, "m", "c", edges.alias("edges"), refine.alias("refine"), ((edges + 1 >= least) != refine).alias("weight_differs"), (refine & (F.col("_few") < least)).alias("mixed"))
+    hot = merge_intervals(cores.where(F.col("seeds") >= least).select(*keys, "left", "right"), keys).groupBy(*keys, "region_id").agg(F.min("left").alias("left"), F.max("right").alias("right"))
+    cold = range_join(targets, hot.drop("region_id"), keys, "target", bucket, how="left_anti").groupBy(*by).agg(F.count(F.lit(1)).alias("cold_targets"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), time, item))
+    placed = seeds.withColumn("_rank", rank).join(cores.select(*keys, "core_id", "region_id"), [*keys, "core_id"])
+    best = placed.groupBy(*by).agg(F.min(F.struct("_rank", item, (20 * (F.col(time) - F.col(low)) >= 19 * (F.col(high) - F.col(low))).alias("late"))).alias("_a"))
+    best = best.select(*by, F.col(f"_a.{item}").alias("anchor"), F.col("_a._rank").alias("anchor_rank"), F.col("_a.late").alias("late_anchor"))
+    n = targets.groupBy(*by).agg(F.count(F.lit(1)).alias("targets"))
+    return out.join(best, by).join(n, by, "left").join(cold, by, "left").fillna(0, ["targets", "cold_targets"])
+
+
+def selection_statistics(taken: DataFrame, segments: DataFrame, keys: Sequence[str], segment: str, item: str, score: str, similarity: Column) -> DataFrame:
+    """Of each selection: segments, those covered, the share without a pick, mean score, and the mean over picks of the largest similarity to another pick of the segment (0 if there is none).
+
+    similarity: of columns a and b, which hold the rows of two picks.
+    """
+    a, b = (taken.select(*keys, segment, F.struct(*taken.columns).alias(x)) for x in "ab")
+    near = a.join(b, [*keys, segment]).where(F.col(f"a.{item}") != F.col(f"b.{item}")).groupBy(*keys, F.col(f"a.{item}").alias(item)).agg(F.max(similarity).alias("_near"))
+    held = taken.join(near, [*keys, item], "left").groupBy(*keys).agg(F.count_distinct(segment).alias("covered"), F.avg(score).alias("relevance"), F.avg(F.coalesce("_near", F.lit(0.0))).alias("redundancy"))
+    every = segments.groupBy(*keys).agg(F.count_distinct(segment).alias("segments"))
+    return every.join(held, list(keys)).withColumn("unused", 1 - F.col("covered") / F.col("segments"))

@@ -8,12 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import parsing
-from ..functions.vectors import cosine, recovered_projection, redundancy
-from ..operators import matching, pools, ranking, selection, sets, temporal
+from ..functions.vectors import clipped, cosine, recovered_projection, redundancy
+from ..operators import matching, pools, ranking, reports, selection, sets, temporal
 from . import selector_sql as S
 from .queries import kernel
 from .registry import query
-from .views import GAP, HOUR, QUESTION, RADIUS, SQL_C, SQL_R, SQL_V, candidates, cores, regions, table, vectors, windows
+from .views import GAP, HOUR, QUESTION, RADIUS, SQL_C, SQL_R, SQL_V, bounds, candidates, cores, regions, table, vectors, windows
 
 CHOICE = "region long, step int, vec_id long"
 
@@ -226,3 +226,48 @@ def projection_recovery(spark, sf):
     unit = F.expr("transform(embedding, x -> CAST(x AS DOUBLE) / sqrt(aggregate(embedding, CAST(0 AS DOUBLE), (s, y) -> s + CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))")
     v = table(spark, sf, "embeddings").select("vec_id", unit.alias("f")).select("vec_id", recovered_projection(F.col("f"), _GAMMA, _BETA, _W, _B).alias("p")).where("p IS NOT NULL")
     return v.select("vec_id", F.round("p.scale", 6).alias("scale"), F.posexplode("p.vector").alias("place", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {SQL_R}, t AS (SELECT question_id, region_id, unnest(range(l + {HOUR}, r + 1, {6 * HOUR})) AS target FROM g WHERE refine),
+hi AS (SELECT *, sum(CASE WHEN l > p THEN 1 ELSE 0 END) OVER (PARTITION BY question_id ORDER BY l, r) AS h FROM (SELECT *, max(r) OVER (PARTITION BY question_id ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM w WHERE seeds >= 3)),
+hot AS (SELECT question_id, min(l) AS hl, max(r) AS hr FROM hi GROUP BY question_id, h),
+n AS (SELECT question_id, region_id, count(*) AS targets, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM hot WHERE hot.question_id = t.question_id AND target BETWEEN hl AND hr)) AS cold_targets FROM t GROUP BY question_id, region_id),
+x AS (SELECT k.question_id, i.region_id, arg_min(candidate_index, rk) AS anchor, min(rk) AS anchor_rank, arg_min(20 * (source_pts - low) >= 19 * (high - low), rk) AS late_anchor FROM k JOIN i USING (question_id, core_id) JOIN b USING (question_id) GROUP BY k.question_id, i.region_id),
+f AS (SELECT question_id, region_id, min(seeds) AS few FROM i GROUP BY question_id, region_id)
+SELECT question_id, region_id, m, c, m - c AS edges, refine, (m - c + 1 >= 3) <> refine AS weight_differs, refine AND few < 3 AS mixed, anchor, anchor_rank, late_anchor, coalesce(targets, 0) AS targets, coalesce(cold_targets, 0) AS cold_targets
+FROM g JOIN x USING (question_id, region_id) JOIN f USING (question_id, region_id) LEFT JOIN n USING (question_id, region_id)""")
+def region_summary(spark, sf):
+    c = candidates(spark, sf)
+    merged = temporal.merge_intervals(windows(c), QUESTION).select("question_id", "core_id", "region_id", "seeds", "left", "right")
+    targets = regions(c).where("refine").select("question_id", "region_id", "right", F.explode(F.sequence(F.col("left") + HOUR, F.greatest("right", F.col("left") + HOUR), F.lit(6 * HOUR))).alias("target")).where("target <= right").drop("right")
+    seeds = cores(c).join(bounds(c), QUESTION).select("question_id", "core_id", "candidate_index", "source_pts", "score", "low", "high")
+    return reports.region_summary(merged, seeds, targets, QUESTION, "source_pts", "score", "candidate_index", "low", "high", 24 * HOUR)
+
+
+@query(f"""WITH {SQL_V}, o AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, vec_id) AS rk FROM v), h AS (SELECT * FROM o WHERE rk <= 32),
+x AS (SELECT a.question, a.vec_id, a.region, a.score, coalesce(max(CASE WHEN b.vec_id IS NOT NULL THEN greatest(0.0, least(1.0, list_dot_product(a.e, b.e) / (a.n * b.n))) END), 0) AS near FROM h a LEFT JOIN h b ON a.region = b.region AND a.question = b.question AND a.vec_id <> b.vec_id GROUP BY ALL),
+t AS (SELECT question, count(DISTINCT region) AS segments FROM v GROUP BY question)
+SELECT question, segments, count(DISTINCT region) AS covered, round(avg(score), 6) AS relevance, round(avg(near), 6) AS redundancy, round(1 - count(DISTINCT region) / segments, 6) AS unused FROM x JOIN t USING (question) GROUP BY question, segments""")
+def selection_statistics(spark, sf):
+    v = vectors(spark, sf)
+    rk = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "vec_id"))
+    taken = v.withColumn("rk", rk).where("rk <= 32").select("question", "region", "vec_id", "score", "embedding")
+    out = reports.selection_statistics(taken, v.select("question", "region"), ["question"], "region", "vec_id", "score", clipped(cosine(F.col("a.embedding"), F.col("b.embedding"))))
+    return out.select("question", "segments", "covered", *(F.round(c, 6).alias(c) for c in ("relevance", "redundancy", "unused")))
+
+
+_WINDOWS_8 = f"""s8 AS (SELECT *, CASE WHEN source_pts - lag(source_pts) OVER (PARTITION BY question_id ORDER BY source_pts, candidate_index) > {GAP} THEN 1 ELSE 0 END AS o FROM s WHERE rk <= 8),
+k8 AS (SELECT *, sum(o) OVER (PARTITION BY question_id ORDER BY source_pts, candidate_index) AS core_id FROM s8),
+w8 AS (SELECT question_id, core_id, count(*) AS seeds, greatest(min(source_pts) - {RADIUS}, low) AS l, least(max(source_pts) + {RADIUS}, high) AS r FROM k8 JOIN b USING (question_id) GROUP BY question_id, core_id, low, high),
+i8 AS (SELECT *, sum(CASE WHEN l > p THEN 1 ELSE 0 END) OVER (PARTITION BY question_id ORDER BY l, r) AS h FROM (SELECT *, max(r) OVER (PARTITION BY question_id ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM w8)),
+g8 AS (SELECT question_id, min(l) AS l, max(r) AS r FROM i8 GROUP BY question_id, h)"""
+
+
+@query(f"""WITH {SQL_R}, {_WINDOWS_8}, z AS (SELECT coalesce(g.question_id, g8.question_id) AS question_id, g.l IS NOT NULL AS x, g8.l IS NOT NULL AS y FROM g FULL JOIN g8 ON g.question_id = g8.question_id AND g.l = g8.l AND g.r = g8.r)
+SELECT question_id, count(*) FILTER (WHERE x) AS frozen, count(*) FILTER (WHERE y) AS recomputed, count(*) FILTER (WHERE x AND y) AS same FROM z GROUP BY question_id""")
+def geometry_check(spark, sf):
+    c = candidates(spark, sf)
+    one = lambda df, side: df.select("question_id", "left", "right", F.lit(side).alias("side"))
+    both = one(regions(c), 1).unionByName(one(regions(c, 8), 2)).groupBy("question_id", "left", "right").agg(F.sum("side").alias("sides"))
+    n = lambda *sides: F.count_if(F.col("sides").isin(*sides))
+    return both.groupBy("question_id").agg(n(1, 3).alias("frozen"), n(2, 3).alias("recomputed"), n(3).alias("same"))

@@ -42,6 +42,20 @@ def read_npy(spark: SparkSession, path: str, glob: str = "*.npy") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content").mapInPandas(rows, "path string, row long, vec array<float>")
 
 
+def read_npz(spark: SparkSession, path: str, glob: str = "*.npz") -> DataFrame:
+    """path, name, shape, values of the arrays in .npz files, without pickled objects; an array must fit a task."""
+
+    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for p, content in zip(part["path"], part["content"], strict=True):
+                with np.load(io.BytesIO(content), allow_pickle=False) as held:
+                    for name in held.files:
+                        x = held[name]
+                        yield pd.DataFrame({"path": [p], "name": [name], "shape": [list(x.shape)], "values": [x.astype(np.float64).ravel()]})
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content").mapInPandas(rows, "path string, name string, shape array<long>, values array<double>")
+
+
 def frame_payload(header: dict, blobs: Sequence[bytes]) -> bytes:
     """Length of the header (8 bytes), the header as JSON with sizes, then the blobs."""
     head = json.dumps(header | {"sizes": [len(b) for b in blobs]}, sort_keys=True, allow_nan=False).encode()

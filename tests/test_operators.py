@@ -177,6 +177,8 @@ def test_io(spark, tmp_path):
             io.unframe_payload(bad)
     np.save(tmp_path / "m.npy", np.arange(6, dtype=np.float32).reshape(3, 2))
     assert [r["vec"] for r in io.read_npy(spark, str(tmp_path)).orderBy("row").collect()] == [[0, 1], [2, 3], [4, 5]]
+    np.savez(tmp_path / "z.npz", a=np.arange(6).reshape(2, 3), b=np.float32(1.5))
+    assert {(r["name"], tuple(r["shape"]), tuple(r["values"])) for r in io.read_npz(spark, str(tmp_path)).collect()} == {("a", (2, 3), (0, 1, 2, 3, 4, 5)), ("b", (), (1.5,))}
     with pytest.raises(Exception, match="finite"):
         io.finite_only(spark.createDataFrame([(float("nan"),)], "x double")).collect()
     assert io.markdown(df).splitlines()[2] == "| 1 | a |"
