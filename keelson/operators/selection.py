@@ -165,6 +165,21 @@ def coverage_select(regions: Sequence[Region], gain: np.ndarray, sim: np.ndarray
     return sorted(i for o, n in zip(orders, alloc, strict=True) for i in o[:n]), alloc, value
 
 
+def _by_core(order: Sequence[int], core: np.ndarray) -> dict:
+    out: dict = {}
+    for i in order:
+        out.setdefault(core[i], []).append(i)
+    return out
+
+
+def core_anchor_select(regions: Sequence[Region], starts: Sequence[Sequence[int]], gain: np.ndarray, sim: np.ndarray, budget: int, scores: np.ndarray) -> list[int]:
+    """Prefixes that begin with several anchors a region, none of which allocation may leave out, and weighted coverage curves: rows in key order."""
+    orders = [prefix(r, gain, sim, budget, start=s) for r, s in zip(regions, starts, strict=True)]
+    curves = [coverage_curve(r, o, sim, scores) for r, o in zip(regions, orders, strict=True)]
+    _, alloc = allocate(curves, [r.weight for r in regions], budget, [len(s) for s in starts])
+    return sorted(i for o, n in zip(orders, alloc, strict=True) for i in o[:n])
+
+
 def segment_competition(segment: np.ndarray, scores: np.ndarray, sim: np.ndarray, k: int, lam: float = 0.5, rho: float = 0.2) -> list[int]:
     """k rounds: each segment's best (1 - lam) * r + lam * best of segment / (1 + held) - rho * nearness to its own picks; negative gains count."""
     if len(scores) < k:
@@ -385,11 +400,11 @@ def grouped(df: DataFrame, keys: Sequence[str], kernel: Callable[[pd.DataFrame],
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
-def select_by_regions(df: DataFrame, question: str, budget: int, variant: str = "coverage", region: str = "region", score: str = "score", vec: str = "vec", item: str = "item", seeds: int = 16) -> DataFrame:
+def select_by_regions(df: DataFrame, question: str, budget: int, variant: str = "coverage", region: str = "region", score: str = "score", vec: str = "vec", item: str = "item", seeds: int = 16, core: str | None = None) -> DataFrame:
     """Chosen items of each question in key order with their region and step.
 
     df: question, item, region, score, vec, weight (of the region). variant: a name of COMPETITIONS, two_pass, coverage,
-    relevance_coverage, equal_coverage, optional_coverage or facility.
+    relevance_coverage, equal_coverage, optional_coverage, facility or core_anchor: relevance_coverage where the best seed of each core (a column) of a region is kept.
     """
     kind = df.schema[question].dataType.simpleString()
 
@@ -411,6 +426,10 @@ def select_by_regions(df: DataFrame, question: str, budget: int, variant: str =
             gain[g.members] = support(r, own, sim)[g.members]
         if variant in COMPETITIONS:
             taken = sorted(i for t in compete(regions, gain, sim, n, *COMPETITIONS[variant]) for i in t)
+        elif variant == "core_anchor":
+            of_core = rows[core].to_numpy()
+            starts = [[g_[0] for g_ in by.values()] for g in regions for by in [_by_core([int(i) for i in top if of[i] == of[g.anchor]], of_core)]]
+            taken = core_anchor_select(regions, starts, gain, sim, n, r)
         elif variant == "two_pass":
             taken = two_pass(regions, gain, sim, n)
         else:

@@ -82,6 +82,12 @@ def _low_loss(rows, x):
     return [(int(rows["vec_id"].iloc[i]),) for i in selection.low_loss_swap(np.arange(len(rows)), held[:4], held[4], selection.clipped_cosines(x), {held[0]})]
 
 
+@query(S.CORE_ANCHOR)
+def select_core_anchor(spark, sf):
+    v = vectors(spark, sf).withColumn("weight", F.lit(1.0) + F.col("region") % 3).withColumn("core", F.floor(F.col("vec_id") / 100))
+    return selection.select_by_regions(v, "question", S.BUDGET, "core_anchor", "region", "score", "embedding", "vec_id", core="core")
+
+
 @query(S.CONDITIONAL)
 def select_conditional_merge(spark, sf):
     v = vectors(spark, sf).select("question", "vec_id", "embedding", "score")

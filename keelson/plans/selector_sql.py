@@ -39,8 +39,11 @@ def competition(local: str, priority: str, name: str = "cp") -> str:
   WHERE i IS NOT NULL)"""
 
 
-def prefixes(value: str = "gain[k] * sqrt(greatest(0.0, 1 - near[k]))", weighted: bool = False) -> str:
-    """Of each region its members in greedy order from the anchor, and the coverage of its members by the first n, from 0."""
+def prefixes(value: str = "gain[k] * sqrt(greatest(0.0, 1 - near[k]))", weighted: bool = False, started: bool = False) -> str:
+    """Of each region its members in greedy order from the anchor (started: from the places that table st lists), and the coverage of its members by the first n, from 0."""
+    pick, st = "list_position(lv, list_max(lv))", ""
+    if started:
+        pick, st = f"CASE WHEN len(taken) < len(starts[z]) THEN starts[z][len(taken) + 1] ELSE {pick} END", " JOIN st USING (question)"
     mean = "list_avg(list_filter(new, lambda y, k: g[k] = z))"
     own = "list_filter(score, lambda y, k: g[k] = z)"
     if weighted:
@@ -52,9 +55,9 @@ def prefixes(value: str = "gain[k] * sqrt(greatest(0.0, 1 - near[k]))", weighted
   UNION ALL
   SELECT question, z, taken, new, list_append(curve, {mean})
   FROM (SELECT * REPLACE (list_append(taken, i) AS taken), list_transform(near, lambda y, k: greatest(y, s[i][k])) AS new
-    FROM (SELECT *, list_position(lv, list_max(lv)) AS i
-      FROM (SELECT pf.*, q.* EXCLUDE (question), list_transform(range(1, m + 1), lambda k: CASE WHEN g[k] <> z OR list_contains(taken, k) THEN -1.0 ELSE {value} END) AS lv
-        FROM pf JOIN q USING (question) WHERE len(taken) < least({BUDGET}, m, len(list_filter(g, lambda y: y = z)))))))"""
+    FROM (SELECT *, {pick} AS i
+      FROM (SELECT pf.*, q.* EXCLUDE (question){', starts' if started else ''}, list_transform(range(1, m + 1), lambda k: CASE WHEN g[k] <> z OR list_contains(taken, k) THEN -1.0 ELSE {value} END) AS lv
+        FROM pf JOIN q USING (question){st} WHERE len(taken) < least({BUDGET}, m, len(list_filter(g, lambda y: y = z)))))))"""
 
 
 FACILITY = "list_sum(list_transform(near, lambda y, j: CASE WHEN g[j] = z THEN greatest(0.0, s[k][j] - y) / len(list_filter(g, lambda u: u = z)) ELSE 0.0 END))"
@@ -71,18 +74,19 @@ o AS (SELECT question, z, arg_max(taken, len(taken)) AS taken FROM pf GROUP BY q
 e AS (SELECT question, flatten(list(taken[1:held[z]])) AS taken FROM o JOIN h USING (question) GROUP BY question) {_OUT.format('e')}"""
 
 
-def selected_by_coverage(weighted: bool = False, least: int = 1, equal: bool = False, facility: bool = False, lists: str = LISTS) -> str:
+def selected_by_coverage(weighted: bool = False, least: int = 1, equal: bool = False, facility: bool = False, lists: str = LISTS, starts: str = "") -> str:
     """Exact allocation over the curves: of each number of places used so far the best value, of equals the lexicographically largest numbers."""
-    prefix = prefixes(FACILITY, weighted) if facility else prefixes(weighted=weighted)
+    prefix = prefixes(FACILITY, weighted) if facility else prefixes(weighted=weighted, started=bool(starts))
+    low, st = ("len(starts[dp.z + 1])", " JOIN st ON st.question = dp.question") if starts else (least, "")
     weight = "1.0" if equal else "min(weight)"
-    return f"""WITH RECURSIVE {lists}, {prefix},
+    return f"""WITH RECURSIVE {lists}, {starts}{prefix},
 o AS (SELECT question, z, arg_max(taken, len(taken)) AS taken, arg_max(curve, len(taken)) AS curve FROM pf GROUP BY question, z),
 w AS (SELECT question, g AS z, {weight} AS w FROM mb GROUP BY question, g),
 dp AS (
   SELECT question, 0 AS z, list_transform(range(0, {BUDGET} + 1), lambda u: CASE WHEN u = 0 THEN struct_pack(v := 0.0::DOUBLE, a := []::BIGINT[]) END) AS st FROM q
   UNION ALL
-  SELECT dp.question, dp.z + 1, list_transform(range(0, {BUDGET} + 1), lambda u: list_max(list_transform(list_filter(range({least}, least(len(curve) - 1, u) + 1), lambda n: st[u - n + 1] IS NOT NULL), lambda n: struct_pack(v := st[u - n + 1].v + w * curve[n + 1], a := list_append(st[u - n + 1].a, n)))))
-  FROM dp JOIN o ON o.question = dp.question AND o.z = dp.z + 1 JOIN w ON w.question = o.question AND w.z = o.z),
+  SELECT dp.question, dp.z + 1, list_transform(range(0, {BUDGET} + 1), lambda u: list_max(list_transform(list_filter(range({low}, least(len(curve) - 1, u) + 1), lambda n: st[u - n + 1] IS NOT NULL), lambda n: struct_pack(v := st[u - n + 1].v + w * curve[n + 1], a := list_append(st[u - n + 1].a, n)))))
+  FROM dp JOIN o ON o.question = dp.question AND o.z = dp.z + 1 JOIN w ON w.question = o.question AND w.z = o.z{st}),
 b AS (SELECT question, st[least({BUDGET}, m) + 1].a AS a FROM dp JOIN q USING (question) WHERE z = r),
 e AS (SELECT question, flatten(list(taken[1:a[z]])) AS taken FROM o JOIN b USING (question) GROUP BY question) {_OUT.format('e')}"""
 
@@ -175,4 +179,6 @@ d AS (SELECT a.question, a.region, b.value - a.value AS rise FROM o a JOIN o b O
 w AS (SELECT question, region FROM d QUALIFY row_number() OVER (PARTITION BY question ORDER BY rise DESC, region) = 1)
 SELECT o.question, o.region, o.vec_id FROM o LEFT JOIN w ON w.region = o.region WHERE o.n <= 2 OR (o.n = 3 AND w.region IS NULL) OR (o.n = 4 AND w.region IS NOT NULL)"""
 
+#: the best seed of each core (here, of each hundred rows) in a region, best first
+CORE_ANCHOR = selected_by_coverage(weighted=True, starts="""st AS (SELECT question, list(l ORDER BY g) AS starts FROM (SELECT question, g, list(i ORDER BY rk) AS l FROM (SELECT mb.question, mb.g, mb.i, sd.rk FROM mb JOIN sd USING (question, vec_id) QUALIFY row_number() OVER (PARTITION BY mb.question, mb.g, vec_id // 100 ORDER BY sd.rk) = 1) GROUP BY question, g) GROUP BY question), """)
 CONDITIONAL = selected_by_coverage(lists=MERGED)
