@@ -612,7 +612,8 @@ def test_pipeline_judges_rows_not_ids(spark, tmp_path):
     text = lambda n: " ".join(f"w{next(fresh)}" for _ in range(n))
     item, t, u = text(20), text(40), text(40)
     rows = [(3, u), (5, t), (5, u), (9, t), (9, t), (20, item), (20, text(30)), (None, item), (None, text(25)), (None, None), (30, None), (31, "")]
-    rows += [(100 + i, text(20) + (" idiot" if i % 4 == 0 else "") + " " + text(9)) for i in range(400)] + [(40, text(20) + " idiot " + text(9)), (40, text(30))]
+    # toxic and clean texts of one length, so that only the word tells
+    rows += [(100 + i, text(20) + (" idiot " if i % 4 == 0 else f" {text(1)} ") + text(9)) for i in range(400)] + [(40, text(20) + " idiot " + text(9)), (40, text(30))]
     sf = str(tmp_path)
     spark.createDataFrame([(i, x, "en", f"s{k % 3}", len(x or ""), "clash") for k, (i, x) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, score string").write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([(100 + i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
