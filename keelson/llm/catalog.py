@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import brown, decontaminate, embed_dedup, line_dedup, minhash, mixing, passages, quality, toxicity, warc
+from . import brown, decontaminate, divergence, embed_dedup, filter_audit, line_dedup, minhash, mixing, nearest, passages, quality, toxicity, warc
 
-MODULES = (warc, minhash, quality, decontaminate, mixing, embed_dedup, toxicity, line_dedup, brown, passages)
+MODULES = (warc, minhash, quality, decontaminate, mixing, embed_dedup, toxicity, line_dedup, brown, passages, nearest, divergence, filter_audit)
 
 
 def queries() -> dict:
