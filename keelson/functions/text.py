@@ -1,11 +1,10 @@
 """Answer parsing, token sets and option rules, as column expressions."""
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .timetext import clock_key, question_mode, time_fields  # noqa: F401
+
 
 def parse_answer(text: Column, letters: str = "A-E") -> Column:
     """The letter of an answer of its own: X, X., (X), case-insensitive, with or without "Answer:" before; else null."""
@@ -54,61 +53,6 @@ def expand_ranges(text: Column) -> Column:
     return F.when(F.size(out) == F.size(F.array_distinct(out)), out).otherwise(F.raise_error(F.concat(F.lit("a number twice in "), text)).cast("array<int>"))
 
 
-def question_mode(question: Column) -> Column:
-    """What a question about time asks for: qualitative, duration or clock; null for others."""
-    asks = lambda pattern: question.rlike(f"(?i){pattern}")
-    span = asks("how long|how much time|how many (?:minutes|seconds)")
-    return F.when(asks("what time of (?:the )?day"), "qualitative").when(span, "duration").when(asks("what time"), "clock")
-
-
-#: fixed values: forms of clock times (with minutes, or an hour and its half of the day), of spans, and signs of prices
-CLOCK = re.compile(r"(?<![\d:.])(\d{1,2})\s*([:.])\s*(\d{2})(?:\s*:\s*(\d{2}))?\s*(?:([ap])\.?m\.?(?!\w))?(?![\d:.])", re.I)
-HOUR = re.compile(r"(?<![\d:.])(\d{1,2})\s*([ap])\.?m\.?(?!\w)", re.I)
-SPAN = re.compile(r"(?<![\d.:])(\d+(?:\.\d+)?)\s*(?:(sec)(?:ond)?s?|(min)(?:ute)?s?|(h)(?:ou)?rs?|(day|week|month|year)s?)\b", re.I)
-PRICE = re.compile(r"[$€£]\s*$")
-UNITS = {"sec": "second", "min": "minute", "h": "hour"}
-
-
-def _fields(text: str, mode: str) -> list[tuple[str, str, str, bool]]:
-    """(key, kind, shown, ambiguous) of the times that a text shows; an hour that is part of a clock time is not one more."""
-    text, out = text.replace("\uff1a", ":"), []
-    masked = text
-    for m in CLOCK.finditer(text):
-        hour, point, minute, second, half = m.groups()
-        limits = int(hour) <= 23 or mode == "duration", half is None or 1 <= int(hour) <= 12, int(minute) < 60, int(second or 0) < 60
-        if not all(limits) or PRICE.search(text[: m.start()]) or mode == "duration" and (point == "." or half):
-            continue
-        parts = [f"{int(hour):02d}", minute, *([second] if second else []), f"{half.lower()}m" if half else "?"]
-        out.append(("time:" + ":".join(parts), "numeric_time", m.group().strip(), point == "." and not half))
-        masked = masked[: m.start()] + "\0" * len(m.group()) + masked[m.end() :]
-    if mode == "duration":
-        for m in SPAN.finditer(text):
-            unit = next(u for u in m.groups()[1:] if u).lower()
-            out.append((f"duration:{m[1]}:{UNITS.get(unit, unit)}", "duration_unit", m.group(), False))
-        return out
-    for m in HOUR.finditer(masked):
-        if 1 <= int(m[1]) <= 12 and not PRICE.search(text[: m.start()]):
-            out.append((f"time:{int(m[1]):02d}:?:{m[2].lower()}m", "hour_period", m.group().strip(), False))
-    return out
-
-
-def _shown_times(text: pd.Series, mode: pd.Series) -> pd.Series:
-    return pd.Series([_fields(t, m) if t is not None and m in ("clock", "duration") else [] for t, m in zip(text, mode, strict=True)])
-
-
-def time_fields(text: Column, mode: Column) -> Column:
-    """Times that a text shows, for a question of this mode: key (time:HH:MM[:SS]:am|pm|?, or duration:n:unit), kind, as shown, and whether a point leaves it open.
-
-    Nothing is filled in or corrected; times out of range, prices and, for durations, points and halves of the day are no times. A mode of qualitative or null has none.
-    """
-    return F.pandas_udf(_shown_times, "array<struct<key:string,kind:string,shown:string,ambiguous:boolean>>")(text, mode)
-
-
-def clock_key(text: Column) -> Column:
-    """The key of the first clock time of a text; else null."""
-    return F.get(time_fields(text, F.lit("clock")), 0)["key"]
-
-
 def js_divergence(p: Column, q: Column) -> Column:
     """Jensen-Shannon divergence of two probability vectors over ln 2, within 0 and 1."""
     term = lambda x, m: F.when(x > 0, x * F.ln(x / m)).otherwise(0.0)

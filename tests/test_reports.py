@@ -93,7 +93,13 @@ def test_parsing(spark):
     assert parsing.problem("Why?\nA. a\nB. b\nC) c\n(D) d") == ("Why?", ["a", "b", "c", "d"]) and parsing.problem("Why?\nB. a\nA. b") is None
     assert parsing.strict_object('{"a": 1}', {"a": int}) == ({"a": 1}, "ok")
     assert [parsing.strict_object(t, {"a": str}, {"a": ["x"]})[1] for t in ("{", "[]", "{}", '{"a": 1}', '{"a": "y"}')] == ["not_json", "not_object", "fields", "types", "vocabulary"]
-    assert parsing.pointer({"a/b": [1, {"~": 2}]}, "/a~1b/1/~0") == 2
+    doc = F.lit('{"a/b": [1, {"~": 2, "it\'s": "x"}], "0": null, "": {"01": true}}')
+    ways = {"/a~1b/1/~0": "2", "/a~1b/1/it's": '"x"', "/0": "null", "//01": "true", "/a~1b/01": None, "/a~1b/-": None, "/a~1b/2": None, "/a~1b/x": None, "/no": None, "//01/0": None}
+    assert {w: get(parsing.pointer(doc, w)) for w in ways} == ways
+    assert get(parsing.pointer(F.lit("[1]"), "")) == "[1]" and get(parsing.pointer(F.lit("{"), "")) is None
+    for bad in ("a", "/~2", "/~"):
+        with pytest.raises(ValueError, match="pointer"):
+            parsing.pointer(doc, bad)
     assert parsing.clause("What happens after he runs, then?", "after ") == ("he runs", 19, 26)
 
 
