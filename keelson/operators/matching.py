@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,11 +26,67 @@ def sign_hash(vec: Column) -> Column:
     return F.aggregate(F.slice(vec, 1, 64), F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseOR(F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
 
 
-def hamming_pairs(df: DataFrame, keys: Sequence[str], item: str, value: str, most: int) -> DataFrame:
-    """Pairs of a group of bounded size whose 64-bit hashes differ in at most so many bits."""
+def band_masks(bands: int) -> list[int]:
+    """The 64 bits of a hash as so many runs of bits."""
+    edges = [64 * k // bands for k in range(bands + 1)]
+    return [(1 << b) - (1 << a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _signed(mask: int) -> Column:
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
+
+
+def within_bits(a: DataFrame, b: DataFrame, keys: Sequence[str], most: int, bands: int | None = None) -> DataFrame:
+    """keys, a, b, distance of hashes (long columns a and b) of two tables that differ in at most so many bits.
+
+    Two such hashes have a band of bits in which they differ in no more than most // bands: they meet there, and nowhere else are rows paired. With most + 1 bands, the default, a band agrees
+    as it is; with fewer, a's bands are sent out with every so small change. A pair counts in the first band in which it meets, so none is made twice. Equal rows of a table count once.
+    """
+    masks = band_masks(bands or most + 1)
+    slack = most // len(masks)
+    flips = lambda mask: [sum(x) for n in range(slack + 1) for x in combinations([1 << i for i in range(64) if mask >> i & 1], n)]
+    ways = lambda small: F.array(*(F.struct(F.lit(k).alias("band"), _signed(m).alias("mask"), _signed(f).alias("flip")) for k, m in enumerate(masks) for f in (flips(m) if small else [0])))
+    sent = lambda c, small: F.transform(ways(small), lambda w: F.struct(w["band"].alias("band"), F.col(c).bitwiseAND(w["mask"]).bitwiseXOR(w["flip"]).alias("bits")))
+    x = a.select(*keys, "a").distinct().select(*keys, "a", F.inline(sent("a", True)))
+    y = b.select(*keys, "b").distinct().select(*keys, "b", F.inline(sent("b", False)))
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    first = F.lit(len(masks))
+    for k, m in reversed(list(enumerate(masks))):
+        first = F.when(F.bit_count(differ.bitwiseAND(_signed(m))) <= slack, k).otherwise(first)
+    met = x.join(y, [*keys, "band", "bits"]).withColumn("distance", F.bit_count(differ))
+    return met.where((F.col("distance") <= most) & (first == F.col("band"))).select(*keys, "a", "b", "distance")
+
+
+def hamming_pairs(df: DataFrame, keys: Sequence[str], item: str, value: str, most: int, bands: int | None = None) -> DataFrame:
+    """Pairs of items of a key whose 64-bit hashes differ in at most so many bits. Items of one hash are paired after hashes are."""
+    h = df.select(*keys, F.col(value).alias("a"))
+    close = within_bits(h, h.withColumnRenamed("a", "b"), keys, most, bands or (most + 1 if most < 8 else most // 2 + 1)).withColumnsRenamed({"a": "_a", "b": "_b"})
     a, b = (df.select(*keys, F.col(item).alias(k), F.col(value).alias(f"_{k}")) for k in "ab")
-    d = F.bit_count(F.col("_a").bitwiseXOR(F.col("_b")))
-    return a.join(b, list(keys)).where("a < b").withColumn("distance", d).where(F.col("distance") <= most).select(*keys, "a", "b", "distance")
+    return close.join(a, [*keys, "_a"]).join(b, [*keys, "_b"]).where("a < b").select(*keys, "a", "b", "distance")
+
+
+def common_length(a: Column, b: Column, most: int) -> Column:
+    """Length of the longest common subsequence of two arrays of 64-bit hashes that match within most bits."""
+    n = F.size(b)
+
+    def row(before: Column, x: Column) -> Column:
+        cell = lambda acc, j: F.greatest(F.get(before, j), F.element_at(acc, -1), F.get(before, j - 1) + (F.bit_count(x.bitwiseXOR(F.get(b, j - 1))) <= most).cast("int"))
+        return F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(0)), lambda acc, j: F.array_append(acc, cell(acc, j)))
+
+    return F.when((F.size(a) > 0) & (n > 0), F.element_at(F.aggregate(a, F.array_repeat(F.lit(0), n + 1), row), -1)).otherwise(0)
+
+
+def clip_matches(queries: DataFrame, bank: DataFrame, clip: str, hashes: str, most: int = 6, least: int = 6, bands: int | None = None) -> DataFrame:
+    """query, match and common of clips (arrays of hashes in time order) that share at least so many frames in order.
+
+    First, by the banded index over distinct hashes: clips of which so many of the query's frames have a match anywhere; then the longest common subsequence of those only. A clip doesn't match itself.
+    """
+    side = lambda df, c, h: df.select(F.col(clip).alias(c), F.posexplode(hashes).alias(f"{c}_at", h))
+    q, b = side(queries, "query", "a"), side(bank, "match", "b")
+    close = within_bits(q.select("a"), b.select("b"), [], most, bands)
+    met = q.join(close, "a").join(b, "b").where("query <> match").groupBy("query", "match").agg(F.count_distinct("query_at").alias("n")).where(F.col("n") >= least)
+    whole = met.join(queries.select(F.col(clip).alias("query"), F.col(hashes).alias("_q")), "query").join(bank.select(F.col(clip).alias("match"), F.col(hashes).alias("_m")), "match")
+    return whole.select("query", "match", common_length(F.col("_q"), F.col("_m"), most).alias("common")).where(F.col("common") >= least)
 
 
 def confirmed_tokens(df: DataFrame, keys: Sequence[str], order: str, tokens: str) -> DataFrame:

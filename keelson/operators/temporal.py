@@ -100,9 +100,20 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], bucket: int, a
 
 
 def nearest_interval(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, point_id: Sequence[str], span_id: str) -> DataFrame:
-    """The interval nearest to each point (distance 0 inside), ties to the earlier start, then the smaller id. Groups hold few intervals."""
-    d = F.greatest(F.col("left") - F.col(time), F.lit(0), F.col(time) - F.col("right"))
-    return points.join(spans.select(*keys, span_id, "left", "right"), list(keys)).groupBy(*keys, *point_id).agg(F.min(F.struct(d.alias("distance"), "left", span_id)).alias("_n")).select(*keys, *point_id, F.col(f"_n.{span_id}").alias(span_id), F.col("_n.distance").alias("distance"))
+    """The interval nearest to each point (distance 0 inside), ties to the earlier start. Intervals of a key are disjoint, so only the last that starts at or before a point and the first after it count: one sort, no pairs."""
+    kinds = dict(points.dtypes) | dict(spans.dtypes)
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    ids = [c for c in point_id if c != time]
+    p = points.select(*keys, F.col(time).alias("_t"), *ids, none(span_id), F.lit(None).cast(kinds["left"]).alias("left"), F.lit(None).cast(kinds["right"]).alias("right"), F.lit(1).alias("_point"))
+    s = spans.select(*keys, F.col("left").alias("_t"), *(none(c) for c in ids), span_id, "left", "right", F.lit(0).alias("_point"))
+    order = Window.partitionBy(*keys).orderBy("_t", "_point")
+    span = F.when(F.col("_point") == 0, F.struct("left", "right", span_id))
+    met = p.unionByName(s).withColumns({"_b": F.last(span, True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.first(span, True).over(order.rowsBetween(0, Window.unboundedFollowing))}).where("_point = 1")
+    before, after = F.greatest(F.col("_t") - F.col("_b.right"), F.lit(0)), F.col("_a.left") - F.col("_t")
+    first = F.col("_a").isNull() | (before <= after)
+    near = F.when(F.col("_b").isNotNull() & first, F.struct(F.col(f"_b.{span_id}").alias(span_id), before.alias("distance"))).when(F.col("_a").isNotNull(), F.struct(F.col(f"_a.{span_id}").alias(span_id), after.alias("distance")))
+    out = met.withColumn("_n", near).where("_n IS NOT NULL")
+    return out.select(*keys, *(F.col("_t").alias(c) if c == time else F.col(c) for c in point_id), F.col(f"_n.{span_id}").alias(span_id), F.col("_n.distance").alias("distance"))
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, item: str) -> DataFrame:
