@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import clipped, cosine
+from .resampling import cluster_bootstrap, equal_cluster_bootstrap, layered_cluster_bootstrap, sign_flips, stratified_bootstrap  # noqa: F401
 
 Z = 1.959963984540054
 
@@ -93,86 +92,3 @@ def preference(df: DataFrame, question: str, label: str, score: str, band: float
     d = F.col("_g") - F.col("_b")
     won = F.when(F.abs(d) <= band, 0.5).when(d > 0, 1.0).otherwise(0.0)
     return good.select(question, F.col(score).alias("_g")).join(bad.select(question, F.col(score).alias("_b")), question).groupBy(question).agg(F.count(F.lit(1)).alias("pairs"), F.avg(won).alias("preference"))
-
-
-def stratified_bootstrap(df: DataFrame, stratum: str, difference: str, reps: int = 10_000, seed: int = 2027) -> DataFrame:
-    """Mean difference and its 2.5 and 97.5 percentiles, resampling within strata.
-
-    Rows only enter by (stratum, difference) and count, which is small: differences of paired outcomes are -1, 0 or 1. So Spark
-    counts, and one task draws multinomial counts instead of rows, which has the same distribution.
-    """
-    counted = df.groupBy(stratum, F.col(difference).cast("double").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        rng, total, size, mean = np.random.default_rng(seed), np.zeros(reps), 0, 0.0
-        for _, g in sorted(rows.groupby(stratum), key=lambda x: str(x[0])):
-            g = g.sort_values("d")
-            n = int(g["n"].sum())
-            total += rng.multinomial(n, g["n"].to_numpy() / n, reps) @ g["d"].to_numpy()
-            size, mean = size + n, mean + float((g["n"] * g["d"]).sum())
-        low, high = np.percentile(total / size, [2.5, 97.5])
-        return pd.DataFrame({"n": [size], "mean": [mean / size], "low": [low], "high": [high]})
-
-    return counted.groupBy(F.lit(0).alias("_one")).applyInPandas(draw, "n long, mean double, low double, high double")
-
-
-def _bounds(out: Sequence[float]) -> list[float]:
-    return [float(x) for x in np.percentile(out, [2.5, 97.5])]
-
-
-def layered_cluster_bootstrap(df: DataFrame, layer: str, cluster: str, value: str, reps: int = 10_000, seed: int = 2027) -> DataFrame:
-    """Mean of value over rows, resampling clusters within their layers: of each draw the ratio of the sums to the sizes of the drawn clusters.
-
-    Spark sums by cluster; one task, with a row a cluster, draws multinomial counts of clusters in batches.
-    """
-    sums = df.groupBy(layer, cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("n"))
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        rng, num, den = np.random.default_rng(seed), np.zeros(reps), np.zeros(reps)
-        for _, g in sorted(rows.groupby(layer), key=lambda x: str(x[0])):
-            g, k = g.sort_values(cluster), len(g)
-            for at in range(0, reps, 200):
-                w = rng.multinomial(k, np.full(k, 1 / k), min(200, reps - at))
-                num[at : at + len(w)] += w @ g["s"].to_numpy()
-                den[at : at + len(w)] += w @ g["n"].to_numpy()
-        low, high = _bounds(num / den)
-        return pd.DataFrame({"clusters": [len(rows)], "mean": [float(rows["s"].sum() / rows["n"].sum())], "low": [low], "high": [high]})
-
-    return sums.groupBy(F.lit(0).alias("_one")).applyInPandas(draw, "clusters long, mean double, low double, high double")
-
-
-def equal_cluster_bootstrap(df: DataFrame, cluster: str, value: str, reps: int = 10_000, seed: int = 2027) -> DataFrame:
-    """Mean over clusters of their means of value, each cluster alike whatever its size, resampling clusters in batches of 200 draws."""
-    means = df.groupBy(cluster).agg(F.avg(F.col(value).cast("double")).alias("mean"))
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        x, rng, out = rows.sort_values(cluster)["mean"].to_numpy(), np.random.default_rng(seed), []
-        for at in range(0, reps, 200):
-            out += list(rng.multinomial(len(x), np.full(len(x), 1 / len(x)), min(200, reps - at)) @ x / len(x))
-        low, high = _bounds(out)
-        return pd.DataFrame({"clusters": [len(x)], "mean": [float(x.mean())], "low": [low], "high": [high]})
-
-    return means.groupBy(F.lit(0).alias("_one")).applyInPandas(draw, "clusters long, mean double, low double, high double")
-
-
-def cluster_bootstrap(df: DataFrame, cluster: str, task: str | None, value: str, reps: int = 10_000, seed: int = 2027) -> DataFrame:
-    """Mean of task means (without a task, the mean over all rows), resampling clusters; draws without some task are drawn again.
-
-    Spark sums by cluster and task; one task multiplies counts of drawn clusters with these sums, in batches.
-    """
-    by = [cluster] + ([task] if task else [])
-    sums = df.groupBy(*by).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("n"))
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(_t=rows[task] if task else 0)
-        s, n = (rows.pivot_table(index=cluster, columns="_t", values=k, fill_value=0.0).sort_index().to_numpy(float) for k in ("s", "n"))
-        rng, out = np.random.default_rng(seed), []
-        while len(out) < reps:
-            w = rng.multinomial(len(s), np.full(len(s), 1 / len(s)), min(200, reps - len(out)))
-            num, den = w @ s, w @ n
-            ok = (den > 0).all(1)
-            out += list((num[ok] / den[ok]).mean(1))
-        low, high = np.percentile(out, [2.5, 97.5])
-        return pd.DataFrame({"clusters": [len(s)], "mean": [float((s.sum(0) / n.sum(0)).mean())], "low": [low], "high": [high]})
-
-    return sums.groupBy(F.lit(0).alias("_one")).applyInPandas(draw, "clusters long, mean double, low double, high double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.vectors import clipped, cosine
 from ..operators import contracts, matching, pools, ranking, reports, selection, sets, statistics, temporal
-from . import selector_sql, views
+from . import selector_sql
 from .registry import ORACLE_SQL, QUERIES, query
 from .views import HOUR, QUESTION, SQL_C, SQL_R, SQL_S, SQL_T, SQL_V, bounds, candidates, cores, regions, results, table, vectors, windows
 
@@ -528,14 +528,3 @@ def _sb(rows, x):
 @kernel("wavelet_segments", "region long, boundary int")
 def _wavelet(rows, x):
     return [(int(b),) for b in selection.wavelet_segments(rows["score"].to_numpy())]
-
-
-@query()
-def paired_bootstrap(spark, sf):
-    t = results(spark, sf).withColumn("d", F.col("a").cast("int") - F.col("b").cast("int"))
-    return statistics.stratified_bootstrap(t, "stratum", "d")
-
-
-@query()
-def macro_bootstrap(spark, sf):
-    return statistics.cluster_bootstrap(results(spark, sf).withColumn("y", F.col("a").cast("double")), "cluster", "stratum", "y")
