@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .questions import option_structure, stripped, time_heading  # noqa: F401
 from .timetext import clock_key, question_mode, time_fields  # noqa: F401
 
 
@@ -42,8 +43,8 @@ def literal_cover(group: Column, state: Column) -> Column:
 
 
 def blank_option(option: Column) -> Column:
-    """Blank, or only a time heading such as [00:12] or 00:12-00:20."""
-    return (F.trim(option) == "") | F.trim(option).rlike(r"^\[?\d{1,2}:\d{2}(?::\d{2})?(?:\s*-\s*\d{1,2}:\d{2}(?::\d{2})?)?\]?:?$")
+    """Blank, or only a heading of a stretch of time."""
+    return (stripped(option) == "") | time_heading(option)
 
 
 def expand_ranges(text: Column) -> Column:
@@ -76,9 +77,24 @@ def overlap_area(a: Column, b: Column) -> Column:
     return F.when(union > 0, w * h / union).otherwise(0.0)
 
 
-def option_kind(options: Column) -> Column:
-    """count (all whole numbers), order (the same events permuted), or other."""
-    counts = F.forall(options, lambda x: F.trim(x).rlike(r"^\d+$"))
-    events = F.transform(options, lambda x: F.array_sort(F.split(F.regexp_replace(F.lower(F.trim(x)), r"\s*(?:->|,)\s*", "|"), r"\|")))
-    order = (F.size(F.array_distinct(events)) == 1) & (F.size(F.element_at(events, 1)) > 1)
-    return F.when(counts, "count").when(order, "order").otherwise("other")
+def _sum(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+
+
+def softmax(logits: Column) -> Column:
+    top = F.array_max(logits)
+    return F.get(F.transform(F.array(F.transform(logits, lambda x: F.exp(x - top))), lambda e: F.transform(e, lambda x: x / _sum(e))), F.lit(0))
+
+
+def evidence_support(p: Column, q: Column, letters: int = 4) -> Column:
+    """struct(value, mass, js) of a distribution over answers and the one of a blank: the mass of its letters times how much it differs. Both must be distributions of one length, or it is an error."""
+    good = lambda x: F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (v >= 0)) & (F.abs(_sum(x) - 1) <= 1e-7)
+    kind = "struct<value:double,mass:double,js:double>"
+    out = F.get(F.transform(F.array(F.struct(_sum(F.slice(p, 1, letters)).alias("mass"), js_divergence(p, q).alias("js"))), lambda s: F.struct((s["mass"] * s["js"]).alias("value"), s["mass"].alias("mass"), s["js"].alias("js"))), F.lit(0))
+    return F.when(F.coalesce((F.size(p) == F.size(q)) & (F.size(p) > letters) & good(p) & good(q), F.lit(False)), out.cast(kind)).otherwise(F.raise_error(F.lit("not two distributions over the same answers")).cast(kind))
+
+
+def logit_divergence(real: Column, blank: Column) -> Column:
+    """Kullback-Leibler divergence, in nats, of the distributions that two arrays of logits stand for."""
+    logs = lambda x: F.transform(x, lambda v: v - F.array_max(x) - F.ln(_sum(F.transform(x, lambda z: F.exp(z - F.array_max(x))))))
+    return F.get(F.transform(F.array(F.struct(logs(real).alias("a"), logs(blank).alias("b"))), lambda s: _sum(F.zip_with(s["a"], s["b"], lambda x, y: F.exp(x) * (x - y)))), F.lit(0))

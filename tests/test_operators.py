@@ -158,8 +158,8 @@ def test_text(spark):
     with pytest.raises(Exception, match="twice"):
         get(tx.expand_ranges(F.lit("1-3,5,2")))
     assert get(tx.strict_option(F.lit("(B)"))) == "B" and get(tx.strict_option(F.lit("b"))) is None
-    assert get(tx.blank_option(F.lit("[00:12]"))) and not get(tx.blank_option(F.lit("00:12 he runs")))
-    assert get(tx.option_kind(F.lit(["1", "2"]))) == "count" and get(tx.option_kind(F.lit(["a -> b", "b, a"]))) == "order"
+    assert get(tx.blank_option(F.lit("# From [0:00:12 to 0:00:14]:"))) and not get(tx.blank_option(F.lit("[00:12] he runs"))) and get(tx.blank_option(F.lit(" ")))
+    assert get(tx.option_structure(F.lit("How many?"), F.lit(["1", "2"]))) == "counts"
     assert get(tx.js_divergence(F.lit([1.0, 0.0]), F.lit([0.0, 1.0]))) == pytest.approx(1)
 
 

@@ -24,7 +24,7 @@ def test_pools(spark):
     assert rows(pools.appended(c, added, ["q"], "source_pts").where("origin = 'fine'")) == [(1, 5, 15, "fine")]
     q = spark.createDataFrame([(1, 0, 3, 9), (1, 1, 2, 1), (1, 2, 9, 9)], "q int, region_id long, size int, want int")
     assert rows(pools.feasible_quotas(q, ["q"], F.lit(6), "size", "want")) == [(1, 0, 3), (1, 1, 1), (1, 2, 2)]
-    m = spark.createDataFrame([(1, ["a", " "]), (2, ["a", "b"]), (3, ["00:12"])], "i int, o array<string>")
+    m = spark.createDataFrame([(1, ["a", " "]), (2, ["a", "b"]), (3, ["# From [0:00:12 to 0:00:20]:"])], "i int, o array<string>")
     assert rows(pools.masked_questions(m, "o", tx.blank_option).select("i", "excluded")) == [(1, True), (2, False), (3, True)]
 
 
@@ -89,8 +89,6 @@ def test_parsing(spark):
     assert not get(parsing.control_free(F.lit("a <image> b"))) and get(parsing.control_free(F.lit("a b")))
     assert parsing.joined_words("Straße C# it's") == ["strasse", "c#", "it's"] and parsing.plain_words("Élan 2") == ["elan", "2"]
     assert parsing.normal_text("  STATE  A ") == "state a"
-    assert [parsing.content_change("the red dog", x) for x in ("dog red", "", "dog", "red dog cat", "red cat", "dog dog red")] == ["same", "empty", "content_lost", "content_added", "content_replaced", "counts_differ"]
-    assert parsing.problem("Why?\nA. a\nB. b\nC) c\n(D) d") == ("Why?", ["a", "b", "c", "d"]) and parsing.problem("Why?\nB. a\nA. b") is None
     assert parsing.strict_object('{"a": 1}', {"a": int}) == ({"a": 1}, "ok")
     assert [parsing.strict_object(t, {"a": str}, {"a": ["x"]})[1] for t in ("{", "[]", "{}", '{"a": 1}', '{"a": "y"}')] == ["not_json", "not_object", "fields", "types", "vocabulary"]
     doc = F.lit('{"a/b": [1, {"~": 2, "it\'s": "x"}], "0": null, "": {"01": true}}')
@@ -100,7 +98,6 @@ def test_parsing(spark):
     for bad in ("a", "/~2", "/~"):
         with pytest.raises(ValueError, match="pointer"):
             parsing.pointer(doc, bad)
-    assert parsing.clause("What happens after he runs, then?", "after ") == ("he runs", 19, 26)
 
 
 def test_perceptual_hash_ignores_brightness():
