@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -176,3 +177,68 @@ def event_clause(question: Column) -> Column:
     hit = F.struct(F.regexp_instr(low, F.lit(opening)).alias("begin"), F.regexp_extract(low, opening, 0).alias("opening"))
     blank = F.coalesce(stripped(question) == "", F.lit(True))
     return F.when(blank, F.raise_error(F.lit("a question is needed")).cast("struct<clause:string,start:int,end:int,subject:string,reason:string>")).otherwise(_bound(hit, read))
+
+
+_NONE = "array<string>"
+
+
+def _texts(value: Column, path: str) -> Column:
+    return F.coalesce(F.try_variant_get(value, path, _NONE), F.array().cast(_NONE))
+
+
+def facts(raw: Column, truncated: Column, fields: tuple[str, ...] = ("observations", "visible_text"), most: int = 3) -> Column:
+    """struct(valid, strict, fenced, each field, reason) of a JSON object of these fields only, each a list of at most so many texts that aren't blank. A whole fence of code round it is allowed, but isn't strict.
+
+    Reasons: truncated, not_json, shape (other fields, or values of another kind), list (too many, or a blank one). What isn't valid has empty lists.
+    """
+    inner = F.regexp_extract(stripped(raw), r"(?s)^```(?:json)?[ \t]*\n(.*)\n```$", 1)
+    fenced = inner != ""
+    kinds = [f"OBJECT<{', '.join(f'{f}: ARRAY<{k}>' for f, k in zip(sorted(fields), ks, strict=True))}>" for ks in product(("STRING", "VOID"), repeat=len(fields))]
+
+    def read(v: Column) -> Column:
+        lists = {f: _texts(v, f"$.{f}") for f in fields}
+        good = F.lit(True)
+        for xs in lists.values():
+            good &= (F.size(xs) <= most) & F.forall(xs, lambda x: F.coalesce(stripped(x) != "", F.lit(False)))
+        reason = F.when(truncated, "truncated").when(v.isNull(), "not_json").when(~F.schema_of_variant(v).isin(*kinds), "shape").when(~good, "list")
+        none = F.array().cast(_NONE)
+        return F.struct(reason.isNull().alias("valid"), (reason.isNull() & ~fenced).alias("strict"), fenced.alias("fenced"), *(F.when(reason.isNull(), xs).otherwise(none).alias(f) for f, xs in lists.items()), reason.alias("reason"))
+
+    return _bound(F.try_parse_json(F.when(fenced, inner).otherwise(stripped(raw))), read)
+
+
+#: fixed values: small words that any phrase may hold, and what stands for an action's thing
+SMALL = "a an the of with in on to from his her their its this that and or person people man woman girl boy".split()
+THINGS = {"biking": "bicycle", "cycling": "bicycle", "skateboarding": "skateboard", "driving": "vehicle", "walking": "person"}
+
+
+def object_queries(raw: Column, question: Column, options: Column, known: int = 6, each: int = 3) -> Column:
+    """struct(known, choices, reason) of a JSON object of known (phrases for the question) and choices (a list of phrases for each of four options), all in words that the question, or the option, licenses; empty with a reason otherwise.
+
+    Licensed are a text's words, their singulars by a final s, the things of its actions, and small words. Phrases are lower-cased, each once. Reasons: not_json, shape, bound (too many), phrase (blank, long or of two lines), word.
+    """
+    letters = lambda t: F.regexp_extract_all(F.lower(t), F.lit("[a-z]+"), F.lit(0))
+
+    def licensed(source: Column) -> Column:
+        own = F.regexp_extract_all(F.lower(source), F.lit("[a-z]+(?:'[a-z]+)?"), F.lit(0))
+        singular = F.transform(F.filter(own, lambda w: F.endswith(w, F.lit("s")) & (F.char_length(w) > 3)), lambda w: F.substr(w, F.lit(1), F.char_length(w) - 1))
+        things = F.filter(F.array(*(F.when(F.array_contains(own, k), v) for k, v in THINGS.items())), lambda t: t.isNotNull())
+        return F.flatten(F.array(own, singular, things, F.array(*map(F.lit, SMALL))))
+
+    kinds = [f"OBJECT<choices: ARRAY<{c}>, known: ARRAY<{k}>>" for c in ("ARRAY<STRING>", "ARRAY<VOID>") for k in ("STRING", "VOID")]
+
+    def read(v: Column) -> Column:
+        groups = F.concat(F.array(_texts(v, "$.known")), F.coalesce(F.try_variant_get(v, "$.choices", "array<array<string>>"), F.array().cast("array<array<string>>")))
+        sources = F.concat(F.array(question), options)
+        every = F.flatten(groups)
+        fine = F.forall(every, lambda p: F.coalesce((stripped(p) != "") & (F.char_length(p) <= 80) & ~p.contains("\n"), F.lit(False)))
+        own = F.zip_with(groups, sources, lambda g, s: _bound(licensed(s), lambda words_: F.forall(g, lambda p: (F.size(letters(p)) > 0) & (F.size(F.array_except(letters(p), words_)) == 0))))
+        shaped = F.schema_of_variant(v).isin(*kinds) & (F.size(groups) == 5)
+        bounded = (F.size(F.get(groups, F.lit(0))) <= known) & F.forall(F.slice(groups, 2, 4), lambda g: F.size(g) <= each)
+        reason = F.when(v.isNull(), "not_json").when(~shaped, "shape").when(~bounded, "bound").when(~fine, "phrase").when(~F.forall(own, lambda x: x), "word")
+        plain = F.transform(groups, lambda g: F.array_distinct(F.transform(g, lambda p: F.array_join(letters(p), " "))))
+        none = F.array().cast(_NONE)
+        ok = reason.isNull()
+        return F.struct(F.when(ok, F.get(plain, F.lit(0))).otherwise(none).alias("known"), F.when(ok, F.slice(plain, 2, 4)).otherwise(F.array_repeat(none, 4)).alias("choices"), reason.alias("reason"))
+
+    return _bound(F.try_parse_json(stripped(raw)), read)

@@ -46,3 +46,21 @@ def unique_key_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
     """Inner join on keys of which each side may hold one row; duplicates raise when the plan runs."""
     once = lambda df: df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.when(F.col("_n") == 1, True).otherwise(F.raise_error(F.lit("a key occurs twice")).cast("boolean"))).drop("_n")
     return once(left).join(once(right), list(keys))
+
+
+def population_faults(df: DataFrame, item: str, strata: dict[str, int], stratum: str, group: str, each: int, columns: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """kind, name, expected and found of what a frozen manifest isn't as it should be: items that occur twice (repeated), strata of another size, or not asked for (stratum), groups that don't hold each items (group_size),
+    groups in more than one stratum (group_strata), and values that a column may not have (value). An empty one means that the manifest is the frozen one.
+    """
+    text = lambda c: F.col(c).cast("string")
+    row = lambda kind, name, want, got: (F.lit(kind).alias("kind"), name.alias("name"), want.cast("long").alias("expected"), got.cast("long").alias("found"))
+    twice = df.groupBy(text(item).alias("name")).count().where("count > 1").select(*row("repeated", F.col("name"), F.lit(1), F.col("count")))
+    wanted = df.sparkSession.createDataFrame(list(strata.items()), "_s string, _want long")
+    sizes = df.groupBy(text(stratum).alias("name")).count().join(wanted, F.col("name").eqNullSafe(F.col("_s")), "full")
+    sizes = sizes.where(~F.coalesce("count", F.lit(0)).eqNullSafe(F.coalesce("_want", F.lit(0)))).select(*row("stratum", F.coalesce("name", "_s"), F.coalesce("_want", F.lit(0)), F.coalesce("count", F.lit(0))))
+    groups = df.groupBy(text(group).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(stratum).alias("k"))
+    out = twice.unionByName(sizes).unionByName(groups.where(F.col("n") != each).select(*row("group_size", F.col("name"), F.lit(each), F.col("n")))).unionByName(groups.where("k > 1").select(*row("group_strata", F.col("name"), F.lit(1), F.col("k"))))
+    for c, allowed in (columns or {}).items():
+        wrong = df.where(~F.coalesce(F.col(c).isin(*allowed), F.lit(False))).groupBy(F.concat_ws("=", F.lit(c), text(c)).alias("name")).count()
+        out = out.unionByName(wrong.select(*row("value", F.col("name"), F.lit(0), F.col("count"))))
+    return out

@@ -117,3 +117,26 @@ def selection_statistics(taken: DataFrame, segments: DataFrame, keys: Sequence[s
     held = taken.join(near, [*keys, item], "left").groupBy(*keys).agg(F.count_distinct(segment).alias("covered"), F.avg(score).alias("relevance"), F.avg(F.coalesce("_near", F.lit(0.0))).alias("redundancy"))
     every = segments.groupBy(*keys).agg(F.count_distinct(segment).alias("segments"))
     return every.join(held, list(keys)).withColumn("unused", 1 - F.col("covered") / F.col("segments"))
+
+
+def group_profile(df: DataFrame, sets: Sequence[Sequence[str]], methods: Sequence[str], cell: str, cells: Sequence[str], proxies: Sequence[str]) -> DataFrame:
+    """By each grouping set, in one pass: n, right answers of each method and their share, rows of each cell, and mean and median of each proxy; columns outside a set are 'all'."""
+    right = lambda m: F.count_if(F.coalesce(F.col(m), F.lit(False)))
+    measures = {"n": F.count(F.lit(1))} | {f"right_{m}": right(m) for m in methods} | {f"rate_{m}": right(m) / F.count(F.lit(1)) for m in methods} | {f"cell_{c}": F.count_if(F.col(cell) == c) for c in cells}
+    measures |= {f"mean_{p}": F.avg(p) for p in proxies} | {f"median_{p}": F.percentile(p, F.lit(0.5)) for p in proxies}
+    return profile(df, sets, measures)
+
+
+def path_states(top: DataFrame, prefixes: DataFrame, quotas: DataFrame, members: DataFrame, keys: Sequence[str], region: str, item: str) -> DataFrame:
+    """How each top row fared under each method's quotas: keys, item, region, place (from 1 in its region's prefix), capacity, method, quota, state and more, the slots that it lacked.
+
+    top: keys, item. prefixes: keys, region, item, place. quotas: keys, region, method, quota. members: keys, region, item, each item in one region. A region's capacity is what it could get if every other region kept one slot.
+    States: selected, quota_reachable, beyond_capacity, outside_prefix.
+    """
+    size = prefixes.groupBy(*keys, region).agg(F.max("place").alias("_size"))
+    of = Window.partitionBy(*keys, "method")
+    room = quotas.withColumn("_room", F.sum("quota").over(of) - F.count(F.lit(1)).over(of) + 1).join(size, [*keys, region])
+    met = top.select(*keys, item).join(members.select(*keys, region, item), [*keys, item]).join(prefixes.select(*keys, region, item, "place"), [*keys, region, item], "left").join(room, [*keys, region])
+    capacity = F.least(F.col("_size"), F.col("_room"))
+    state = F.when(F.col("place").isNull(), "outside_prefix").when(F.col("place") <= F.col("quota"), "selected").when(F.col("place") <= capacity, "quota_reachable").otherwise("beyond_capacity")
+    return met.select(*keys, item, region, "place", capacity.alias("capacity"), "method", "quota", state.alias("state"), F.when(F.col("place").isNotNull(), F.greatest(F.col("place") - F.col("quota"), F.lit(0))).alias("more"))

@@ -87,3 +87,16 @@ def query_seed_weights(df: DataFrame, region: Sequence[str], query: str, item: s
     each = share.groupBy(*region, item).agg(F.max("_share").alias("weight"))
     top = F.max("weight").over(Window.partitionBy(*region))
     return each.withColumn("weight", F.when(top > 0, F.col("weight")).otherwise(1.0))
+
+
+def lookup_bank(known: DataFrame, identity: Sequence[str], value: str) -> DataFrame:
+    """identity and value of each identity once; one with two values is an error when this runs."""
+    one = known.groupBy(*identity).agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
+    return one.where(F.when(F.col("_a").eqNullSafe(F.col("_b")), True).otherwise(F.raise_error(F.lit("an identity has two values")).cast("boolean"))).select(*identity, F.col("_a").alias(value))
+
+
+def looked_up(wanted: DataFrame, bank: DataFrame, groups: Sequence[str], identity: Sequence[str], value: str) -> DataFrame:
+    """wanted with the bank's value for the groups of which every row has one; the rows of all others have null, and are to be worked out as a whole."""
+    met = wanted.join(bank.select(*identity, F.col(value).alias(value), F.lit(True).alias("_has")), list(identity), "left")
+    whole = F.bool_and(F.coalesce("_has", F.lit(False))).over(Window.partitionBy(*groups))
+    return met.select(*wanted.columns, F.when(whole, F.col(value)).alias(value), whole.alias("complete"))

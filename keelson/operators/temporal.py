@@ -171,3 +171,19 @@ def neighbour_repairs(df: DataFrame, keys: Sequence[str], time: str, selected: s
         F.when(F.col("next_time").isNull(), "no_successor").when(F.col("slot_time").isNull(), "no_next_slot").when(F.col("next_taken"), "successor_selected").when(F.coalesce("before_taken", F.lit(False)), "predecessor_selected").when(F.col("next_time") - F.col(time) > step, "too_far").otherwise("proposed")
     )
     return rows.where(selected).withColumn("reason", reason)
+
+
+def by_key_frame(requests: DataFrame, key_frames: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+    """keys, key_time, n, first, last and times of requested times that share the last key frame at or before them, so that one seek serves them; key_time is null for times before the first one. A time asked for twice counts once."""
+    asked = requests.select(*keys, time).distinct()
+    met = backward_asof(asked, key_frames.select(*keys, time, F.col(time).alias("key_time")).distinct(), keys, time, ["key_time"])
+    return met.groupBy(*keys, "key_time").agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("first"), F.max(time).alias("last"), F.array_sort(F.collect_list(time)).alias("times"))
+
+
+def inside_windows(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, bucket: int, region: str, quotas: DataFrame) -> DataFrame:
+    """points in a window of a region (disjoint; keys, region, left, right), with the region; one that holds fewer points than its quota (keys, region, quota) is an error when this runs."""
+    met = range_join(points, spans.select(*keys, region, "left", "right"), keys, time, bucket).drop("left", "right")
+    room = spans.select(*keys, region).distinct().join(quotas, [*keys, region]).join(met.groupBy(*keys, region).agg(F.count(F.lit(1)).alias("_n")), [*keys, region], "left")
+    short = F.coalesce("_n", F.lit(0)) < F.col("quota")
+    fits = room.select(*keys, region, F.when(short, F.raise_error(F.concat(F.lit("too few rows for the quota of region "), F.col(region).cast("string"))).cast("boolean")).otherwise(True).alias("_fits"))
+    return met.join(fits, [*keys, region], "left").where(F.coalesce("_fits", F.lit(True))).drop("_fits")

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from keelson.plans import audits, files, geometry, kernels, repairs, resamples, streams, tables, texts  # noqa: F401
+from keelson.plans import audits, files, geometry, kernels, populations, repairs, resamples, streams, tables, texts  # noqa: F401
 from keelson.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"

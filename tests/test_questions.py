@@ -80,3 +80,24 @@ def test_option_defects(get):
     for (text, bad), r in zip(cases.items(), got, strict=True):
         assert [(d["letter"], d["option"]) for d in r] == ([("D", text)] if bad else []), text
     assert [d["reason"] for d in got[0] + got[2]] == ["empty_option", "time_heading_only"]
+
+
+def test_facts(get):
+    good = '{"visible_text": ["STOP", " a "], "observations": []}'
+    rows = [(good, False), (f"```json\n{good}\n```", False), (good, True), ("{", False), ('{"visible_text": []}', False), ('{"visible_text": [1], "observations": []}', False), ('{"visible_text": ["a", "b", "c", "d"], "observations": []}', False), ('{"visible_text": [" "], "observations": []}', False), (f"so: {good}", False), ('{"visible_text": [], "observations": "x"}', False), ('{"visible_text": ["a", null], "observations": []}', False), ("[]", False), (f"```\n{good}", False), ('{"visible_text": [], "observations": [], "more": 1}', False)]
+    got = get(q.facts, *rows)
+    assert [r["reason"] for r in got] == [None, None, "truncated", "not_json", "shape", "shape", "list", "list", "not_json", "shape", "list", "shape", "not_json", "shape"]
+    assert (got[0]["visible_text"], got[0]["observations"], got[0]["strict"]) == (["STOP", " a "], [], True)
+    assert got[1]["valid"] and got[1]["fenced"] and not got[1]["strict"] and all(r["visible_text"] == [] and not r["valid"] for r in got[2:])
+
+
+def test_object_queries(get):
+    ask, options = "Who is biking with two dogs' owner?", ["the red ball", "Cats", "a person walking", "none"]
+    say = lambda known, *choices: (f'{{"known": {known}, "choices": [{", ".join(choices or ["[]"] * 4)}]}}'.replace("'", '"'), ask, options)
+    rows = [
+        say("['Bicycle', 'two dogs', 'a dog', 'bicycle ']", "['red BALL']", "['cat', 'cats']", "[]", "['none']"), say("['car']"), say("[]", "['cat']", "[]", "[]", "[]"), say("['a','a','a','a','a','a','a']"), say("[]", "['a','the','red','ball']", "[]", "[]", "[]"),
+        say("[' ']"), say("['" + "a " * 41 + "']"), say("[]", "[]", "[]", "[]"), say("[1]"), ("no", ask, options), say("['12']"), ('{"known": [], "choices": [[], [], [], []], "x": 1}', ask, options),
+    ]
+    got = get(q.object_queries, *rows)
+    assert [r["reason"] for r in got] == [None, "word", "word", "bound", "bound", "phrase", "phrase", "shape", "shape", "not_json", "word", "shape"]
+    assert got[0]["known"] == ["bicycle", "two dogs", "a dog"] and got[0]["choices"] == [["red ball"], ["cat", "cats"], [], ["none"]] and got[1]["choices"] == [[]] * 4
