@@ -31,11 +31,11 @@ def _decisions(spark, sf):
     return pool, repair.repair_decisions(pool, QUESTION, "candidate_index", "source_pts", lambda a, b: 1 - F.abs(a["v"] - b["v"]), 1)
 
 
-@query(f"WITH {_POOL} SELECT question_id, slot, i AS candidate_index, reason, round(CASE WHEN reason IN ('no_gain', 'eligible') THEN gain END, 9) AS gain FROM d")
+@query(f"WITH {_POOL} SELECT question_id, slot, i AS candidate_index, reason, round(CASE WHEN reason IN ('no_gain', 'eligible') THEN gain END, 9) + 0.0 AS gain FROM d")
 def repair_decisions(spark, sf):
     """Why each of sixteen selected events may or may not give the next slot to its successor."""
     _, d = _decisions(spark, sf)
-    return d.select("question_id", F.col("slot").cast("long").alias("slot"), "candidate_index", "reason", F.round(F.when(F.col("reason").isin("no_gain", "eligible"), F.col("gain")), 9).alias("gain"))
+    return d.select("question_id", F.col("slot").cast("long").alias("slot"), "candidate_index", "reason", (F.round(F.when(F.col("reason").isin("no_gain", "eligible"), F.col("gain")), 9) + 0.0).alias("gain"))
 
 
 @query(f"""WITH {_POOL}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, gain DESC, t, nt, i, ni) AS n FROM d WHERE reason = 'eligible') WHERE n = 1)
