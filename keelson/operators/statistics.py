@@ -92,3 +92,16 @@ def preference(df: DataFrame, question: str, label: str, score: str, band: float
     d = F.col("_g") - F.col("_b")
     won = F.when(F.abs(d) <= band, 0.5).when(d > 0, 1.0).otherwise(0.0)
     return good.select(question, F.col(score).alias("_g")).join(bad.select(question, F.col(score).alias("_b")), question).groupBy(question).agg(F.count(F.lit(1)).alias("pairs"), F.avg(won).alias("preference"))
+
+
+def group_divergences(df: DataFrame, group: str, item: str) -> DataFrame:
+    """a, b, js of each two groups (a before b): the Jensen-Shannon divergence over ln 2, within 0 and 1, of how their rows are spread over items. An item that one group lacks adds half of the other's share, so only
+    items that both have are joined. Groups without a common item, which differ by 1, are not listed.
+    """
+    n = df.where(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(F.col(group).alias("g"), F.col(item).alias("i")).count()
+    p = n.withColumn("p", F.col("count") / F.sum("count").over(Window.partitionBy("g")))
+    a, b = p.select(F.col("g").alias("a"), "i", "p"), p.select(F.col("g").alias("b"), "i", F.col("p").alias("q"))
+    half = lambda x: F.col(x) * F.ln(2 * F.col(x) / (F.col("p") + F.col("q")))
+    met = a.join(b, "i").where("a < b").groupBy("a", "b").agg(F.sum(half("p") + half("q")).alias("s"), F.sum("p").alias("pa"), F.sum("q").alias("qb"))
+    js = (F.col("s") / F.ln(F.lit(2.0)) + 2 - F.col("pa") - F.col("qb")) / 2
+    return met.select("a", "b", F.least(F.greatest(js, F.lit(0.0)), F.lit(1.0)).alias("js"))

@@ -184,14 +184,15 @@ def duration_queue(spark, sf):
     return ranking.duration_queue(d, "item", "seconds", ranking.pilots(d, "item", ["item"], 5, ["133", "13"]))
 
 
-_RAW = [" local", "GLOBAL ", "mixed", "Local.", "", "b", "A.", "(c)", "d ."]
+_RAW = "CASE doc_id % 9 WHEN 0 THEN 'local' WHEN 1 THEN ' GLOBAL ' WHEN 2 THEN 'Mixed' WHEN 3 THEN lang WHEN 4 THEN source WHEN 5 THEN lower(substr(source, 4, 1)) WHEN 6 THEN substr('ABCDE', CAST(n_chars % 5 + 1 AS INT), 1) || '.' WHEN 7 THEN lang || '.' ELSE coalesce(substr(trim(text), 1, 1), '') END"
 
 
-@query(f"""WITH r AS (SELECT doc_id, {_RAW!r}[doc_id % {len(_RAW)} + 1] AS raw FROM documents)
+@query(f"""WITH r AS (SELECT doc_id, {_RAW} AS raw FROM documents)
 SELECT doc_id, CASE WHEN upper(trim(raw)) IN ('LOCAL', 'GLOBAL', 'MIXED') THEN upper(trim(raw)) ELSE 'MIXED' END AS scope, upper(trim(raw)) NOT IN ('LOCAL', 'GLOBAL', 'MIXED') AS fallback,
 CASE WHEN regexp_full_match(trim(raw), '[A-Da-d]\\.?') THEN upper(trim(raw)[1]) ELSE 'D' END AS category, regexp_full_match(trim(raw), '[A-Da-d]\\.?') AS valid FROM r""")
 def scopes(spark, sf):
-    raw = F.array(*map(F.lit, _RAW))[(F.col("doc_id") % len(_RAW)).cast("int")]
+    """Scopes and categories as said in words, letters and first letters of documents."""
+    raw = F.expr(_RAW)
     return table(spark, sf, "documents").select("doc_id", parsing.parse_scope(raw).alias("s"), parsing.parse_category(raw).alias("c")).select("doc_id", "s.*", "c.*")
 
 

@@ -316,14 +316,16 @@ def edit_change(spark, sf):
     return p.join(b, "page_id").select("page_id", F.round(tx.edit_change(F.col("url"), F.col("p")), 9).alias("change"))
 
 
-_ANSWERS = ["A", "b.", "(C)", "Answer: d", "answer:(E).", "F", "AB", "", " a ", "The answer is B", "A)", "(B"]
-_ANSWER_SQL = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_ANSWERS))
-
-
-@query(rf"SELECT i, CASE WHEN r <> '' THEN upper(r) END AS answer FROM (SELECT i, regexp_extract(trim(t), '^(?i:(?:answer\s*:\s*)?\(?([A-E])\)?\.?)$', 1) AS r FROM (VALUES {_ANSWER_SQL}) v(i, t))")
+@query("SELECT event_id, CASE WHEN event_id % 9 < 6 AND user_id % 7 < 5 THEN substr('ABCDEFG', user_id % 7 + 1, 1) END AS answer FROM events")
 def answer_parse(spark, sf):
-    rows = spark.createDataFrame(list(enumerate(_ANSWERS)), "i int, t string")
-    return rows.select("i", tx.parse_answer(F.col("t")).alias("answer"))
+    """Answers in nine forms, of which three are none: a letter with a word after it, two letters, and a letter with a comma."""
+    e = table(spark, sf, "events")
+    letter = F.substr(F.lit("ABCDEFG"), (F.col("user_id") % 7 + 1).cast("int"), F.lit(1))
+    forms = [letter, F.concat(letter, F.lit(".")), F.concat(F.lit(" ("), letter, F.lit(") ")), F.concat(F.lit("Answer: "), F.lower(letter)), F.concat(F.lit("ANSWER :("), letter, F.lit(").")), F.lower(letter), F.concat(letter, F.lit(" "), F.col("event_type")), F.concat(letter, letter), F.concat(letter, F.lit(","))]
+    said = forms[0]
+    for k, x in enumerate(forms):
+        said = F.when(F.col("event_id") % 9 == k, x).otherwise(said)
+    return e.select("event_id", tx.parse_answer(said).alias("answer"))
 
 
 @query(f"WITH {SQL_C} SELECT event_type, round(sum(CASE WHEN score > 0 AND score < 1 THEN greatest(0, ln(score / (1 - score)) - ln(0.5 / 0.5)) ELSE 0 END), 4) AS gain FROM c WHERE score > 0 AND score < 1 GROUP BY event_type")
@@ -335,13 +337,7 @@ def logit_gain(spark, sf):
 @query("""WITH n AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), p AS (SELECT lang, list(n / t::DOUBLE ORDER BY source) AS p FROM (SELECT l.lang, s.source, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY l.lang) AS t FROM (SELECT DISTINCT lang FROM documents) l CROSS JOIN (SELECT DISTINCT source FROM documents) s LEFT JOIN n ON n.lang = l.lang AND n.source = s.source) GROUP BY lang)
 SELECT a.lang AS a, b.lang AS b, round(least(greatest(list_sum(list_transform(list_zip(a.p, b.p), lambda z: (CASE WHEN z[1] > 0 THEN z[1] * ln(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] * ln(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END) / 2)) / ln(2), 0), 1), 6) AS js FROM p a JOIN p b ON a.lang < b.lang""")
 def js_divergence(spark, sf):
-    langs = ["de", "en", "es", "fr"]
-    wide = table(spark, sf, "documents").groupBy("source").pivot("lang", langs).count().fillna(0)
-    row = wide.agg(F.array_sort(F.collect_list(F.struct("source", *langs))).alias("x"))
-    share = lambda k: F.transform("x", lambda s: s[k] / F.aggregate(F.col("x"), F.lit(0).cast("long"), lambda t, y: t + y[k]))
-    pairs = [(a, b) for a in langs for b in langs if a < b]
-    out = row.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), tx.js_divergence(share(a), share(b)).alias("js")) for a, b in pairs))).alias("r"))
-    return out.select("r.a", "r.b", F.round("r.js", 6).alias("js"))
+    return statistics.group_divergences(table(spark, sf, "documents"), "lang", "source").select("a", "b", F.round("js", 6).alias("js"))
 
 
 @query(f"WITH {SQL_S}, u AS (SELECT * FROM c WHERE candidate_index % 5 = 0), x AS (SELECT question_id, candidate_index FROM s), y AS (SELECT question_id, candidate_index FROM u) SELECT question_id, count(*) FILTER (WHERE a = 2) AS common, count(*) AS \"union\", count(*) FILTER (WHERE a = 2) / count(*)::DOUBLE AS jaccard FROM (SELECT question_id, candidate_index, count(*) AS a FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY ALL) GROUP BY question_id")
