@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .temporal import range_join
+from .temporal import gap_sessions, range_join
 
 
 def exclude(df: DataFrame, gone: DataFrame, keys: Sequence[str], index: str = "candidate_index", order: Sequence[str] = ("source_pts",)) -> DataFrame:
@@ -90,3 +90,12 @@ def repooled(bank: DataFrame, windows: DataFrame, coarse: DataFrame, keys: Seque
     nth = F.row_number().over(Window.partitionBy(*keys, "source", "_fits").orderBy("target"))
     status = F.when(~known, none).when(~F.col("_fits"), outside).when(F.col("_have") | (nth > 1), twice).otherwise(kept)
     return rows.select(*keys, "target", "source", status.alias("status"))
+
+
+def seed_plan(pool: DataFrame, seeds: DataFrame, keys: Sequence[str], item: str, time: str, score: str, gap: int) -> DataFrame:
+    """keys, core_id, seeds, first, last, anchor and peak of the cores of seeds that any routes have chosen under one budget: where they lie makes the cores, and the pool's own score their anchor (the best, the earlier of equals)."""
+    own = pool.select(*keys, item, time, score).join(seeds.select(*keys, item).distinct(), [*keys, item])
+    cores = gap_sessions(own, keys, time, gap, [item])
+    best = F.min(F.struct((-F.col(score)).alias("s"), F.col(time).alias("t"), F.col(item).alias("i"))).alias("_b")
+    out = cores.groupBy(*keys, "core_id").agg(F.count(F.lit(1)).alias("seeds"), F.min(time).alias("first"), F.max(time).alias("last"), best)
+    return out.select(*keys, "core_id", "seeds", "first", "last", F.col("_b.i").alias("anchor"), (-F.col("_b.s")).alias("peak"))

@@ -140,3 +140,28 @@ def path_states(top: DataFrame, prefixes: DataFrame, quotas: DataFrame, members:
     capacity = F.least(F.col("_size"), F.col("_room"))
     state = F.when(F.col("place").isNull(), "outside_prefix").when(F.col("place") <= F.col("quota"), "selected").when(F.col("place") <= capacity, "quota_reachable").otherwise("beyond_capacity")
     return met.select(*keys, item, region, "place", capacity.alias("capacity"), "method", "quota", state.alias("state"), F.when(F.col("place").isNotNull(), F.greatest(F.col("place") - F.col("quota"), F.lit(0))).alias("more"))
+
+
+def fine_summary(cores: DataFrame, fine: DataFrame, keys: Sequence[str], time: str, bucket: int, least: int = 3) -> DataFrame:
+    """Of each region: its fine rows, those outside all windows of cores with least seeds or more, and how many of either are selected.
+
+    cores: keys, region_id, seeds, left, right. fine: keys, time, selected; a row counts for the region in which it lies.
+    """
+    by = [*keys, "region_id"]
+    spans = cores.groupBy(*by).agg(F.min("left").alias("left"), F.max("right").alias("right"))
+    hot = merge_intervals(cores.where(F.col("seeds") >= least).select(*keys, "left", "right"), keys).groupBy(*keys, "region_id").agg(F.min("left").alias("left"), F.max("right").alias("right")).drop("region_id")
+    met = range_join(fine, spans, keys, time, bucket).drop("left", "right")
+    near = range_join(met, hot, keys, time, bucket, how="left_semi").withColumn("_hot", F.lit(1)).unionByName(range_join(met, hot, keys, time, bucket, how="left_anti").withColumn("_hot", F.lit(0)))
+    n = near.groupBy(*by).agg(F.count(F.lit(1)).alias("fine"), F.count_if(F.col("_hot") == 0).alias("fine_outside"), F.count_if(F.col("selected")).alias("selected_fine"), F.count_if(F.col("selected") & (F.col("_hot") == 0)).alias("selected_outside"))
+    return spans.select(*by).join(n, by, "left").fillna(0)
+
+
+def direct_union(seeds: DataFrame, regions: DataFrame, keys: Sequence[str], time: str, radius: int) -> DataFrame:
+    """keys and same: whether the regions (left, right) are just the union of the windows of single seeds (time, low, high), and widest, the largest step between seeds of a core (core_id), which says when they must be."""
+    windows = seeds.select(*keys, F.greatest(F.col(time) - radius, F.col("low")).alias("left"), F.least(F.col(time) + radius, F.col("high")).alias("right"))
+    union = merge_intervals(windows, keys).groupBy(*keys, "region_id").agg(F.min("left").alias("left"), F.max("right").alias("right"))
+    side = lambda df, n: df.select(*keys, "left", "right", F.lit(n).alias("_side"))
+    each = side(union, 1).unionByName(side(regions, -1)).groupBy(*keys, "left", "right").agg(F.sum("_side").alias("_d"))
+    same = each.groupBy(*keys).agg(F.bool_and(F.col("_d") == 0).alias("same"))
+    step = F.col(time) - F.lag(time).over(Window.partitionBy(*keys, "core_id").orderBy(time))
+    return same.join(seeds.withColumn("_step", step).groupBy(*keys).agg(F.coalesce(F.max("_step"), F.lit(0)).alias("widest")), list(keys), "left")

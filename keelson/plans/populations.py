@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import questions
-from ..operators import contracts, reports, sets, temporal
+from ..operators import contracts, pools, ranking, reports, sets, temporal
 from .registry import query
-from .views import HOUR, QUESTION, SQL_C, SQL_R, SQL_T, candidates, regions, results, table
+from .views import GAP, HOUR, QUESTION, RADIUS, SQL_C, SQL_R, SQL_T, bounds, candidates, cores, regions, results, table, windows
 
 ITEM = ["question_id", "candidate_index"]
 
@@ -88,3 +88,38 @@ def parsed_output(spark, sf):
     o = questions.object_queries(objects, ask, F.array(*(F.lit(x) for x in ("a", "b", "c", "d"))))
     found = e.select("event_id", questions.facts(raw, F.lit(False)).alias("f"), o.alias("o"))
     return found.select("event_id", "f.reason", F.array_join("f.observations", "|").alias("texts"), "f.strict", F.when(F.col("o.reason").isNull(), F.array_join("o.known", "|")).otherwise("bad").alias("known"))
+
+
+@query(f"""WITH {SQL_R}, h AS (SELECT question_id, l, r FROM i WHERE seeds >= 3), f AS (SELECT question_id, source_pts, event_id % 8 = 1 AS selected FROM c WHERE event_id % 4 = 1),
+m AS (SELECT f.*, g.region_id, NOT EXISTS (SELECT 1 FROM h WHERE h.question_id = f.question_id AND f.source_pts BETWEEN h.l AND h.r) AS cold FROM f JOIN g ON f.question_id = g.question_id AND f.source_pts BETWEEN g.l AND g.r)
+SELECT g.question_id, g.region_id, count(m.source_pts) AS fine, count(CASE WHEN cold THEN 1 END) AS fine_outside, count(CASE WHEN selected THEN 1 END) AS selected_fine, count(CASE WHEN selected AND cold THEN 1 END) AS selected_outside
+FROM g LEFT JOIN m ON g.question_id = m.question_id AND g.region_id = m.region_id GROUP BY ALL""")
+def fine_rows(spark, sf):
+    """Every fourth event as a fine row: how many lie in each region, and how many of them outside the windows of cores with three seeds."""
+    c = candidates(spark, sf)
+    cores = temporal.merge_intervals(windows(c), QUESTION)
+    return reports.fine_summary(cores, c.where("event_id % 4 = 1").select("question_id", "source_pts", (F.col("event_id") % 8 == 1).alias("selected")), QUESTION, "source_pts", 24 * HOUR)
+
+
+@query(f"""WITH {SQL_R}, x AS (SELECT k.question_id, greatest(source_pts - {RADIUS}, low) AS l, least(source_pts + {RADIUS}, high) AS r FROM k JOIN b USING (question_id)),
+y AS (SELECT *, sum(CASE WHEN l > p THEN 1 ELSE 0 END) OVER (PARTITION BY question_id ORDER BY l, r) AS n FROM (SELECT *, max(r) OVER (PARTITION BY question_id ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM x)),
+u AS (SELECT question_id, min(l) AS l, max(r) AS r FROM y GROUP BY question_id, n), d AS (SELECT question_id, count(u.l) = count(*) AND count(g.l) = count(*) AS same FROM u FULL JOIN g USING (question_id, l, r) GROUP BY question_id),
+sw AS (SELECT question_id, coalesce(max(step), 0) AS widest FROM (SELECT question_id, source_pts - lag(source_pts) OVER (PARTITION BY question_id, core_id ORDER BY source_pts) AS step FROM k) GROUP BY question_id)
+SELECT question_id, same, widest FROM d JOIN sw USING (question_id)""")
+def direct_unions(spark, sf):
+    """Whether each user's regions are the union of the windows of their seeds, and the widest step within a core."""
+    c = candidates(spark, sf)
+    return reports.direct_union(cores(c).join(bounds(c), QUESTION), regions(c), QUESTION, "source_pts", RADIUS)
+
+
+@query(f"""WITH {SQL_C}, x AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, source_pts, candidate_index) AS a, row_number() OVER (PARTITION BY question_id ORDER BY (event_id * 7) % 97 / 97.0::DOUBLE DESC, source_pts, candidate_index) AS b FROM c),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY least(a, b), source_pts, candidate_index) AS f FROM x) WHERE f <= 16),
+k AS (SELECT *, sum(o) OVER (PARTITION BY question_id ORDER BY source_pts, candidate_index) AS core_id FROM (SELECT *, CASE WHEN source_pts - lag(source_pts) OVER (PARTITION BY question_id ORDER BY source_pts, candidate_index) > {GAP} THEN 1 ELSE 0 END AS o FROM s))
+SELECT question_id, CAST(core_id AS BIGINT) AS core_id, count(*) AS seeds, min(source_pts) AS first, max(source_pts) AS last, arg_min(candidate_index, (-score, source_pts)) AS anchor, round(max(score), 9) AS peak FROM k GROUP BY question_id, core_id""")
+def route_plans(spark, sf):
+    """Cores of sixteen seeds that two routes share, with anchors by the first route's score."""
+    c = candidates(spark, sf)
+    two = F.explode(F.array(F.struct(F.lit("score").alias("view"), F.col("score").alias("s")), F.struct(F.lit("late").alias("view"), (F.pmod(F.col("event_id") * 7, F.lit(97)) / 97.0).alias("s"))))
+    v = c.select(*ITEM, "source_pts", two.alias("v")).select(*ITEM, "source_pts", "v.*")
+    seeds = ranking.fused_min(v, QUESTION, "view", ["source_pts", "candidate_index"], 16, "s")
+    return pools.seed_plan(c, seeds, QUESTION, "candidate_index", "source_pts", "score", GAP).withColumn("peak", F.round("peak", 9))

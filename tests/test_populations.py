@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from keelson.operators import contracts, reports, sets, temporal
+from keelson.operators import contracts, pools, reports, sets, temporal
 
 
 def test_frozen_manifest(spark):
@@ -62,3 +62,17 @@ def test_group_profile(spark):
     r = got["a", "all"]
     assert (r["n"], r["right_m"], r["rate_n"], r["cell_both"], r["mean_p"], r["median_p"]) == (3, 2, pytest.approx(2 / 3), 1, 3.0, 3.0)
     assert (got["all", "all"]["median_p"], got["b", "x"]["right_m"], got["a", "x"]["cell_left"]) == (4.0, 0, 1)
+
+
+def test_fine_rows_and_direct_unions(spark):
+    cores = spark.createDataFrame([(1, 0, 4, 0, 10), (1, 0, 1, 8, 20), (1, 1, 2, 40, 50)], "q int, region_id int, seeds int, left long, right long")
+    fine = spark.createDataFrame([(1, t, t % 2 == 0) for t in (3, 9, 15, 18, 30, 44)], "q int, t long, selected boolean")
+    got = {r["region_id"]: tuple(r)[2:] for r in reports.fine_summary(cores, fine, ["q"], "t", 7).collect()}
+    assert got == {0: (4, 2, 1, 1), 1: (1, 1, 1, 1)}
+    seeds = spark.createDataFrame([(1, 0, 5, 0, 100), (1, 0, 9, 0, 100), (1, 1, 30, 0, 100), (2, 0, 5, 0, 100), (2, 0, 20, 0, 100)], "q int, core_id int, t long, low long, high long")
+    regions = spark.createDataFrame([(1, 1, 13), (1, 26, 34), (2, 1, 24)], "q int, left long, right long")
+    assert {r["q"]: (r["same"], r["widest"]) for r in reports.direct_union(seeds, regions, ["q"], "t", 4).collect()} == {1: (True, 4), 2: (False, 15)}
+    pool = spark.createDataFrame([(1, i, 10 * i, s) for i, s in enumerate((0.1, 0.5, 0.5, 0.9, 0.2))], "q int, i int, t long, score double")
+    chosen = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (1, 1), (1, 4)], "q int, i int")
+    plan = {r["core_id"]: (r["seeds"], r["first"], r["last"], r["anchor"], r["peak"]) for r in pools.seed_plan(pool, chosen, ["q"], "i", "t", "score", 15).collect()}
+    assert plan == {0: (3, 0, 20, 1, 0.5), 1: (1, 40, 40, 4, 0.2)}
