@@ -15,6 +15,11 @@ STOP = (
 ).split()
 #: fixed values: words that name no one, before "in the video"
 ROLES = ("protagonist", "hero", "heroine", "man", "woman", "boy", "girl", "person")
+#: fixed values: what counts as a word, as a tag, as a control character, and how a question of time opens
+WORD = "[a-z]+(?:'[a-z]+)*|[0-9]+"
+TAG = "<[^>]*>"
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+OPENING = r"what\s+time\s+(?:do|does|did)\s+"
 LETTERS = "ABCD"
 BLANK = r"^\s+|\s+$"
 
@@ -31,7 +36,7 @@ def stripped(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Words, with inner apostrophes, and numbers, in lower case and in order."""
     plain = F.translate(F.lower(text), "‘’", "''")
-    return F.regexp_extract_all(plain, F.lit("[a-z]+(?:'[a-z]+)*|[0-9]+"), F.lit(0))
+    return F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))
 
 
 def _more(a: Column, b: Column) -> Column:
@@ -49,7 +54,7 @@ def rewriting(question: Column, raw: Column, truncated: Column) -> Column:
 
     def check(query: Column) -> Column:
         low = F.lower(query)
-        marker = query.rlike("<[^>]*>") | query.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
+        marker = query.rlike(TAG) | query.rlike(CONTROL)
         for letter in LETTERS:
             marker = marker | query.contains(f"[{letter}]")
         pieces = F.split(low, r"\s+")
@@ -155,7 +160,6 @@ def event_clause(question: Column) -> Column:
     question is an error.
     """
     low = F.lower(question)
-    opening = r"what\s+time\s+(?:do|does|did)\s+"
 
     def read(m: Column) -> Column:
         begin, after = m["begin"], m["begin"] + F.char_length(m["opening"]) - 1  # characters up to the clause
@@ -174,7 +178,7 @@ def event_clause(question: Column) -> Column:
         whole = lambda reason: F.struct(question.alias("clause"), F.lit(0).alias("start"), F.char_length(question).alias("end"), F.lit("").alias("subject"), F.lit(reason).alias("reason"))
         return F.when(begin == 0, whole("unsupported")).when(~neutral, whole("leading_condition")).otherwise(found)
 
-    hit = F.struct(F.regexp_instr(low, F.lit(opening)).alias("begin"), F.regexp_extract(low, opening, 0).alias("opening"))
+    hit = F.struct(F.regexp_instr(low, F.lit(OPENING)).alias("begin"), F.regexp_extract(low, OPENING, 0).alias("opening"))
     blank = F.coalesce(stripped(question) == "", F.lit(True))
     return F.when(blank, F.raise_error(F.lit("a question is needed")).cast("struct<clause:string,start:int,end:int,subject:string,reason:string>")).otherwise(_bound(hit, read))
 
