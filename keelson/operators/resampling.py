@@ -25,10 +25,14 @@ def _name(key: Column, seed: int, block: Column) -> Column:
 def poisson_sums(units: DataFrame, key: Column, by: Sequence[str], measures: Sequence[str], draws: int, seed: int) -> DataFrame:
     """by, draw, w and each measure: sums over units of their weight, and of weight times measure. Rows of one key have the same weights."""
     h = F.md5(_name(F.col("_key"), seed, F.col("_block")).cast("binary"))
-    u = lambda i: F.conv(F.substring("_md5", 4 * i + 1, 4), 16, 10).cast("int")
+    # four hexadecimal digits a draw, read twelve at a time
+    part = lambda g: F.conv(F.substring("_md5", 12 * g + 1, 12 if g < 2 else 8), 16, 10).cast("long").alias(f"_p{g}")
+    u = lambda i: F.shiftright(f"_p{i // 3}", 16 * ((2 if i < 6 else 1) - i % 3)).bitwiseAND(F.lit(0xFFFF)).cast("int")
     weight = lambda i: sum(((F.col(f"_u{i}") >= t).cast("int") for t in STEPS), F.lit(0))
-    d = units.select(*by, *(F.col(m).cast("double").alias(m) for m in measures), key.alias("_key")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // EACH) - 1))))
-    d = d.select(*by, *measures, "_block", h.alias("_md5")).select(*by, *measures, "_block", *(u(i).alias(f"_u{i}") for i in range(EACH))).select(*by, *measures, "_block", *(weight(i).alias(f"_w{i}") for i in range(EACH)))
+    d = units.select(*by, *(F.col(m).cast("double").alias(m) for m in measures), key.alias("_key"))
+    # few units make many rows: dealt out by number, or adaptive execution would leave them in one task
+    d = d.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // EACH) - 1))))
+    d = d.select(*by, *measures, "_block", h.alias("_md5")).select(*by, *measures, "_block", *map(part, range(3))).select(*by, *measures, "_block", *(u(i).alias(f"_u{i}") for i in range(EACH))).select(*by, *measures, "_block", *(weight(i).alias(f"_w{i}") for i in range(EACH)))
     sums = d.groupBy(*by, "_block").agg(*(F.sum(f"_w{i}").alias(f"_w{i}") for i in range(EACH)), *(F.sum(F.col(f"_w{i}") * F.col(m)).alias(f"_{m}{i}") for i in range(EACH) for m in measures))
     rows = F.array(*(F.struct((F.col("_block") * EACH + i).alias("draw"), F.col(f"_w{i}").alias("w"), *(F.col(f"_{m}{i}").alias(m) for m in measures)) for i in range(EACH)))
     return sums.select(*by, F.explode(rows).alias("_r")).select(*by, "_r.*").where(F.col("draw") < draws)
