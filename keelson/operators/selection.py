@@ -524,9 +524,9 @@ def boundary_exchange(times: np.ndarray, scores: np.ndarray, k: int = 16, most:
     return sorted(now)
 
 
-def low_loss_swap(refs: np.ndarray, taken: Sequence[int], add: int, sim: np.ndarray, protected: set[int], prefer: int | None = None, band: float = 1e-6) -> list[int]:
-    """add comes in, the unprotected row of the least coverage loss goes; within the band the preferred one."""
-    now = [*taken, add]
+def low_loss_swap(refs: np.ndarray, taken: Sequence[int], add: int | None, sim: np.ndarray, protected: set[int], prefer: int | None = None, band: float = 1e-6) -> list[int]:
+    """add (if any) comes in, the unprotected row of the least coverage loss goes; within the band the preferred one."""
+    now = list(taken) if add is None else [*taken, add]
     loss = dict(zip(now, removal_losses(refs, now, sim), strict=True))
     free = {i: x for i, x in loss.items() if i not in protected and i != add}
     if not free:

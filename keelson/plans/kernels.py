@@ -79,7 +79,10 @@ def _exchange(rows, x):
 @kernel("low_loss_swap", "region long, vec_id long", S.LOW_LOSS)
 def _low_loss(rows, x):
     held = _best(rows, 5)
-    return [(int(rows["vec_id"].iloc[i]),) for i in selection.low_loss_swap(np.arange(len(rows)), held[:4], held[4], selection.clipped_cosines(x), {held[0]})]
+    if len(held) < 2:
+        return []  # a lone row has nothing to give way, and the SQL has no row of it
+    add = held[4] if len(held) == 5 else None  # in a region of fewer, nothing comes in
+    return [(int(rows["vec_id"].iloc[i]),) for i in selection.low_loss_swap(np.arange(len(rows)), held[:4], add, selection.clipped_cosines(x), {held[0]})]
 
 
 @query(S.CORE_ANCHOR)

@@ -5,6 +5,9 @@ import math
 import os
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from keelson.plans import audits, files, geometry, kernels, populations, repairs, resamples, streams, tables, texts  # noqa: F401
@@ -40,3 +43,20 @@ def test_query_equals_sql(spark, duck, name):
         assert got == sorted(tuple(canon(r[i]) for i in at) for r in want.fetchall())
     else:  # a kernel that a test of its own holds against brute force
         assert got and name == "wavelet_segments"
+
+
+def agree_on_vectors(spark, path, name, labels, vectors):
+    t = pa.table({"vec_id": pa.array(range(len(labels)), pa.int64()), "label": pa.array(labels, pa.int32()), "embedding": pa.array(vectors, pa.list_(pa.float32()))})
+    pq.write_table(t, f"{path}/embeddings.parquet")
+    got = Q.QUERIES[name](spark, str(path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/embeddings.parquet'")
+    want = con.sql(Q.ORACLE_SQL[name])
+    key = lambda r: tuple(map(canon, r))
+    assert sorted(map(key, got.select(*want.columns).collect())) == sorted(map(key, want.fetchall()))
+
+
+def test_low_loss_swap_in_regions_of_fewer_rows_than_it_takes(spark, tmp_path):
+    sizes = [1, 2, 3, 4, 5, 6]
+    labels = [k for k, n in enumerate(sizes) for _ in range(n)]
+    agree_on_vectors(spark, tmp_path, "low_loss_swap", labels, np.random.default_rng(1).random((len(labels), 6)).tolist())
