@@ -26,6 +26,11 @@ def clipped_cosines(x: np.ndarray) -> np.ndarray:
     return np.clip(x @ x.T, 0.0, 1.0)
 
 
+def stepped(sim: np.ndarray) -> np.ndarray:
+    """Similarities to the nearest 2^-30: their sums are exact in any order, so rows that are equally good are equal, and the tie goes by key order."""
+    return np.floor(sim * 2.0**30 + 0.5) / 2.0**30
+
+
 def first_best(score: np.ndarray, open_: np.ndarray) -> int:
     """The open row of the largest score, the first of equals; -1 if none is open."""
     at = np.flatnonzero(open_)
@@ -67,12 +72,12 @@ def prefix(region: Region, gain: np.ndarray, sim: np.ndarray, k: int, local: Cal
 
 
 def facility_prefix(region: Region, sim: np.ndarray, k: int, weights: np.ndarray | None = None) -> list[int]:
-    """Members in greedy order by weighted gain of coverage of the references."""
+    """Members in greedy order by weighted gain of coverage of the references (its mean without weights)."""
     m, r = region.members, region.references
-    w = np.full(len(r), 1 / max(1, len(r))) if weights is None else weights
     taken, covered, open_ = [region.anchor], sim[r, region.anchor].copy(), m != region.anchor
     while len(taken) < min(k, len(m)):
-        i = first_best((w[:, None] * np.maximum(0.0, sim[np.ix_(r, m)] - covered[:, None])).sum(0), open_)
+        rise = np.maximum(0.0, sim[np.ix_(r, m)] - covered[:, None])
+        i = first_best(rise.sum(0) / max(1, len(r)) if weights is None else (weights[:, None] * rise).sum(0), open_)
         if i < 0:
             break
         taken.append(int(m[i]))
@@ -87,10 +92,10 @@ def coverage_curve(region: Region, order: Sequence[int], sim: np.ndarray, scores
     covered, out = np.zeros(len(r)), [0.0]
     w = None
     if scores is not None and len(r) and scores[r].sum() > 0 and np.ptp(scores[r]) > 0:
-        w = scores[r] / scores[r].sum()
+        w = scores[r] / np.cumsum(scores[r])[-1]
     for i in order:
         covered = np.maximum(covered, sim[r, i])
-        value = float(covered.mean() if w is None else w @ covered) if len(r) else 0.0
+        value = float(covered.mean() if w is None else np.cumsum(w * covered)[-1]) if len(r) else 0.0  # weighted: summed in key order
         out.append(value if w is None else min(1.0, max(out[-1], value)))
     return np.array(out)
 
@@ -410,7 +415,7 @@ def select_by_regions(df: DataFrame, question: str, budget: int, variant: str =
 
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         x, r = unit_rows(np.stack(rows[vec].to_list())), rows[score].to_numpy(float)
-        sim, of = clipped_cosines(x), rows[region].to_numpy()
+        sim, of = stepped(clipped_cosines(x)), rows[region].to_numpy()
         top = np.argsort(-r, kind="stable")[:seeds]
         regions = []
         for k in sorted(set(of[top])):

@@ -11,12 +11,15 @@ from .views import SQL_V
 BUDGET, SEEDS = 32, 16
 COS = "CASE WHEN a.n > 0 AND b.n > 0 THEN list_dot_product(a.e, b.e) / (a.n * b.n) ELSE 0.0 END"
 CLIPPED = f"greatest(0.0, least(1.0, {COS}))"
+#: to the nearest 2^-30, so that sums are exact in any order and equals are equal
+STEP = "floor({} * 1073741824 + 0.5) / 1073741824"
+STEPPED = STEP.format(CLIPPED)
 
 _LISTS = f"""sd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, vec_id) AS rk FROM v) WHERE rk <= {SEEDS}),
 rg AS (SELECT question, region, arg_min(vec_id, rk) AS anchor, max(score) AS top, min(density) AS weight FROM sd GROUP BY question, region),
 mb AS (SELECT v.*, anchor, weight, top, row_number() OVER (PARTITION BY question ORDER BY vec_id) AS i, dense_rank() OVER (PARTITION BY question ORDER BY region) AS g FROM v JOIN rg USING (question, region)),
-sm AS (SELECT a.question, a.i, list(CASE WHEN a.g = b.g THEN {CLIPPED} ELSE 0.0 END ORDER BY b.i) AS s FROM mb a JOIN mb b USING (question) GROUP BY a.question, a.i),
-gn AS (SELECT a.question, a.i, max({CLIPPED} * CASE WHEN a.top > 0 THEN b.score / a.top ELSE 1.0 END) AS gain FROM mb a JOIN sd b USING (question, region) GROUP BY a.question, a.i),
+sm AS (SELECT a.question, a.i, list(CASE WHEN a.g = b.g THEN {STEPPED} ELSE 0.0 END ORDER BY b.i) AS s FROM mb a JOIN mb b USING (question) GROUP BY a.question, a.i),
+gn AS (SELECT a.question, a.i, max({STEPPED} * CASE WHEN a.top > 0 THEN b.score / a.top ELSE 1.0 END) AS gain FROM mb a JOIN sd b USING (question, region) GROUP BY a.question, a.i),
 q AS (SELECT question, list(vec_id ORDER BY i) AS ids, list(g ORDER BY i) AS g, list(gain ORDER BY i) AS gain, list(score ORDER BY i) AS score, list(s ORDER BY i) AS s, list(weight ORDER BY i) AS weight,
       list(i ORDER BY g) FILTER (WHERE vec_id = anchor) AS anchors, count(*) AS m, max(g) AS r FROM mb JOIN sm USING (question, i) JOIN gn USING (question, i) GROUP BY question)"""
 
@@ -60,7 +63,7 @@ def prefixes(value: str = "gain[k] * sqrt(greatest(0.0, 1 - near[k]))", weighted
         FROM pf JOIN q USING (question){st} WHERE len(taken) < least({BUDGET}, m, len(list_filter(g, lambda y: y = z)))))))"""
 
 
-FACILITY = "list_sum(list_transform(near, lambda y, j: CASE WHEN g[j] = z THEN greatest(0.0, s[k][j] - y) / len(list_filter(g, lambda u: u = z)) ELSE 0.0 END))"
+FACILITY = "list_sum(list_transform(near, lambda y, j: CASE WHEN g[j] = z THEN greatest(0.0, s[k][j] - y) ELSE 0.0 END)) / len(list_filter(g, lambda u: u = z))"
 
 
 def selected_by_competition(local: str, priority: str) -> str:

@@ -14,6 +14,7 @@ from keelson.plans import audits, files, geometry, kernels, populations, repairs
 from keelson.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
+STEPPED = ["select_coverage", "select_decoupled", "select_equal_coverage", "select_optional_coverage", "select_relevance_coverage", "select_facility"]
 
 
 def canon(v):
@@ -60,3 +61,12 @@ def test_low_loss_swap_in_regions_of_fewer_rows_than_it_takes(spark, tmp_path):
     sizes = [1, 2, 3, 4, 5, 6]
     labels = [k for k, n in enumerate(sizes) for _ in range(n)]
     agree_on_vectors(spark, tmp_path, "low_loss_swap", labels, np.random.default_rng(1).random((len(labels), 6)).tolist())
+
+
+@pytest.mark.parametrize("name", STEPPED)
+def test_rows_that_are_equally_good_go_by_key_order(spark, tmp_path, name):
+    """Vectors in few directions and many lengths: what is equal in exact numbers differs in the last bits of the one or other way to reckon it."""
+    rng = np.random.default_rng(5)
+    ways = rng.integers(-3, 9, (9, 12))
+    vectors = ways[rng.integers(0, 9, 300)] * rng.integers(1, 8, (300, 1))
+    agree_on_vectors(spark, tmp_path, name, (np.arange(300) % 6).tolist(), vectors.tolist())
