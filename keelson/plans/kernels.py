@@ -72,7 +72,7 @@ def _best(rows, n):
 @kernel("best_exchange", "region long, removed long, added long, gain double", S.EXCHANGE)
 def _exchange(rows, x):
     held = _best(rows, 4)
-    got = selection.best_exchange(np.arange(len(rows)), held, [i for i in range(len(rows)) if i not in held], selection.clipped_cosines(x))
+    got = selection.best_exchange(np.arange(len(rows)), held, [i for i in range(len(rows)) if i not in held], selection.stepped(selection.clipped_cosines(x)))
     return [(int(rows["vec_id"].iloc[got[1]]), int(rows["vec_id"].iloc[got[2]]), round(got[0], 9))] if got else []
 
 

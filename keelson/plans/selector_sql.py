@@ -165,7 +165,7 @@ PAIRS = f"""WITH RECURSIVE {BY_REGION}, r AS (
 SELECT region, ids[j] AS a, ids[j + 1] AS b FROM (SELECT region, unnest(p1) AS j FROM r JOIN q USING (region) WHERE i = m) JOIN q USING (region)"""
 
 _TOP = "list_slice(list_transform(list_sort(list_transform(range(1, m + 1), lambda k: struct_pack(a := -score[k], k := k))), lambda x: x.k), 1, {n})"
-EXCHANGE = f"""WITH {BY_REGION}, o AS (SELECT *, {_TOP.format(n=4)} AS held FROM q),
+EXCHANGE = f"""WITH {BY_REGION.replace(CLIPPED, STEPPED)}, o AS (SELECT *, {_TOP.format(n=4)} AS held FROM q),
 x AS (SELECT *, list_avg(list_transform(range(1, m + 1), lambda k: list_max(list_transform(held, lambda j: c[j][k])))) AS now, unnest(held) AS gone FROM o),
 y AS (SELECT *, unnest(list_filter(range(1, m + 1), lambda k: NOT list_contains(held, k))) AS come FROM x),
 z AS (SELECT region, ids[gone] AS removed, ids[come] AS added, list_avg(list_transform(range(1, m + 1), lambda k: greatest(c[come][k], list_max(list_transform(list_filter(held, lambda j: j <> gone), lambda j: c[j][k]))))) - now AS gain FROM y)
