@@ -45,7 +45,7 @@ def _text_state(rows, x):
 
 @kernel("temporal_coverage_prefix", CHOICE, S.TEMPORAL_COVERAGE)
 def _temporal_coverage(rows, x):
-    return _steps(rows, selection.facility_prefix(_whole(rows), selection.temporal_similarity(rows["vec_id"].to_numpy(float)), 8))
+    return _steps(rows, selection.facility_prefix(_whole(rows), selection.stepped(selection.temporal_similarity(rows["vec_id"].to_numpy(float))), 8))
 
 
 @kernel("literal_prefix", CHOICE, S.LITERAL)

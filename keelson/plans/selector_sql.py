@@ -143,11 +143,11 @@ SB = greedy("NULL", "(0.5 * score[k] + 0.5 * best[k] / (1 + len(list_filter(take
 _FIRST = "list_position(score, list_max(score))"
 _VISUAL = "score[k] * sqrt(greatest(0.0, 1 - near[k]))"
 _JACCARD = "CASE WHEN len(tok[k]) = 0 THEN 1.0 ELSE len(list_intersect(tok[k], tok[i])) / len(list_distinct(list_concat(tok[k], tok[i])))::DOUBLE END"
-_SPAN = "(CASE WHEN list_max(t) = list_min(t) THEN 1.0 ELSE 1 - power((t[{a}] - t[{b}]) / (list_max(t) - list_min(t)), 2) END)"
+_SPAN = "(" + STEP.format("(CASE WHEN list_max(t) = list_min(t) THEN 1.0 ELSE 1 - power((t[{a}] - t[{b}]) / (list_max(t) - list_min(t)), 2) END)") + ")"
 _UNSEEN = "len(list_filter(tok[k], lambda x: len(list_filter(taken, lambda j: list_contains(tok[j], x))) = 0))"
 VISUAL_TEMPORAL = greedy(_FIRST, _VISUAL, "greatest({old}, c[i][k] * exp(-abs(t[i] - t[k]) / 40))", "least(8, m)")
 TEXT_STATE = greedy(_FIRST, _VISUAL, f"greatest({{old}}, c[i][k] * ({_JACCARD}))", "least(8, m)")
-TEMPORAL_COVERAGE = greedy(_FIRST, f"list_sum(list_transform(near, lambda y, j: greatest(0.0, {_SPAN.format(a='j', b='k')} - y) / m))", "greatest({old}, " + _SPAN.format(a="i", b="k").replace("{", "{{").replace("}", "}}") + ")", "least(8, m)")
+TEMPORAL_COVERAGE = greedy(_FIRST, f"list_sum(list_transform(near, lambda y, j: greatest(0.0, {_SPAN.format(a='j', b='k')} - y))) / m", "greatest({old}, " + _SPAN.format(a="i", b="k").replace("{", "{{").replace("}", "}}") + ")", "least(8, m)")
 LITERAL = greedy(_FIRST, f"score[k] * sqrt(greatest(0.0, 1 - CASE WHEN len(tok[k]) = 0 THEN near[k] ELSE near[k] * (1 - {_UNSEEN} / len(tok[k])::DOUBLE) END))", "greatest({old}, c[i][k])", "least(8, m)")
 
 RUNS = f"""WITH RECURSIVE {BY_REGION}, r AS (

@@ -14,7 +14,7 @@ from keelson.plans import audits, files, geometry, kernels, populations, repairs
 from keelson.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
-STEPPED = ["best_exchange", "select_coverage", "select_decoupled", "select_equal_coverage", "select_optional_coverage", "select_relevance_coverage", "select_facility"]
+STEPPED = ["best_exchange", "select_coverage", "select_decoupled", "select_equal_coverage", "select_optional_coverage", "select_relevance_coverage", "select_facility", "temporal_coverage_prefix"]
 
 
 def canon(v):
