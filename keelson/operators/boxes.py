@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import edit_change
+from ..sources.shared import shuffled
 from . import matching
 
 SIDES = ("x1", "y1", "x2", "y2")
@@ -62,7 +63,7 @@ def overlapping(pairs: DataFrame, placed: DataFrame, grid: int = 8) -> DataFrame
     def side(frame: str, name: str) -> DataFrame:
         return spread.select(F.col("frame").alias(frame), F.col("region").alias(name), F.col("text").alias(f"{name}_text"), *(F.col(c).alias(f"{name}_{c}") for c in SIDES), "cx", "cy")
 
-    met = pairs.select("left", "right").distinct().join(side("left", "a"), "left").join(side("right", "b"), ["right", "cx", "cy"])
+    met = pairs.select("left", "right").distinct().join(shuffled(side("left", "a")), "left").join(shuffled(side("right", "b")), ["right", "cx", "cy"])
     begin = lambda c: F.least(F.floor(F.greatest(f"a_{c}", f"b_{c}") * grid), F.lit(grid - 1))
     iou = intersection_over_union([F.col(f"a_{c}") for c in SIDES], [F.col(f"b_{c}") for c in SIDES])
     return met.where((begin("x1") == F.col("cx")) & (begin("y1") == F.col("cy"))).withColumn("iou", iou).where("iou > 0").select("left", "right", "a", "b", "iou", "a_text", "b_text")
@@ -72,8 +73,8 @@ def layout_changes(pairs: DataFrame, placed: DataFrame, grid: int = 8) -> DataFr
     """left, right and change: over boxes that are each other's only best overlap, the largest overlap times edit change of their texts; 0 where there are none."""
     met = overlapping(pairs, placed, grid)
     best = matching.mutual_best(met, ["left", "right"], "a", "b", "iou")
-    told = best.join(met.drop("iou"), ["left", "right", "a", "b"]).groupBy("left", "right").agg(F.max(F.col("iou") * edit_change(F.col("a_text"), F.col("b_text"))).alias("change"))
-    return pairs.select("left", "right").distinct().join(told, ["left", "right"], "left").select("left", "right", F.coalesce("change", F.lit(0.0)).alias("change"))
+    told = best.join(shuffled(met.drop("iou")), ["left", "right", "a", "b"]).groupBy("left", "right").agg(F.max(F.col("iou") * edit_change(F.col("a_text"), F.col("b_text"))).alias("change"))
+    return pairs.select("left", "right").distinct().join(shuffled(told), ["left", "right"], "left").select("left", "right", F.coalesce("change", F.lit(0.0)).alias("change"))
 
 
 def spatial_prefix(items: DataFrame, similar: Callable[[DataFrame], DataFrame], placed: DataFrame, saved: Callable[[DataFrame, int], DataFrame], budget: int, grid: int = 8) -> DataFrame:
@@ -85,10 +86,10 @@ def spatial_prefix(items: DataFrame, similar: Callable[[DataFrame], DataFrame],
     start = items.select("region", "item", "time", "support", "anchor", F.when(F.col("anchor"), 0).alias("step"), F.lit(0.0).alias("redundancy"))
     state, last = saved(start, 0), items.where("anchor").select("region", F.col("item").alias("right"))
     for step in range(1, budget):
-        pairs = state.select("region", F.col("item").alias("left")).join(last, "region").select("left", "right")
-        worth = similar(pairs).join(layout_changes(pairs, placed, grid), ["left", "right"])
+        pairs = state.select("region", F.col("item").alias("left")).join(shuffled(last), "region").select("left", "right")
+        worth = similar(pairs).join(shuffled(layout_changes(pairs, placed, grid)), ["left", "right"])
         fresh = worth.select(F.col("left").alias("item"), (F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c"))) * (1 - F.col("change"))).alias("new"))
-        state = state.join(fresh, "item", "left").withColumn("redundancy", F.greatest("redundancy", F.coalesce("new", F.lit(0.0)))).drop("new")
+        state = state.join(shuffled(fresh), "item", "left").withColumn("redundancy", F.greatest("redundancy", F.coalesce("new", F.lit(0.0)))).drop("new")
         score = F.when(F.col("step").isNull(), F.col("support") * F.sqrt(1 - F.col("redundancy")))
         place = F.row_number().over(Window.partitionBy("region").orderBy(score.desc_nulls_last(), "time", "item"))
         state = state.withColumn("step", F.when(F.col("step").isNull() & (place == 1), step).otherwise(F.col("step")))

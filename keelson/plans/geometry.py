@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import clipped, cosine
 from ..operators import boxes, matching
-from ..sources.shared import saved
+from ..sources.shared import saved, shuffled
 from .registry import query
 from .selector_sql import BY_REGION, greedy
 from .views import SQL_V, table, vectors
@@ -81,7 +81,7 @@ def items_of(spark, sf):
 def similar_by(items):
     """Clipped cosine of pairs of items."""
     a, b = (items.select(F.col("item").alias(s), F.col("embedding").alias(f"_{s}")) for s in ("left", "right"))
-    return lambda pairs: pairs.join(a, "left").join(b, "right").select("left", "right", clipped(cosine(F.col("_left"), F.col("_right"))).alias("c"))
+    return lambda pairs: pairs.join(shuffled(a), "left").join(shuffled(b), "right").select("left", "right", clipped(cosine(F.col("_left"), F.col("_right"))).alias("c"))
 
 
 @query(_LAYOUT.replace("CAST(step AS INTEGER) AS step, ids[i] AS vec_id", "ids[i] AS item, CAST(step - 1 AS INTEGER) AS step"))

@@ -32,6 +32,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is met by a shuffle whatever its size: files that are small as written, or rows that an explode makes of them, would else pass whole through the driver."""
+    return df.hint("merge")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keelson.operators import boxes, matching, temporal
+from keelson.plans.geometry import similar_by
 from keelson.sources.shared import saved
 
 
@@ -181,3 +182,12 @@ def test_nearest_of_disjoint_intervals_equals_brute_force(spark):
             d, _, s = min(own)
             want.append((k, i, s, d))
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_no_side_of_a_layout_join_is_broadcast(spark):
+    """Boxes are small in files and many by cell: a broadcast would take them all through the driver."""
+    one = spark.range(2).selectExpr("id AS frame", "id AS region", "'a' AS text", "0.1D AS x1", "0.1D AS y1", "0.9D AS x2", "0.9D AS y2")
+    items = spark.range(2).selectExpr("id DIV 2 AS region", "id AS item", "id AS time", "0.5D AS support", "id % 2 = 0 AS anchor", "array(1F, id) AS embedding")
+    pairs = spark.createDataFrame([(0, 1)], "left long, right long")
+    for df in (boxes.layout_changes(pairs, one), boxes.spatial_prefix(items, similar_by(items), one, lambda x, n: x, 2)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
