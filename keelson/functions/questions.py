@@ -159,28 +159,35 @@ def event_clause(question: Column) -> Column:
     The whole question, with a reason, where it is asked in another way (unsupported), or where something but "In the video," or "According to the video," leads it (leading_condition), which would be lost. A blank
     question is an error.
     """
-    low = F.lower(question)
 
-    def read(m: Column) -> Column:
+    def read(q: Column, low: Column, m: Column) -> Column:
         begin, after = m["begin"], m["begin"] + F.char_length(m["opening"]) - 1  # characters up to the clause
         lead = stripped(F.regexp_replace(stripped(F.substr(low, F.lit(1), begin - 1)), r"(^|\s)at$", ""))
         neutral = stripped(F.regexp_replace(lead, ",$", "")).isin("", "in the video", "according to the video")
-        rest = F.substr(question, after + 1)
-        w = F.split(F.lower(rest), r"\s+")
-        kind = F.get(w, F.lit(1)).isin("male", "female")
-        at = lambda i: F.get(w, F.when(kind, i + 1).otherwise(i))
-        role = F.get(w, F.lit(0)).isin("the", "a") & at(F.lit(1)).isin(*ROLES) & (at(F.lit(2)) == "in") & (at(F.lit(3)) == "the") & (at(F.lit(4)) == "video")
-        subject = F.when(F.coalesce(role, F.lit(False)), F.when(kind, F.regexp_extract(rest, r"^(?:\S+\s+){6}", 0)).otherwise(F.regexp_extract(rest, r"^(?:\S+\s+){5}", 0))).otherwise("")
-        start = after + F.char_length(subject)
-        ended = F.regexp_replace(question, r"\s*\??\s*$", "")
-        clause = F.substr(question, start + 1, F.greatest(F.char_length(ended) - start, F.lit(0)))
-        found = F.struct(clause.alias("clause"), start.alias("start"), (start + F.char_length(clause)).alias("end"), subject.alias("subject"), F.lit(None).cast("string").alias("reason"))
-        whole = lambda reason: F.struct(question.alias("clause"), F.lit(0).alias("start"), F.char_length(question).alias("end"), F.lit("").alias("subject"), F.lit(reason).alias("reason"))
+
+        def subject(rest: Column, w: Column) -> Column:
+            kind = F.get(w, F.lit(1)).isin("male", "female")
+            at = lambda i: F.get(w, F.when(kind, i + 1).otherwise(i))
+            role = F.get(w, F.lit(0)).isin("the", "a") & at(F.lit(1)).isin(*ROLES) & (at(F.lit(2)) == "in") & (at(F.lit(3)) == "the") & (at(F.lit(4)) == "video")
+            return F.when(F.coalesce(role, F.lit(False)), F.when(kind, F.regexp_extract(rest, r"^(?:\S+\s+){6}", 0)).otherwise(F.regexp_extract(rest, r"^(?:\S+\s+){5}", 0))).otherwise("")
+
+        def cut(x: Column) -> Column:
+            start = after + F.char_length(x["subject"])
+            none = F.lit(None).cast("string")
+            return _bound(F.substr(q, start + 1, F.greatest(x["ended"] - start, F.lit(0))), lambda clause: F.struct(clause.alias("clause"), start.alias("start"), (start + F.char_length(clause)).alias("end"), x["subject"].alias("subject"), none.alias("reason")))
+
+        named = _bound(F.substr(q, after + 1), lambda rest: _bound(F.split(F.lower(rest), r"\s+"), lambda w: subject(rest, w)))
+        found = _bound(F.struct(named.alias("subject"), F.char_length(F.regexp_replace(q, r"\s*\??\s*$", "")).alias("ended")), cut)
+        whole = lambda reason: F.struct(q.alias("clause"), F.lit(0).alias("start"), F.char_length(q).alias("end"), F.lit("").alias("subject"), F.lit(reason).alias("reason"))
         return F.when(begin == 0, whole("unsupported")).when(~neutral, whole("leading_condition")).otherwise(found)
 
-    hit = F.struct(F.regexp_instr(low, F.lit(OPENING)).alias("begin"), F.regexp_extract(low, OPENING, 0).alias("opening"))
-    blank = F.coalesce(stripped(question) == "", F.lit(True))
-    return F.when(blank, F.raise_error(F.lit("a question is needed")).cast("struct<clause:string,start:int,end:int,subject:string,reason:string>")).otherwise(_bound(hit, read))
+    def check(q: Column) -> Column:
+        hit = lambda low: F.struct(F.regexp_instr(low, F.lit(OPENING)).alias("begin"), F.regexp_extract(low, OPENING, 0).alias("opening"))
+        blank = F.coalesce(stripped(q) == "", F.lit(True))
+        told = _bound(F.lower(q), lambda low: _bound(hit(low), lambda m: read(q, low, m)))
+        return F.when(blank, F.raise_error(F.lit("a question is needed")).cast("struct<clause:string,start:int,end:int,subject:string,reason:string>")).otherwise(told)
+
+    return _bound(question, check)
 
 
 _NONE = "array<string>"

@@ -101,3 +101,10 @@ def test_object_queries(get):
     got = get(q.object_queries, *rows)
     assert [r["reason"] for r in got] == [None, "word", "word", "bound", "bound", "phrase", "phrase", "shape", "shape", "not_json", "word", "shape"]
     assert got[0]["known"] == ["bicycle", "two dogs", "a dog"] and got[0]["choices"] == [["red ball"], ["cat", "cats"], [], ["none"]] and got[1]["choices"] == [[]] * 4
+
+
+@pytest.mark.parametrize("made,sign,most", [(q.event_clause, "concat(", 2)])
+def test_a_text_is_worked_out_once(spark, made, sign, most):
+    """Functions inside lambdas share nothing by themselves: what is used twice must be bound, or each use works it out anew."""
+    df = spark.range(1).select(made(F.concat(F.col("id").cast("string"), F.lit("?"))))
+    assert df._jdf.queryExecution().analyzed().toString().count(sign) <= most
