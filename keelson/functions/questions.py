@@ -202,20 +202,24 @@ def facts(raw: Column, truncated: Column, fields: tuple[str, ...] = ("observatio
 
     Reasons: truncated, not_json, shape (other fields, or values of another kind), list (too many, or a blank one). What isn't valid has empty lists.
     """
-    inner = F.regexp_extract(stripped(raw), r"(?s)^```(?:json)?[ \t]*\n(.*)\n```$", 1)
-    fenced = inner != ""
     kinds = [f"OBJECT<{', '.join(f'{f}: ARRAY<{k}>' for f, k in zip(sorted(fields), ks, strict=True))}>" for ks in product(("STRING", "VOID"), repeat=len(fields))]
 
-    def read(v: Column) -> Column:
-        lists = {f: _texts(v, f"$.{f}") for f in fields}
-        good = F.lit(True)
-        for xs in lists.values():
-            good &= (F.size(xs) <= most) & F.forall(xs, lambda x: F.coalesce(stripped(x) != "", F.lit(False)))
-        reason = F.when(truncated, "truncated").when(v.isNull(), "not_json").when(~F.schema_of_variant(v).isin(*kinds), "shape").when(~good, "list")
-        none = F.array().cast(_NONE)
-        return F.struct(reason.isNull().alias("valid"), (reason.isNull() & ~fenced).alias("strict"), fenced.alias("fenced"), *(F.when(reason.isNull(), xs).otherwise(none).alias(f) for f, xs in lists.items()), reason.alias("reason"))
+    def read(v: Column, fenced: Column) -> Column:
+        def judge(x: Column) -> Column:
+            good = F.lit(True)
+            for f in fields:
+                good &= (F.size(x[f]) <= most) & F.forall(x[f], lambda t: F.coalesce(stripped(t) != "", F.lit(False)))
+            reason = F.when(truncated, "truncated").when(v.isNull(), "not_json").when(~F.schema_of_variant(v).isin(*kinds), "shape").when(~good, "list")
+            none = F.array().cast(_NONE)
+            return _bound(reason, lambda r: F.struct(r.isNull().alias("valid"), (r.isNull() & ~fenced).alias("strict"), fenced.alias("fenced"), *(F.when(r.isNull(), x[f]).otherwise(none).alias(f) for f in fields), r.alias("reason")))
+
+        return _bound(F.struct(*(_texts(v, f"$.{f}").alias(f) for f in fields)), judge)
+
+    def unfenced(text: Column) -> Column:
+        inner = F.regexp_extract(text, r"(?s)^```(?:json)?[ \t]*\n(.*)\n```$", 1)
+        return _bound(inner, lambda x: _bound(F.try_parse_json(F.when(x != "", x).otherwise(text)), lambda v: read(v, x != "")))
 
-    return _bound(F.try_parse_json(F.when(fenced, inner).otherwise(stripped(raw))), read)
+    return _bound(stripped(raw), unfenced)
 
 
 #: fixed values: small words that any phrase may hold, and what stands for an action's thing
@@ -239,17 +243,20 @@ def object_queries(raw: Column, question: Column, options: Column, known: int =
     kinds = [f"OBJECT<choices: ARRAY<{c}>, known: ARRAY<{k}>>" for c in ("ARRAY<STRING>", "ARRAY<VOID>") for k in ("STRING", "VOID")]
 
     def read(v: Column) -> Column:
-        groups = F.concat(F.array(_texts(v, "$.known")), F.coalesce(F.try_variant_get(v, "$.choices", "array<array<string>>"), F.array().cast("array<array<string>>")))
-        sources = F.concat(F.array(question), options)
-        every = F.flatten(groups)
-        fine = F.forall(every, lambda p: F.coalesce((stripped(p) != "") & (F.char_length(p) <= 80) & ~p.contains("\n"), F.lit(False)))
-        own = F.zip_with(groups, sources, lambda g, s: _bound(licensed(s), lambda words_: F.forall(g, lambda p: (F.size(letters(p)) > 0) & (F.size(F.array_except(letters(p), words_)) == 0))))
-        shaped = F.schema_of_variant(v).isin(*kinds) & (F.size(groups) == 5)
-        bounded = (F.size(F.get(groups, F.lit(0))) <= known) & F.forall(F.slice(groups, 2, 4), lambda g: F.size(g) <= each)
-        reason = F.when(v.isNull(), "not_json").when(~shaped, "shape").when(~bounded, "bound").when(~fine, "phrase").when(~F.forall(own, lambda x: x), "word")
-        plain = F.transform(groups, lambda g: F.array_distinct(F.transform(g, lambda p: F.array_join(letters(p), " "))))
         none = F.array().cast(_NONE)
-        ok = reason.isNull()
-        return F.struct(F.when(ok, F.get(plain, F.lit(0))).otherwise(none).alias("known"), F.when(ok, F.slice(plain, 2, 4)).otherwise(F.array_repeat(none, 4)).alias("choices"), reason.alias("reason"))
+
+        def judge(x: Column) -> Column:
+            groups, said = x["groups"], x["said"]
+            fine = F.forall(F.flatten(groups), lambda p: F.coalesce((stripped(p) != "") & (F.char_length(p) <= 80) & ~p.contains("\n"), F.lit(False)))
+            allowed = lambda g, s: _bound(licensed(s), lambda words_: F.forall(g, lambda p: (F.size(p) > 0) & (F.size(F.array_except(p, words_)) == 0)))
+            own = F.zip_with(said, F.concat(F.array(question), options), lambda g, s: F.when(F.size(g) == 0, True).otherwise(allowed(g, s)))
+            shaped = F.schema_of_variant(v).isin(*kinds) & (F.size(groups) == 5)
+            bounded = (F.size(F.get(groups, F.lit(0))) <= known) & F.forall(F.slice(groups, 2, 4), lambda g: F.size(g) <= each)
+            reason = F.when(v.isNull(), "not_json").when(~shaped, "shape").when(~bounded, "bound").when(~fine, "phrase").when(~F.forall(own, lambda y: y), "word")
+            plain = F.transform(said, lambda g: F.array_distinct(F.transform(g, lambda p: F.array_join(p, " "))))
+            return _bound(reason, lambda r: _bound(F.when(r.isNull(), plain), lambda ok: F.struct(F.when(r.isNull(), F.get(ok, F.lit(0))).otherwise(none).alias("known"), F.when(r.isNull(), F.slice(ok, 2, 4)).otherwise(F.array_repeat(none, 4)).alias("choices"), r.alias("reason"))))
+
+        groups = F.concat(F.array(_texts(v, "$.known")), F.coalesce(F.try_variant_get(v, "$.choices", "array<array<string>>"), F.array().cast("array<array<string>>")))
+        return _bound(_bound(groups, lambda g: F.struct(g.alias("groups"), F.transform(g, lambda ps: F.transform(ps, letters)).alias("said"))), judge)
 
     return _bound(F.try_parse_json(stripped(raw)), read)
