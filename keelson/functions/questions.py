@@ -74,12 +74,15 @@ def rewriting(question: Column, raw: Column, truncated: Column) -> Column:
 
 def _label(line: Column) -> Column:
     """struct(letter, length) of the option letter that a line begins with, (A), A. or A), with space after it; else null."""
-    bare = F.regexp_replace(line, r"^\s+", "")
-    at = lambda i: F.substring(bare, i, 1)
-    letter = F.when((at(1) == "(") & (at(3) == ")"), at(2)).when(at(2).isin(".", ")"), at(1))
-    size = F.when(at(1) == "(", 3).otherwise(2)
-    space = F.regexp_replace(F.substr(bare, size + 1, F.lit(1)), r"\s", "") == ""
-    return F.when(letter.isin(*LETTERS) & space, F.struct(letter.alias("letter"), (F.char_length(line) - F.char_length(bare) + size).alias("length")))
+
+    def read(bare: Column) -> Column:
+        at = lambda i: F.substring(bare, i, 1)
+        letter = F.when((at(1) == "(") & (at(3) == ")"), at(2)).when(at(2).isin(".", ")"), at(1))
+        size = F.when(at(1) == "(", 3).otherwise(2)
+        space = F.regexp_replace(F.substr(bare, size + 1, F.lit(1)), r"\s", "") == ""
+        return F.when(letter.isin(*LETTERS) & space, F.struct(letter.alias("letter"), (F.char_length(line) - F.char_length(bare) + size).alias("length")))
+
+    return _bound(F.regexp_replace(line, r"^\s+", ""), read)
 
 
 def problem(text: Column) -> Column:

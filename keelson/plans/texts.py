@@ -71,8 +71,8 @@ def option_problems(spark, sf):
     plain = F.concat_ws("\n", ask, F.concat(F.lit("A. "), a), F.concat(F.lit("(B) "), b), F.concat(F.lit("C)\t"), c), F.concat(F.lit(" D.  "), d, F.lit(" ")))
     other = F.concat_ws("\r\n", ask, F.concat(F.lit("D. "), d), F.concat(F.lit("A. "), a), F.concat(F.lit("B. "), b), F.concat(F.lit("C. "), c))
     text = F.when(form == 0, plain).when(form == 1, other).when(form == 2, F.replace(plain, F.lit("\n"), F.lit("\\n"))).otherwise(F.concat_ws("\n", ask, F.concat(F.lit("A. "), a), F.concat(F.lit("B. "), b)))
-    found = e.withColumn("p", questions.problem(text)).where("p IS NOT NULL")
-    return found.select("event_id", "p.question", F.array_join("p.options", "|").alias("options"), F.array_join("p.letters", "").alias("letters"))
+    found = e.select("event_id", F.inline(F.filter(F.array(questions.problem(text)), lambda p: p.isNotNull())))  # a filter over the row would read each text again
+    return found.select("event_id", "question", F.array_join("options", "|").alias("options"), F.array_join("letters", "").alias("letters"))
 
 
 @query("""
