@@ -58,6 +58,23 @@ def test_grid_state_across_batches_and_a_restart(spark, tmp_path):
         runs.run_now(job(), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
 
 
+def test_grid_state_is_one_row_a_bucket_whatever_its_keys(spark, tmp_path):
+    rows = [(None if k == 40 else f"k{k}", 5 * k + i * (1 + k % 3)) for k in range(41) for i in range(k % 5 + 1, 30)]
+    base, phase, rate = Fraction(1, 8), Fraction(1, 4), Fraction(1)
+    path = str(tmp_path / "in")
+    runs.land(spark.createDataFrame(rows, FRAMES), "tick", path, 3)
+    found = state.grid_stream(runs.follow(spark, path, spark.createDataFrame([], FRAMES).schema), "video", "tick", Grid.of(base, phase, rate), buckets=3)
+    with state.state_store(spark):
+        q = found.writeStream.format("memory").queryName("grid_buckets").option("checkpointLocation", str(tmp_path / "checkpoint")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+    ticks = {}
+    for v, t in rows:
+        ticks.setdefault(v, []).append(t)
+    want = [(v, *x) for v, ts in ticks.items() for x in answered(sorted(ts), base, phase, rate)]
+    assert sorted(map(tuple, spark.table("grid_buckets").collect()), key=str) == sorted(want, key=str)
+
+
 def test_lost_workers_appear_when_their_timer_fires(spark, tmp_path):
     start, path = datetime(2024, 1, 1), str(tmp_path / "in")
     schema = "worker string, at timestamp"
