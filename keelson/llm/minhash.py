@@ -39,7 +39,7 @@ from ._text import NOT_SPACE, U, Words, buffers, long_list, mix, pieces, shingle
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: how many bands together make a bucket in the rounds of step 4, and buckets of a text in these rounds
-FINER, BUCKETS = (1, 1, 2), 96
+FINER, BUCKETS = (1, 2), 96
 TILE, MARKS, SALTS = 2048, 4096, 16
 _PROBES = 512
 _probe = (np.vstack([mix(stream(101 + k, BINS)) for k in range(_PROBES)]) >> U(57)).astype(np.int64)
@@ -210,6 +210,11 @@ def _crossed(rows: DataFrame, comps: DataFrame, full: DataFrame, percent: int, s
     return scratch.save(met.mapInArrow(_crossing(percent), "a long, b long").distinct(), "crossed")
 
 
+def _merged(comps: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components over edges (a, b) more, from those without: their stars stand for the edges that made them."""
+    return connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
+
+
 def _same_ids(signed: DataFrame, member: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges (a, b) between an id and the classes of its texts, for ids that repeat with different sets, be one empty."""
     several = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("doc_id")
@@ -257,13 +262,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, scratch: Scr
         scratch.drop(stars)
         if not more.isEmpty():
             linked = linked.unionByName(more)
-            comps = scratch.save(connected_components(linked.unionByName(again), scratch), "components")
+            comps = scratch.save(_merged(comps, more, scratch), "components")
     # what no centre linked: all pairs across the components of a bucket
     crossed = _crossed(rows, comps, full, percent, scratch)
     if not crossed.isEmpty():
         more = scratch.save(_verified(crossed, full, percent), "linked")
         if not more.isEmpty():
-            comps = scratch.save(connected_components(linked.unionByName(more).unionByName(again), scratch), "components")
+            comps = scratch.save(_merged(comps, more, scratch), "components")
     # back to documents: those of a class with copies by their class, in SALTS groups each, as one class may hold a third of them; others by themselves
     shared = classes.where("copies > 1").join(comps, F.col("rep") == F.col("node"), "left").select(F.col("set_id").alias("_set"), F.coalesce("component", "rep").alias("of_class"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     home = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))

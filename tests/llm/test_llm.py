@@ -79,6 +79,12 @@ def test_components_equal_union_find(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).isEmpty()
 
 
+def test_components_of_stars_take_no_round(spark):
+    scratch = Scratch(spark)
+    got = connected_components(spark.createDataFrame([(k % 3, k) for k in range(3, 60)] + [(5, 5)], "a long, b long"), scratch)
+    assert sorted(map(tuple, got.collect())) == [(k, k % 3) for k in range(60)] and scratch.n == 1
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/ b", "x" * 5000), (2, None, "x" * 5000), (3, "u", None), (4, "u", ""), (None, "u", "ÿé\n"), (2, None, "x" * 5000), (5, "u", "P*M\x18\0\0\0\0"), (6, "u", "y" * 200_000)]
     pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, payload string")
