@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -528,6 +529,49 @@ def test_planted_passages_are_found_and_clean_texts_left(spark):
     assert passages.repeated_passages(table(spark, docs).limit(0)).isEmpty()
 
 
+def test_edited_passages_of_a_crowd_are_of_one_class_where_they_are_alike(spark):
+    """Texts that say one template, each with a word of its own anywhere, of which every second one differs from the one before by one word more: few are like any one of them."""
+    rng = np.random.default_rng(400)
+    text = lambda i, k: [f"f{i}_{k}_{j}" for j in range(int(rng.integers(0, 60)))]
+    said, rows = [], []
+    for i in range(240):
+        w = said[-1].copy() if i % 2 else [f"t{k}" for k in range(60)]
+        w[30 if i % 2 else int(rng.integers(0, 60))] = f"own{i}"
+        said.append(w)
+        rows.append((i, " ".join(text(i, 0) + w + text(i, 1))))
+    sets = [{tuple(w[k : k + 5]) for k in range(56)} for w in said]
+    pairs = [(i, j) for i in range(240) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    of = {}
+    for r in passages.repeated_passages(table(spark, rows).repartition(3)).collect():
+        assert r["similarity"] >= 0.8
+        of[r["doc_id"]] = of[r["other_doc_id"]] = r["class_id"]
+    assert sum(i in of and of[i] == of.get(j) for i, j in pairs) >= 0.97 * len(pairs)
+    # a tree of ways: rows 1 and 2 leave the rest at one token, and 3 one later
+    way = [[1, 2, 3, 4], [1, 2, 5, 0], [1, 2, 6, 0], [1, 2, 3, 7], [1, 2, 3, 4]]
+    order = sorted(range(5), key=lambda k: way[k])
+    lcp = [0] + [next((k for k in range(4) if way[a][k] != way[b][k]), 4) for a, b in itertools.pairwise(order)]
+    found = [{order[k] for k in own.tolist()} for _, own in passages._light(lcp, np.array(order))]
+    assert {1, 2} <= found[-1] and 3 in found[-1] and any(3 in x and 1 not in x for x in found) and {0, 4} in found
+
+
+def test_plain_verification_is_that_of_alike():
+    rng = np.random.default_rng(5)
+    text = lambda n: rng.integers(0, 2**31, n).astype(np.int32)
+    a, b = [], []
+    for t in range(300):
+        p = text(int(rng.integers(0, 120)))
+        q = p.copy()
+        for _ in range(t % 3 if len(p) else 0):
+            q[int(rng.integers(0, len(q)))] = 7
+        a.append(np.concatenate([text(t % 20), p, p[5:18] if t % 11 == 0 else p[:0], text(t % 7)]))
+        b.append(np.concatenate([text(t % 30), q, q[5:18] if t % 7 == 0 else q[:0]]))
+    lists = lambda x: pa.array([v.tolist() for v in x], pa.list_(pa.int32()))
+    n, zero = pa.array(np.arange(300)), pa.array(np.zeros(300, np.int64))
+    rows = next(passages._verified(iter([pa.RecordBatch.from_arrays([n, n, zero, zero, lists(a), lists(b)], ["a", "b", "lo_a", "lo_b", "seq_a", "seq_b"])]))).to_pylist()
+    got = sorted((r["doc_id"], r["start_word"], r["end_word"] - 4, r["other_start_word"], r["other_end_word"] - 4, r["similarity"]) for r in rows)
+    assert got and got == sorted((i, *f) for i in range(300) for f in passages.alike(passages._tokens(a[i]), passages._tokens(b[i])))
+
+
 def test_repeated_runs_are_all_inside_passages(spark):
     """Every run of 50 words that two documents hold, of texts made of a few shared lines and passages, some common to most."""
     rng = np.random.default_rng(31)
