@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -572,6 +573,60 @@ def test_plain_verification_is_that_of_alike():
     assert got and got == sorted((i, *f) for i in range(300) for f in passages.alike(passages._tokens(a[i]), passages._tokens(b[i])))
 
 
+def test_verification_takes_the_runs_of_a_pair_at_once():
+    """As many calls for 200 runs of common tokens as for 40, and the passages that sets of all pairs of runs give."""
+    rng = np.random.default_rng(8)
+
+    def pair(runs, other, words):
+        x, y, at = [], [], []
+        for _ in range(runs):
+            run = rng.integers(0, words, int(rng.integers(3, 14))).astype(np.uint64)
+            at.append((len(x), len(x) + len(run), len(y), len(y) + len(run)))
+            x += [*run, *rng.integers(1 << 40, 1 << 41, int(rng.integers(1, other)), dtype=np.uint64)]
+            y += [*run, *rng.integers(1 << 41, 1 << 42, int(rng.integers(1, other)), dtype=np.uint64)]
+        return np.array(x, np.uint64), np.array(y, np.uint64), at
+
+    def calls(runs):
+        x, y, _ = pair(runs, 4, 1 << 30)
+        seen = []
+        sys.setprofile(lambda frame, event, arg: seen.append(event))
+        try:
+            passages.alike(x, y)
+        finally:
+            sys.setprofile(None)
+        return len(seen)
+
+    assert calls(200) < 1.5 * calls(40)
+    some = 0
+    for t in range(60):
+        x, y, at = pair(12, 2 + t % 2, 1 << 30)
+        want, end = [], -1
+        for i, (s, _, s2, _) in enumerate(at):
+            for _, e, _, e2 in reversed(at[i:]):
+                a, b = set(x[s:e].tolist()), set(y[s2:e2].tolist())
+                if min(e - s, e2 - s2) >= 41 and max(e - s, e2 - s2) >= 46 and 5 * len(a & b) >= 4 * len(a | b):
+                    want += [(s, e, s2, e2, len(a & b) / len(a | b))] if e > end else []
+                    end = max(end, e)
+                    break
+        assert passages.alike(x, y) == want
+        some += len(want) > 0
+    assert 10 < some < 60
+
+
+def test_rows_to_be_linked_are_read_as_they_were_packed(spark):
+    doc, at = np.array([5, -3, 1 << 60, 0]), np.array([7 << 20, 1 << 50, 0, 3])
+    p, ctx = np.array([-1, 1, -(1 << 62), 9]), np.array([-1, 0, 1 << 30, 2], np.int32)
+    for turn in (0, 2):
+        heads, made = passages._rows(p, doc, at, ctx, turn), passages._rows(p, doc, at, ctx, turn, doc + 1, at - 4)
+        both = pa.Table.from_batches([heads, made, heads]).combine_chunks().to_batches()[0]
+        rows, links = passages._read(both)
+        assert [x.tolist() for x in rows] == [[*x.tolist()] * 2 for x in (p, doc, at, ctx)]
+        assert [x.tolist() for x in links] == [x.tolist() for x in (p, doc, at, ctx, doc + 1, at - 4)]
+    rows = passages._rows(np.zeros(4, np.int64), doc, at, ctx, 0).to_pylist()
+    got = spark.createDataFrame([(r["row"],) for r in rows], "row binary").sort("row").collect()
+    assert [bytes(r["row"]) for r in got] == [rows[k]["row"] for k in np.argsort(doc)]
+
+
 def test_repeated_runs_are_all_inside_passages(spark):
     """Every run of 50 words that two documents hold, of texts made of a few shared lines and passages, some common to most."""
     rng = np.random.default_rng(31)
